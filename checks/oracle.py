@@ -247,7 +247,7 @@ def _add_break_steps(series: str) -> None:
         f"FROM (SELECT *, rss / CASE WHEN m > 0 THEN m END AS mse FROM {series}_fits)"
     )
     columns = ", ".join(
-        f"ROUND(ROUND({x}_b, 6), 3) AS {x}_coef, ROUND(ROUND({x}_s, 6), 3) AS {x}_se, "
+        f"{_plain_zero(f'ROUND(ROUND({x}_b, 6), 3)')} AS {x}_coef, ROUND(ROUND({x}_s, 6), 3) AS {x}_se, "
         f"ROUND(ROUND({x}_b / {x}_s, 4), 3) AS {x}_t, "
         f"{_plain_zero(f'ROUND(ROUND({_p_value(f"({x}_b / {x}_s)")}, 6), 3)')} AS {x}_p"
         for x in _TERMS
@@ -573,7 +573,7 @@ ORACLE.update(
         ),
         "its_coefficients": sql(
             " UNION ALL ".join(
-                f"SELECT metric, '{x}' AS term, ROUND(ROUND({x}_b, 6), 3) AS coefficient, "
+                f"SELECT metric, '{x}' AS term, {_plain_zero(f'ROUND(ROUND({x}_b, 6), 3)')} AS coefficient, "
                 f"{_plain_zero(f'ROUND(ROUND({_p_value(f"({x}_b / {x}_s)")}, 6), 3)')} AS p_value, "
                 f"ROUND({_p_value(f'({x}_b / {x}_s)')}, 6) < 0.05 AS significant FROM series_terms"
                 for x in ("level_change", "slope_change")

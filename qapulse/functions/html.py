@@ -32,35 +32,44 @@ WHITESPACE = (
 )
 
 
-def _named_entities() -> Column:
-    pairs = [F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))]
-    return F.create_map(*pairs)
+# Decoded by plain replacement; "amp" must come last, as its result may look like a reference.
+_COMMON = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "amp": "&"}
 
 
 def _code_point(number: Column) -> Column:
     """The character of a code point; NULL for 0, surrogates and numbers beyond Unicode."""
     known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    hexed = F.lpad(F.hex(F.when(known, number)), 8, "0")
-    return F.decode(F.unhex(hexed), "UTF-32")
+    return F.decode(F.unhex(F.lpad(F.hex(F.when(known, number)), 8, "0")), "UTF-32")
 
 
-def decode_entities(text: Column) -> Column:
-    """Decode ``&name;``, ``&#n;`` and ``&#xn;`` once each; unknown references stay as they are."""
-    named = _named_entities()
+def _decode_any(text: Column) -> Column:
+    """One pass over the references of a text: named (HTML 4), decimal and hexadecimal."""
+    named = F.create_map(
+        *[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))]
+    )
 
     def piece(part: Column, index: Column) -> Column:
         name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        hexadecimal = F.lower(F.substring(name, 2, 1)) == "x"
-        number = F.when(hexadecimal, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(
-            F.substr(name, F.lit(2))
-        )
+        number = F.when(
+            F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substr(name, F.lit(3)), 16, 10)
+        ).otherwise(F.substr(name, F.lit(2)))
         char = F.when(name.startswith("#"), _code_point(number.cast("bigint"))).otherwise(named[name])
         decoded = F.concat(char, F.substr(part, F.length(name) + 2))
         return F.when(index == 0, part).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), part)))
 
-    return F.when(
-        text.contains("&"), F.array_join(F.transform(F.split(text, "&"), piece), "")
-    ).otherwise(text)
+    return F.array_join(F.transform(F.split(text, "&"), piece), "")
+
+
+def decode_entities(text: Column) -> Column:
+    """Decode ``&name;``, ``&#n;`` and ``&#xn;`` once each; unknown references stay as they are.
+
+    Texts with none but the common references, nearly all, take the cheap branch.
+    """
+    cheap = text
+    for name, char in _COMMON.items():
+        cheap = F.replace(cheap, F.lit(f"&{name};"), F.lit(char))
+    rare = text.rlike(f"&(?!(?:{'|'.join(_COMMON)});)[#A-Za-z]")
+    return F.when(~text.contains("&"), text).when(rare, _decode_any(text)).otherwise(cheap)
 
 
 def _visible(html: Column) -> Column:

@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 BUCKET_BITS = 24  # microseconds: about 17 s per bucket, 32 million buckets in 17 years
 
 
-def _match(columns: Sequence[str]) -> Column:
+def _same(columns: Sequence[str]) -> Column:
     # Null-safe on purpose: it adds no IS NOT NULL filter to one branch only, which would stop
-    # Spark from reusing the shuffles below.
+    # Spark from reusing the shuffles of the rows.
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in columns])
 
 
@@ -40,8 +40,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """``keys``, the number of rows ``count`` (NULL values included), and one quantile per point.
 
-    ``keys`` must be a small domain known beforehand (calendar month, fixed labels): the located
-    ranks, at most ``2 * len(points)`` rows per group, are broadcast.
+    ``keys`` must be a small domain known beforehand (calendar month, fixed labels): the buckets
+    holding a wanted rank, at most ``2 * len(points)`` per group, are broadcast.
     """
     rows = rows.select(
         *keys,
@@ -57,9 +57,9 @@ def exact_quantiles(
         rows.groupBy(*in_group)
         .agg(F.sum("w").alias("n"))
         .select(
-            *in_group,
-            F.sum(valid).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
+            *[F.col(c).alias(f"hot_{c}") for c in in_group],
             valid.alias("valid"),
+            F.sum(valid).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
             F.sum(valid).over(whole).alias("total"),
             F.sum("n").over(whole).alias("all_rows"),
         )
@@ -68,46 +68,48 @@ def exact_quantiles(
     def position(p: float) -> Column:
         return F.lit(p) * (F.col("total") - 1)
 
-    ranks = F.array_distinct(
-        F.array(*[f(position(p)) for p in points.values() for f in (F.floor, F.ceil)])
-    )
+    # Ranks below and above each point, counted from the start of the bucket, NULL in other buckets.
+    wanted = {
+        f"{side}_{name}": whole_rank(position(p))
+        for name, p in points.items()
+        for side, whole_rank in (("low", F.floor), ("high", F.ceil))
+    }
     before = F.col("upto") - F.col("valid")
-    # NULL values form a bucket of their own with the rank NULL: a group of only NULLs keeps its row.
-    located = buckets.select(
-        *in_group,
-        "total",
-        "all_rows",
-        before.alias("before"),
-        F.explode(
-            F.when(F.col("bucket").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(
-                F.filter(ranks, lambda r: (r >= before) & (r < F.col("upto")))
-            )
-        ).alias("rank"),
+    hot = buckets.select(
+        *[f"hot_{c}" for c in in_group], "total", "all_rows",
+        *[
+            F.when((rank >= before) & (rank < F.col("upto")), rank - before).alias(name)
+            for name, rank in wanted.items()
+        ],
+    ).where(
+        # NULL values form a bucket of their own: a group of only NULLs keeps its row.
+        F.coalesce(*wanted).isNotNull() | F.col("hot_bucket").isNull()
     )
 
-    located = located.select(*[F.col(c).alias(f"hot_{c}") for c in in_group], "total", "all_rows", "before", "rank")
-    hot = F.broadcast(located.select(*[f"hot_{c}" for c in in_group]).distinct())
-    by_value = Window.partitionBy(*in_group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    carried = ["total", "all_rows", *wanted]
     values = (
-        rows.join(hot, _match(in_group), "left_semi")
+        rows.join(F.broadcast(hot), _same(in_group))
         .groupBy(*in_group, "v")
-        .agg(F.sum("w").alias("n"))
-        .withColumn("upto_v", F.sum("n").over(by_value))
+        .agg(F.sum("w").alias("n"), *[F.max(c).alias(c) for c in carried])
     )
-    after = F.col("rank") - F.col("before")
-    here = F.col("rank").isNull() | ((after >= F.col("upto_v") - F.col("n")) & (after < F.col("upto_v")))
-    found = values.join(F.broadcast(located), _match(in_group) & here)
-    picked = found.groupBy(*keys).agg(
-        F.max("all_rows").alias(count),
-        F.max("total").alias("total"),
-        F.map_from_entries(
-            F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "v")))
-        ).alias("at"),
+    by_value = Window.partitionBy(*in_group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("upto")
+    picked = (
+        values.withColumn("upto", F.sum("n").over(by_value))
+        .groupBy(*keys)
+        .agg(
+            F.max("all_rows").alias(count),
+            F.max("total").alias("total"),
+            *[
+                F.max(F.when((F.col(c) >= upto - F.col("n")) & (F.col(c) < upto), F.col("v"))).alias(c)
+                for c in wanted
+            ],
+        )
     )
 
-    def quantile(p: float) -> Column:
-        low, high = F.col("at")[F.floor(position(p))], F.col("at")[F.ceil(position(p))]
+    def quantile(name: str, p: float) -> Column:
+        low, high = F.col(f"low_{name}"), F.col(f"high_{name}")
         share = position(p) - F.floor(position(p))
-        return F.when(F.col("total") > 0, (low + (high - low) * share) / F.lit(divisor))
+        return ((low + (high - low) * share) / F.lit(divisor)).alias(name)
 
-    return picked.select(*keys, count, *[quantile(p).alias(name) for name, p in points.items()])
+    return picked.select(*keys, count, *[quantile(name, p) for name, p in points.items()])
