@@ -338,10 +338,9 @@ def code_blocks(spark, sf):
 
 def _feature(name: str):
     def query(spark, sf):
-        columns = dict(
-            zip(features.FEATURES, features.feature_columns(F.col("Title"), F.col("Body"), F.col("Tags")))
-        )
-        return questions(star_posts(spark, sf), START).select("Id", columns[name])
+        asked = questions(star_posts(spark, sf), START)
+        measured = features.with_features(asked, F.col("Title"), F.col("Body"), F.col("Tags"))
+        return measured.select("Id", name)
 
     return query
 
@@ -366,8 +365,8 @@ def features_report(spark, sf):
 
 
 def classify_intent(spark, sf):
-    intent = intents.intent_of(F.col("Title"), html.body_prose(F.col("Body")))
-    return questions(star_posts(spark, sf), START).select("Id", intent.alias("intent"))
+    asked = questions(star_posts(spark, sf), START)
+    return intents.with_intent(asked, F.col("Title"), html.body_prose(F.col("Body"))).select("Id", "intent")
 
 
 def per_post_intents(spark, sf):
@@ -398,8 +397,8 @@ def _series(spark, sf) -> DataFrame:
     return breaks.metric_series(star_posts(spark, sf), START)
 
 
-def _event_series(spark, sf) -> DataFrame:
-    """Many short series: orders of each customer nation segment by month."""
+def _order_series(spark, sf) -> DataFrame:
+    """Many series: mean order value per priority and customer group by month."""
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     month = F.trunc(F.col("o_orderdate").cast("date"), "MM").alias("month")
     metric = F.concat(F.col("o_orderpriority"), F.lit("/"), F.col("o_custkey") % 10).alias("metric")
@@ -426,7 +425,7 @@ def chow_test(spark, sf):
 
 
 def chow_test_many(spark, sf):
-    return _chow_rounded(breaks.chow_test(_event_series(spark, sf), RELEASE))
+    return _chow_rounded(breaks.chow_test(_order_series(spark, sf), RELEASE))
 
 
 def cusum_test(spark, sf):
@@ -442,7 +441,7 @@ def its_regression(spark, sf):
 
 
 def its_regression_many(spark, sf):
-    return _its_rounded(breaks.its_regression(_event_series(spark, sf), RELEASE))
+    return _its_rounded(breaks.its_regression(_order_series(spark, sf), RELEASE))
 
 
 def structural_break_report(spark, sf):

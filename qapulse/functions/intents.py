@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_INTENT = "API Usage"
@@ -106,10 +106,18 @@ CATEGORIES = sorted(INTENT_PATTERNS)
 AI_ERA = ["Machine-Authored Discrepancy", "Architectural Consensus"]
 
 
-def intent_of(title: Column, prose: Column) -> Column:
-    """``U`` gives the character classes their Unicode meaning; a CASE stops at the first match."""
-    text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), prose)
+def with_intent(rows: DataFrame, title: Column, prose: Column, name: str = "intent") -> DataFrame:
+    """Add the intent of every row.
+
+    The searched text is projected first, so that its HTML work runs once and not once per pattern.
+    ASCII text, nearly all, is lowered once and searched without case folding; other text needs
+    folding and the Unicode meaning of the character classes (``iU``).
+    """
+    texts = rows.withColumn("_text", F.concat(F.coalesce(title, F.lit("")), F.lit(" "), prose))
+    is_ascii = F.octet_length("_text") == F.char_length("_text")
+    lowered = texts.withColumn("_lowered", F.when(is_ascii, F.lower("_text")))
     chain = F
     for intent, pattern in INTENT_PATTERNS.items():
-        chain = chain.when(text.rlike("(?iU)" + pattern), intent)
-    return chain.otherwise(DEFAULT_INTENT)
+        found = F.coalesce(F.col("_lowered").rlike(pattern), F.col("_text").rlike("(?iU)" + pattern))
+        chain = chain.when(found, intent)
+    return lowered.withColumn(name, chain.otherwise(DEFAULT_INTENT)).drop("_text", "_lowered")

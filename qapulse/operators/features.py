@@ -20,27 +20,27 @@ FEATURES = [
 ]
 
 
-def feature_columns(title: Column, body: Column, tags: Column) -> list[Column]:
-    """The six features of one question, named as in :data:`FEATURES`."""
-    blocks = code_blocks(body)
-    total = F.aggregate(blocks, F.lit(0), lambda length, block: length + F.length(block))
+def with_features(rows: DataFrame, title: Column, body: Column, tags: Column) -> DataFrame:
+    """Add the six features of every question; its code blocks are extracted once."""
+    blocks = F.col("_blocks")
+    lengths = F.aggregate(blocks, F.lit(0), lambda length, block: length + F.length(block))
     values = [
-        F.length(F.coalesce(title, F.lit(""))), F.length(body_prose(body)), F.size(blocks), total,
+        F.length(F.coalesce(title, F.lit(""))), F.length(body_prose(body)), F.size(blocks), lengths,
         link_count(body), tag_count(tags),
     ]
-    return [value.alias(name) for value, name in zip(values, FEATURES)]
+    added = rows.withColumn("_blocks", code_blocks(body)).select("*", *[
+        value.alias(name) for value, name in zip(values, FEATURES)
+    ])
+    return added.drop("_blocks")
 
 
-def _sampled_features(posts: DataFrame, start: date) -> DataFrame:
+def per_post_features(posts: DataFrame, start: date = START) -> DataFrame:
+    """Features and month of every sampled question."""
     sample = stratified_monthly_sample(
         posts, start, ["Title", "Body", "Tags"], n_categories=len(FEATURES)
     )
-    return sample.select("month", *feature_columns(F.col("Title"), F.col("Body"), F.col("Tags")))
-
-
-def per_post_features(posts: DataFrame, start: date = START) -> DataFrame:
-    """Features and month of every sampled question."""
-    return labelled(_sampled_features(posts, start)).select(*FEATURES, "year_month")
+    measured = with_features(sample, F.col("Title"), F.col("Body"), F.col("Tags"))
+    return labelled(measured.select("month", *FEATURES)).select(*FEATURES, "year_month")
 
 
 @ordered_by("year_month")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from qapulse.constants import RELEASE, START
 from qapulse.functions.calendar import ordered_by, period_by_label
 from qapulse.functions.html import body_prose
-from qapulse.functions.intents import CATEGORIES, intent_of
+from qapulse.functions.intents import CATEGORIES, with_intent
 from qapulse.operators.metrics import labelled
 from qapulse.operators.sampling import stratified_monthly_sample
 
@@ -20,8 +20,8 @@ def per_post_intents(posts: DataFrame, start: date = START) -> DataFrame:
     sample = stratified_monthly_sample(
         posts, start, ["Id", "Title", "Body"], n_categories=len(CATEGORIES)
     )
-    intent = intent_of(F.col("Title"), body_prose(F.col("Body")))
-    return labelled(sample.select("month", intent.alias("intent"), F.col("Id").alias("post_id")))
+    classified = with_intent(sample, F.col("Title"), body_prose(F.col("Body")))
+    return labelled(classified.select("month", "intent", F.col("Id").alias("post_id")))
 
 
 def _shares(counted: DataFrame, key: str) -> DataFrame:

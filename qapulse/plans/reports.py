@@ -22,7 +22,10 @@ def _stored(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write_all(tables: Mapping[str, DataFrame], out: str) -> dict[str, str]:
-    return {name: write_table_csv(table, out, name) for name, table in tables.items()}
+    return {
+        name: write_table_csv(table, out, name, one_part=not name.startswith("post_"))
+        for name, table in tables.items()
+    }
 
 
 def validation_report(

@@ -159,8 +159,13 @@ def preview(
     return run_query(spark, sql, params).limit(20)
 
 
-def write_table_csv(result: DataFrame, directory: str, name: str) -> str:
-    """Write a small report table as one CSV part with a header below ``directory/name``."""
+def write_table_csv(result: DataFrame, directory: str, name: str, one_part: bool = True) -> str:
+    """Write a report table as CSV with headers below ``directory/name``.
+
+    Report tables are aggregates that end in a sort, so one part keeps their order; tables with a
+    row per post keep their partitions instead of passing through one task.
+    """
     target = f"{directory.rstrip('/')}/{name}"
-    result.coalesce(1).write.mode("overwrite").option("header", True).csv(target)
+    parts = result.coalesce(1) if one_part else result
+    parts.write.mode("overwrite").option("header", True).csv(target)
     return target
