@@ -15,20 +15,13 @@ Input rows are read twice; their shuffles are reused by Spark, not recomputed.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 24  # microseconds: about 17 s per bucket, 32 million buckets in 17 years
 
 
-def _same(columns: Sequence[str]) -> Column:
-    # Null-safe on purpose: it adds no IS NOT NULL filter to one branch only, which would stop
-    # Spark from reusing the shuffles of the rows.
-    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"hot_{c}")) for c in columns])
-
-
 def exact_quantiles(
     rows: DataFrame,
     keys: Sequence[str],
@@ -43,73 +36,59 @@ def exact_quantiles(
     ``keys`` must be a small domain known beforehand (calendar month, fixed labels): the buckets
     holding a wanted rank, at most ``2 * len(points)`` per group, are broadcast.
     """
-    rows = rows.select(
+    in_group = [*keys, "bucket"]
+    group, bucket = ", ".join(keys), ", ".join(in_group)
+    rows = rows.selectExpr(
         *keys,
-        F.shiftright(F.col(value), BUCKET_BITS).alias("bucket"),
-        F.col(value).alias("v"),
-        (F.col(weight) if weight else F.lit(1)).cast("bigint").alias("w"),
+        f"shiftright({value}, {BUCKET_BITS}) AS bucket",
+        f"{value} AS v",
+        f"CAST({weight or 1} AS BIGINT) AS w",
     )
-    in_group = [*keys, "bucket"]
-    valid = F.when(F.col("bucket").isNotNull(), F.col("n")).otherwise(0)
-    order = Window.partitionBy(*keys).orderBy("bucket")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    buckets = (
-        rows.groupBy(*in_group)
-        .agg(F.sum("w").alias("n"))
-        .select(
-            *[F.col(c).alias(f"hot_{c}") for c in in_group],
-            valid.alias("valid"),
-            F.sum(valid).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("upto"),
-            F.sum(valid).over(whole).alias("total"),
-            F.sum("n").over(whole).alias("all_rows"),
-        )
+    # NULL values form a bucket of their own that holds no rank.
+    valid = "IF(bucket IS NULL, 0, n)"
+    order = f"PARTITION BY {group} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING"
+    buckets = rows.groupBy(*in_group).agg(F.sum("w").alias("n")).selectExpr(
+        *[f"{c} AS hot_{c}" for c in in_group],
+        f"SUM({valid}) OVER ({order} AND CURRENT ROW) AS upto",
+        f"SUM({valid}) OVER ({order} AND CURRENT ROW) - {valid} AS before",
+        f"SUM({valid}) OVER ({order} AND UNBOUNDED FOLLOWING) AS total",
+        f"SUM(n) OVER ({order} AND UNBOUNDED FOLLOWING) AS all_rows",
     )
 
-    def position(p: float) -> Column:
-        return F.lit(p) * (F.col("total") - 1)
-
     # Ranks below and above each point, counted from the start of the bucket, NULL in other buckets.
-    wanted = {
-        f"{side}_{name}": whole_rank(position(p))
-        for name, p in points.items()
-        for side, whole_rank in (("low", F.floor), ("high", F.ceil))
+    position = {name: f"({p}D * (total - 1))" for name, p in points.items()}
+    ranks = {
+        f"{side}_{name}": f"{nearest}({at})"
+        for name, at in position.items()
+        for side, nearest in (("low", "floor"), ("high", "ceil"))
     }
-    before = F.col("upto") - F.col("valid")
-    hot = buckets.select(
+    hot = buckets.selectExpr(
         *[f"hot_{c}" for c in in_group], "total", "all_rows",
-        *[
-            F.when((rank >= before) & (rank < F.col("upto")), rank - before).alias(name)
-            for name, rank in wanted.items()
-        ],
-    ).where(
-        # NULL values form a bucket of their own: a group of only NULLs keeps its row.
-        F.coalesce(*wanted).isNotNull() | F.col("hot_bucket").isNull()
-    )
+        *[f"IF({r} >= before AND {r} < upto, {r} - before, NULL) AS {name}" for name, r in ranks.items()],
+    ).where(f"COALESCE({', '.join(ranks)}) IS NOT NULL OR hot_bucket IS NULL")
 
-    carried = ["total", "all_rows", *wanted]
+    # Null-safe on purpose: it adds no IS NOT NULL filter to one branch only, which would stop Spark
+    # from reusing the shuffles of the rows.
+    same = F.expr(" AND ".join(f"{c} <=> hot_{c}" for c in in_group))
+    carried = ["total", "all_rows", *ranks]
     values = (
-        rows.join(F.broadcast(hot), _same(in_group))
+        rows.join(F.broadcast(hot), same)
         .groupBy(*in_group, "v")
         .agg(F.sum("w").alias("n"), *[F.max(c).alias(c) for c in carried])
-    )
-    by_value = Window.partitionBy(*in_group).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("upto")
-    picked = (
-        values.withColumn("upto", F.sum("n").over(by_value))
-        .groupBy(*keys)
-        .agg(
-            F.max("all_rows").alias(count),
-            F.max("total").alias("total"),
-            *[
-                F.max(F.when((F.col(c) >= upto - F.col("n")) & (F.col(c) < upto), F.col("v"))).alias(c)
-                for c in wanted
-            ],
+        .selectExpr(
+            *keys, "v", "n", *carried,
+            f"SUM(n) OVER (PARTITION BY {bucket} ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto",
         )
     )
-
-    def quantile(name: str, p: float) -> Column:
-        low, high = F.col(f"low_{name}"), F.col(f"high_{name}")
-        share = position(p) - F.floor(position(p))
-        return ((low + (high - low) * share) / F.lit(divisor)).alias(name)
-
-    return picked.select(*keys, count, *[quantile(name, p) for name, p in points.items()])
+    at_rank = [F.expr(f"MAX(IF({c} >= upto - n AND {c} < upto, v, NULL)) AS {c}") for c in ranks]
+    picked = values.groupBy(*keys).agg(
+        F.max("all_rows").alias(count), F.max("total").alias("total"), *at_rank
+    )
+    return picked.selectExpr(
+        *keys,
+        count,
+        *[
+            f"(low_{name} + (high_{name} - low_{name}) * ({at} - floor({at}))) / {divisor}D AS {name}"
+            for name, at in position.items()
+        ],
+    )

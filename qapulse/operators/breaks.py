@@ -157,10 +157,12 @@ def _chow(fits: DataFrame) -> DataFrame:
     )
 
 
+_TERMS = ["intercept", "trend", "level_change", "slope_change"]
+
+
 def _its(fits: DataFrame) -> DataFrame:
-    m = F.col("df").cast("double")
+    m, bp, zero = F.col("df").cast("double"), F.col("bp").cast("double"), F.lit(0.0)
     mse = F.col("rss") / F.when(m > 0, m)
-    bp = F.col("bp").cast("double")
 
     def spread(s: str) -> Column:
         return 1 / F.nullif(F.col(f"sxx_{s}"), F.lit(0.0))
@@ -168,36 +170,38 @@ def _its(fits: DataFrame) -> DataFrame:
     def at(s: str, where: Column) -> Column:
         return 1 / F.col(f"n_{s}") + F.pow(where - F.col(f"tm_{s}"), 2) * spread(s)
 
-    zero = F.lit(0.0)
-    terms = {
-        "intercept": (_level("pre", zero), at("pre", zero)),
-        "trend": (_slope("pre"), spread("pre")),
-        "level_change": (_level("post", bp) - _level("pre", bp), at("pre", bp) + at("post", bp)),
-        "slope_change": (_slope("post") - _slope("pre"), spread("pre") + spread("post")),
-    }
-    staged = fits.select(
-        "*",
-        *[coefficient.alias(f"{name}_b") for name, (coefficient, _) in terms.items()],
-        *[F.sqrt(mse * variance).alias(f"{name}_s") for name, (_, variance) in terms.items()],
+    # Coefficient and variance factor of each term, in the order of _TERMS.
+    pairs = [
+        (_level("pre", zero), at("pre", zero)),
+        (_slope("pre"), spread("pre")),
+        (_level("post", bp) - _level("pre", bp), at("pre", bp) + at("post", bp)),
+        (_slope("post") - _slope("pre"), spread("pre") + spread("post")),
+    ]
+    estimates = F.array(
+        *[F.struct(b.alias("b"), F.sqrt(mse * variance).alias("s")) for b, variance in pairs]
+    )
+    with_t = F.transform(
+        estimates,
+        lambda x: F.struct(x["b"].alias("b"), x["s"].alias("s"), (x["b"] / F.nullif(x["s"], zero)).alias("t")),
+    )
+    with_p = F.transform(
+        "with_t",
+        lambda x: F.struct(
+            F.round(x["b"], 6).alias("coef"),
+            F.round(x["s"], 6).alias("se"),
+            F.round(x["t"], 4).alias("t"),
+            F.round(t_two_sided(x["t"], F.when(m > 0, m)), 6).alias("p"),
+        ),
     )
-    columns = []
-    for name in terms:
-        b, s = F.col(f"{name}_b"), F.col(f"{name}_s")
-        t = b / F.when(s > 0, s)
-        columns += [
-            F.round(b, 6).alias(f"{name}_coef"),
-            F.round(s, 6).alias(f"{name}_se"),
-            F.round(t, 4).alias(f"{name}_t"),
-            F.round(t_two_sided(t, F.when(m > 0, m)), 6).alias(f"{name}_p"),
-        ]
     total = F.col("syy_all")
     r_squared = F.when(total > _NOTHING, 1 - F.col("rss") / total).otherwise(0.0)
-    return staged.select(
-        *columns,
-        F.round(r_squared, 6).alias("r_squared"),
-        F.col("n").alias("n_obs"),
-        "breakpoint_month",
-        "metric",
+    return (
+        fits.withColumn("with_t", with_t)
+        .select("*", with_p.alias("term"), F.round(r_squared, 6).alias("r_squared"))
+        .selectExpr(
+            *[f"term[{i}].{x} AS {name}_{x}" for i, name in enumerate(_TERMS) for x in ("coef", "se", "t", "p")],
+            "r_squared", "n AS n_obs", "breakpoint_month", "metric",
+        )
     )
 
 
