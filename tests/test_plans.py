@@ -7,6 +7,7 @@ from datetime import date
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_file
 from qapulse.operators import breaks, domains, features, metrics, sampling, topics, validate
@@ -87,6 +88,41 @@ def test_only_candidates_carry_text_into_the_sample_shuffle(posts):
     assert shuffle < join  # printed top down: the prefix filter is below the text shuffle
 
 
+def test_a_hot_accepted_answer_is_split(spark, make_posts):
+    """A third of the questions accept one answer: the join must not leave them to one task."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20kb",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20kb",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        question = spark.range(0, 30_000, 1, 6).select(
+            F.col("id").alias("Id"), F.lit(1).alias("PostTypeId"),
+            F.when(F.col("id") % 3 == 0, F.lit(10**6)).otherwise(F.col("id") + 10**6).alias("AcceptedAnswerId"),
+            F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, id)").alias("CreationDate"),
+        )
+        answer = spark.range(10**6, 10**6 + 30_000, 1, 6).select(
+            F.col("id").alias("Id"), F.lit(2).alias("PostTypeId"), F.lit(None).cast("bigint").alias("AcceptedAnswerId"),
+            F.lit("2024-03-01").cast("timestamp_ntz").alias("CreationDate"),
+        )
+        result = metrics.monthly_time_to_acceptance(question.unionByName(answer), date(2024, 1, 1))
+        plan = executed_plan(result)
+        assert "skew=true" in plan
+        row = result.first()
+        assert row["accepted_count"] == 30_000
+        waits = [60 * 86400 - i for i in range(30_000)]
+        assert row["median_seconds"] == pytest.approx(sum(waits) / len(waits))
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def test_entry_and_registry(spark):
     assert set(entry_file.oracle_sql()) <= set(entry_file.queries())
     result = entry_file.entry(spark)
