@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.params import RELEASE, START
+from checks.params import EARLY, RELEASE, START
 from qapulse.functions.intents import CATEGORIES, DEFAULT_INTENT, INTENT_PATTERNS
 from qapulse.functions.tags import DOMAIN_TAGS
 from qapulse.plans.star_posts import ARCHIVE_SQL, POSTS_SQL
@@ -317,7 +317,8 @@ _PER_MONTH = (
     f"FROM ({_SPINE.format('(SELECT MAX(year_month) FROM {0})')}) s "
     "LEFT JOIN (SELECT year_month, COUNT(*) AS n FROM {0} GROUP BY 1) c USING (year_month)"
 )
-STEPS["gappy"] = "SELECT * FROM q WHERE month(CreationDate) % 3 <> 0"
+STEPS["early"] = f"SELECT {_YM} AS year_month FROM posts WHERE PostTypeId = 1 AND CreationDate >= DATE '{EARLY}'"
+_GAPS = _PER_MONTH.format("early").replace("1996-04-01", "1990-07-01")
 
 ORACLE = {
     "scan_dump_xml": _ALL_POSTS,
@@ -363,7 +364,7 @@ ORACLE = {
         _summary(t, t != "Tags") for t in ("Posts", "Users", "Comments", "PostLinks", "Tags")
     ),
     "validation_gaps": sql(
-        f"SELECT COUNT(*) AS months, COUNT(*) FILTER (is_gap) AS gaps FROM ({_PER_MONTH.format('gappy')})", *POSTS, "gappy"
+        f"SELECT COUNT(*) AS months, COUNT(*) FILTER (is_gap) AS gaps FROM ({_GAPS})", "posts", "early"
     ),
     "validation_report": _sizes(
         {"data_validation.csv": "SELECT UNNEST(range(5))", "posts_per_month.csv": _PER_MONTH.format("q")}, *POSTS

@@ -4,3 +4,4 @@ from datetime import date
 
 START = date(1996, 3, 15)
 RELEASE = date(1998, 11, 20)
+EARLY = date(1990, 6, 15)

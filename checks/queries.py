@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.params import RELEASE, START
+from checks.params import EARLY, RELEASE, START
 from qapulse.functions import html, intents, tags
 from qapulse.operators import breaks, domains, features, figures, metrics, sampling, topics, validate
 from qapulse.plans import reports
@@ -199,9 +199,8 @@ def validation_summary(spark, sf):
 
 
 def validation_gaps(spark, sf):
-    # Leaving out every third month makes gaps.
-    posts = star_posts(spark, sf).where(F.month("CreationDate") % 3 != 0)
-    return validate.gap_summary(validate.questions_per_month(posts, START))
+    # A window opening years before the first question makes gaps.
+    return validate.gap_summary(validate.questions_per_month(star_posts(spark, sf), EARLY))
 
 
 def _report_sizes(spark: SparkSession, files: dict[str, str]) -> DataFrame:

@@ -49,12 +49,16 @@ def feature_distributions(per_post: DataFrame) -> DataFrame:
 
     The sample is capped per month, so the built-in exact percentile holds a bounded number of values.
     """
-    return per_post.groupBy("year_month").agg(
+    quantiles = per_post.groupBy("year_month").agg(
+        *[F.percentile(name, [0.5, 0.9]).alias(name) for name in FEATURES]
+    )
+    return quantiles.select(
+        "year_month",
         *[
-            quantile.alias(f"{name}_{suffix}")
+            F.col(name)[i].alias(f"{name}_{suffix}")
             for name in FEATURES
-            for suffix, quantile in (("median", F.median(name)), ("p90", F.percentile(name, 0.9)))
-        ]
+            for i, suffix in enumerate(("median", "p90"))
+        ],
     )
 
 
