@@ -35,12 +35,12 @@ DOMAIN_CASE = (
 )
 STEPS["qd"] = f"SELECT *, {DOMAIN_CASE} AS domain FROM q"
 
-COVERAGE = "SUM(CASE WHEN COALESCE(AnswerCount, 0) > 0 THEN 1 ELSE 0 END)::DOUBLE / COUNT(*) AS coverage_rate"
-ACCEPTED = "SUM(CASE WHEN AcceptedAnswerId IS NOT NULL THEN 1 ELSE 0 END)::DOUBLE / COUNT(*) AS accepted_rate"
-MEANS = "AVG(Score) AS mean_score, AVG(COALESCE(CommentCount, 0)) AS mean_comments"
+COVERAGE = "COUNT(*) FILTER (AnswerCount > 0) / COUNT(*) AS coverage_rate"
+ACCEPTED = "COUNT(AcceptedAnswerId) / COUNT(*) AS accepted_rate"
+MEANS = "AVG(Score) AS mean_score, COALESCE(SUM(CommentCount), 0) / COUNT(*) AS mean_comments"
 VOLUME = (
-    f"SELECT {_YM} AS year_month, CAST(SUM(CASE WHEN PostTypeId = 1 THEN 1 ELSE 0 END) AS BIGINT) AS question_count, "
-    f"CAST(SUM(CASE WHEN PostTypeId = 2 THEN 1 ELSE 0 END) AS BIGINT) AS answer_count FROM posts WHERE {_IN} GROUP BY 1"
+    f"SELECT {_YM} AS year_month, COUNT(*) FILTER (PostTypeId = 1) AS question_count, "
+    f"COUNT(*) FILTER (PostTypeId = 2) AS answer_count FROM posts WHERE {_IN} GROUP BY 1"
 )
 STEPS["volume"] = VOLUME
 STEPS["askers"] = "SELECT year_month, COUNT(DISTINCT OwnerUserId) AS distinct_askers FROM q GROUP BY 1"

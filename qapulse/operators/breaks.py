@@ -277,30 +277,26 @@ def cusum_paths(series: DataFrame, release: date = RELEASE) -> DataFrame:
 
 @ordered_by("metric", "year_month")
 def its_fits(series: DataFrame, release: date = RELEASE) -> DataFrame:
-    """Observed and fitted value of every month, with its segment."""
-    fits = _fits(series, release).select(
-        "metric",
-        *[
-            F.coalesce(column, default).alias(f"{name}_{s}")
-            for s in ("pre", "post")
-            for name, column, default in (
-                ("slope", _slope(s), F.lit(0.0)),
-                ("tm", F.col(f"tm_{s}"), F.lit(0.0)),
-                ("ym", F.col(f"ym_{s}"), F.lit(None).cast("double")),
-            )
-        ],
-    )
-    is_pre = F.col("t") < F.col("bp")
-
-    def line(s: str) -> Column:
-        return F.col(f"ym_{s}") + F.col(f"slope_{s}") * (F.col("t") - F.col(f"tm_{s}"))
+    """Observed and fitted value of every month, with its segment.
 
-    return _indexed(series, release).join(fits, "metric").select(
+    The interrupted regression is one line per segment, fitted by window aggregates.
+    """
+    segment = F.when(F.col("t") < F.col("bp"), "pre").otherwise("post")
+    own = Window.partitionBy("metric", "segment")
+    lines = _indexed(series, release).withColumn("segment", segment).select(
+        "metric", "month", "t", "y", "segment",
+        F.regr_slope("y", "t").over(own).alias("slope"),
+        F.avg("t").over(own).alias("tm"),
+        F.avg("y").over(own).alias("ym"),
+    )
+    # A segment of one point has no slope; its line passes through the point.
+    fitted = F.col("ym") + F.coalesce("slope", F.lit(0.0)) * (F.col("t") - F.col("tm"))
+    return lines.select(
         "metric",
         month_label(F.col("month")).alias("year_month"),
         F.col("y").alias("observed"),
-        F.when(is_pre, line("pre")).otherwise(line("post")).alias("fitted"),
-        F.when(is_pre, "pre").otherwise("post").alias("segment"),
+        fitted.alias("fitted"),
+        "segment",
     )
 
 
