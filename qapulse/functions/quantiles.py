@@ -30,11 +30,13 @@ def exact_quantiles(
     count: str,
     divisor: float = 1.0,
     weight: str | None = None,
+    few_groups: bool = True,
 ) -> DataFrame:
     """``keys``, the number of rows ``count`` (NULL values included), and one quantile per point.
 
-    ``keys`` must be a small domain known beforehand (calendar month, fixed labels): the buckets
-    holding a wanted rank, at most ``2 * len(points)`` per group, are broadcast.
+    The buckets holding a wanted rank, at most ``2 * len(points)`` rows per group, are broadcast. That
+    is bounded for calendar months and fixed labels (a century of months with four labels: 20,000
+    rows). For keys that grow with the data pass ``few_groups=False``; Spark then chooses the join.
     """
     in_group = [*keys, "bucket"]
     group, bucket = ", ".join(keys), ", ".join(in_group)
@@ -72,7 +74,7 @@ def exact_quantiles(
     same = F.expr(" AND ".join(f"{c} <=> hot_{c}" for c in in_group))
     carried = ["total", "all_rows", *ranks]
     values = (
-        rows.join(F.broadcast(hot), same)
+        rows.join(F.broadcast(hot) if few_groups else hot, same)
         .groupBy(*in_group, "v")
         .agg(F.sum("w").alias("n"), *[F.max(c).alias(c) for c in carried])
         .selectExpr(

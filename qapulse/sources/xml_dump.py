@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType, TimestampNTZType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from qapulse.schemas import PARTITION_COLUMN, schema_of
 from qapulse.sources.storage import exists, total_length
@@ -38,14 +38,21 @@ def scan_attributes(spark: SparkSession, path: str, schema: StructType) -> DataF
 def coerce_rows(raw: DataFrame, schema: StructType, permissive: bool = False) -> DataFrame:
     """Cast string attributes to their declared types; empty or missing means NULL.
 
-    A malformed number or timestamp fails the job (ANSI cast), or becomes NULL if ``permissive``.
+    A malformed number or timestamp fails the job, whatever the session's ANSI setting, or becomes
+    NULL if ``permissive``.
     """
 
-    def typed(field: StructField):
+    def typed(field: StructField) -> Column:
         text = F.nullif(F.col(field.name), F.lit(""))
-        if isinstance(field.dataType, (LongType, IntegerType, TimestampNTZType)):
-            text = text.try_cast(field.dataType) if permissive else text.cast(field.dataType)
-        return text.alias(field.name)
+        if field.dataType == StringType():
+            return text.alias(field.name)
+        value = text.try_cast(field.dataType)
+        if not permissive:
+            reason = F.concat(F.lit(f"Malformed {field.name}: "), text)
+            value = F.coalesce(
+                value, F.when(text.isNotNull(), F.raise_error(reason).cast(field.dataType))
+            )
+        return value.alias(field.name)
 
     return raw.select(*[typed(field) for field in schema.fields])
 

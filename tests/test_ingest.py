@@ -91,6 +91,18 @@ def test_malformed_rows_fail_the_job(spark, raw, bad):
         rows_of(spark, path, "Tags")
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_malformed_values_fail_under_any_ansi_setting(spark, raw, ansi):
+    path = raw(Posts='<posts><row Id="1" CreationDate="yesterday"/></posts>') + "/Posts.xml"
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="Malformed CreationDate: yesterday"):
+            rows_of(spark, path, "Posts")
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
 def test_permissive_coercion_gives_null(spark, raw):
     path = raw(Tags='<tags><row Id="x" TagName="t"/></tags>') + "/Tags.xml"
     assert xml_dump.scan_dump_xml(spark, path, "Tags", permissive=True).first()["Id"] is None

@@ -9,10 +9,10 @@ from qapulse.functions.quantiles import BUCKET_BITS, exact_quantiles
 POINTS = {"median": 0.5, "p90": 0.9, "lowest": 0.0, "highest": 1.0}
 
 
-def check(spark, groups):
+def check(spark, groups, **options):
     rows = [(k, v) for k, values in groups.items() for v in values]
     df = spark.createDataFrame(rows, "k string, v bigint").repartition(4)
-    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", POINTS, "n").collect()}
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", POINTS, "n", **options).collect()}
     assert set(got) == set(groups)
     for k, values in groups.items():
         known = [v for v in values if v is not None]
@@ -42,6 +42,15 @@ def test_matches_numpy_over_all_shapes(spark):
     )
 
 
+def test_many_groups_join_without_a_broadcast_hint(spark, plan_of):
+    rnd = random.Random(11)
+    groups = {f"g{i}": [rnd.randrange(1 << 30) for _ in range(rnd.randrange(1, 9))] for i in range(200)}
+    check(spark, groups, few_groups=False)
+    df = spark.range(10).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    assert "strategy=broadcast" not in plan_of(exact_quantiles(df, ["k"], "v", {"m": 0.5}, "n", few_groups=False))
+    assert "strategy=broadcast" in plan_of(exact_quantiles(df, ["k"], "v", {"m": 0.5}, "n"))
+
+
 def test_weights_stand_for_copies(spark):
     df = spark.createDataFrame([("a", 1, 3), ("a", 100, 1), ("a", 5, 2)], "k string, v bigint, w bigint")
     row = exact_quantiles(df, ["k"], "v", {"m": 0.5}, "n", weight="w").first()
