@@ -38,14 +38,17 @@ def scan_attributes(spark: SparkSession, path: str, schema: StructType) -> DataF
 def coerce_rows(raw: DataFrame, schema: StructType, permissive: bool = False) -> DataFrame:
     """Cast string attributes to their declared types; empty or missing means NULL.
 
-    A malformed number or timestamp fails the job, whatever the session's ANSI setting, or becomes
-    NULL if ``permissive``.
+    A malformed number or timestamp fails the job, or becomes NULL if ``permissive``. ANSI casts fail
+    by themselves; in a session without ANSI mode the failure is spelled out.
     """
+    ansi = raw.sparkSession.conf.get("spark.sql.ansi.enabled") == "true"
 
     def typed(field: StructField) -> Column:
         text = F.nullif(F.col(field.name), F.lit(""))
         if field.dataType == StringType():
             return text.alias(field.name)
+        if ansi and not permissive:
+            return text.cast(field.dataType).alias(field.name)
         value = text.try_cast(field.dataType)
         if not permissive:
             reason = F.concat(F.lit(f"Malformed {field.name}: "), text)
