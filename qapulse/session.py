@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,7 +37,12 @@ def build_session(app: str, master: str | None = None, **extra: str) -> SparkSes
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (unit tests on one machine) a local temporary folder is used.
+    Without that setting a single machine (``local[n]``) takes a temporary folder; a cluster, whose executors
+    would each write to their own disk, is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="qapulse-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="qapulse-")
     return f"{root.rstrip('/')}/qapulse/{label}-{uuid.uuid4().hex}"
