@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from qapulse.llm.decontam import op6_decontaminate
+from qapulse.llm.language import op2_language
 from qapulse.llm.packing import op9_packing
+from qapulse.llm.probminhash import op8_near_duplicates
 from qapulse.llm.secrets import op7_secrets
 from qapulse.llm.tokens_orc import op10_tokens_orc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_language,
         op6_decontaminate,
         op7_secrets,
+        op8_near_duplicates,
         op9_packing,
         op10_tokens_orc,
     )
