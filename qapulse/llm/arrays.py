@@ -140,3 +140,24 @@ def portions(batches: Iterator[pa.RecordBatch], text: str = "text", most: int =
 def owner(places: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Row in whose bytes each place lies."""
     return np.searchsorted(offsets, places, "right") - 1
+
+
+def anchored(values: np.ndarray, row: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of neighbouring windows of one row that share their anchor, the ``gram`` of least hash.
+
+    Per run: the anchor's hash, the first window, and the number of windows. Equal windows have equal anchors, so they
+    are found under the same hash; and no two windows of one run are equal.
+    """
+    if len(values) < window:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    grams = gram_hash(values, gram)
+    anchor = sliding_argmin(grams, window - gram + 1)
+    inside = row[: len(row) - window + 1] == row[window - 1 :]
+    changed = np.empty(len(anchor), bool)
+    changed[0] = True
+    changed[1:] = (anchor[1:] != anchor[:-1]) | (row[1 : len(anchor)] != row[: len(anchor) - 1])
+    starts = np.flatnonzero(changed)
+    # Windows that leave their row are the last ones of it: they shorten or end its last run.
+    counts = np.add.reduceat(inside, starts, dtype=np.int64)
+    starts, counts = starts[counts > 0], counts[counts > 0]
+    return grams[anchor[starts]], starts, counts

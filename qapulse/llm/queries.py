@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from qapulse.llm import bits, revisits
+from qapulse.llm.bits import op1_top_k
+from qapulse.llm.debruijn import op4_substring_dedup
 from qapulse.llm.decontam import op6_decontaminate
 from qapulse.llm.language import op2_language
 from qapulse.llm.packing import op9_packing
 from qapulse.llm.probminhash import op8_near_duplicates
+from qapulse.llm.revisits import op3_revisits
 from qapulse.llm.secrets import op7_secrets
 from qapulse.llm.tokens_orc import op10_tokens_orc
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_top_k,
         op2_language,
+        op3_revisits,
+        op4_substring_dedup,
         op6_decontaminate,
         op7_secrets,
         op8_near_duplicates,
@@ -21,4 +28,5 @@ QUERIES = {
     )
 }
 
-ORACLE: dict[str, str] = {}
+#: The others cannot be said in SQL; tests compare them with brute force.
+ORACLE = {"op1_top_k": bits.ORACLE, "op3_revisits": revisits.ORACLE}

@@ -40,3 +40,19 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
 def text_key(text: str = "text") -> Column:
     """Identity of a text: rows of one document that hold the same text get the same result."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def perhaps_in(df: DataFrame, key: Column, members: DataFrame, member: Column, bits: int = 24) -> DataFrame:
+    """The rows of ``df`` whose key is among the members, and a few others.
+
+    A bit set of fixed size (at most 2**bits / 64 rows of two longs, 4 MB for 24) is broadcast whatever the number of
+    members; a fuller set lets more rows through, never fewer. It keeps wide rows out of the exact join that follows.
+    """
+    def place(column: Column) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(1 << bits))
+
+    word, held, at = fresh("word"), fresh("bits"), fresh("at")
+    one = members.select(place(member).alias(at))
+    table = one.groupBy(F.shiftright(at, 6).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, int({at} & 63L)))").alias(held))
+    found = df.withColumn(at, place(key)).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(table), word)
+    return found.where(F.expr(f"({held} & shiftleft(1L, int({at} & 63L))) != 0")).drop(at, word, held)
