@@ -23,12 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qapulse.llm import arrays
 from qapulse.llm.shared import documents
 
 ROWS, CHARS = 120, 400
 SYMBOLS, BLOCK = 64, 1024
+#: A text in no learned language: random letters take 4.7 bits and more, prose of the learned ones takes 1.7 to 3.9.
+LEAST_LETTERS, MOST_BITS = 200, 4.7
 _GAP, _OTHER = 0, SYMBOLS - 1
 
 
@@ -195,8 +198,14 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...]) -> DataFrame
                 [*batch.schema.names, *made],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, bits double, n_letters bigint")
+    schema = T.StructType([*kept.schema, *T.StructType.fromDDL("lang_pred string, score double, bits double, n_letters bigint")])
+    return kept.mapInArrow(run, schema)
+
+
+def accepted() -> Column:
+    """Whether :func:`identify` found a learned language: a letter is there, and a text of ``LEAST_LETTERS`` or more takes
+    fewer bits a character than letters of no language would."""
+    return (F.col("lang_pred") != "und") & ((F.col("n_letters") < LEAST_LETTERS) | (F.col("bits") <= MOST_BITS))
 
 
 def held_out() -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qapulse.llm import arrays
-from qapulse.llm.shared import documents, same, stash, text_key
+from qapulse.llm.shared import documents, fresh, same, stash, text_key
 
 RUN, ALIKE = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -235,5 +235,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", "text_key", "digest").join(placed, "digest").select("doc_id", "text_key", "class_id", "n_links", "label")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each class, with all its columns: that of the smallest doc_id (no id comes first)."""
+    classes = near_duplicates(docs.select("doc_id", "text"))
+    first = stash(classes.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*"), "firsts")
+    key = fresh("key")
+    keyed = docs.withColumn(key, text_key())
+    kept = keyed.join(first.withColumnRenamed("doc_id", f"{key}_id"), (F.col(key) == first["text_key"]) & keyed["doc_id"].eqNullSafe(F.col(f"{key}_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*(kept[n] for n in docs.columns))
+
+
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from qapulse.llm import bits, revisits
 from qapulse.llm.bits import op1_top_k
 from qapulse.llm.debruijn import op4_substring_dedup
@@ -11,6 +12,7 @@ from qapulse.llm.packing import op9_packing
 from qapulse.llm.probminhash import op8_near_duplicates
 from qapulse.llm.revisits import op3_revisits
 from qapulse.llm.secrets import op7_secrets
+from qapulse.llm.suffixes import op5_suffix_dedup
 from qapulse.llm.tokens_orc import op10_tokens_orc
 
 QUERIES = {
@@ -20,6 +22,7 @@ QUERIES = {
         op2_language,
         op3_revisits,
         op4_substring_dedup,
+        op5_suffix_dedup,
         op6_decontaminate,
         op7_secrets,
         op8_near_duplicates,
@@ -27,6 +30,7 @@ QUERIES = {
         op10_tokens_orc,
     )
 }
+QUERIES["pipeline"] = corpus_pipeline.run
 
 #: The others cannot be said in SQL; tests compare them with brute force.
 ORACLE = {"op1_top_k": bits.ORACLE, "op3_revisits": revisits.ORACLE}

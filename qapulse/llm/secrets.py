@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from qapulse.llm import arrays
 from qapulse.llm.shared import documents
@@ -138,10 +139,10 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 [*batch.columns, pa.array(rows, kind), pa.array(changed, pa.string())], [*batch.schema.names, "secret_spans", "masked_text"]
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*(docs[n] for n in names)).mapInArrow(
-        run, f"{fields}, secret_spans array<struct<kind:string,start:int,end:int>>, masked_text string"
-    )
+    kept = docs.select(*(docs[n] for n in names))
+    made = "secret_spans array<struct<kind:string,start:int,end:int>>, masked_text string"
+    schema = T.StructType([*kept.schema, *T.StructType.fromDDL(made)])
+    return kept.mapInArrow(run, schema)
 
 
 def op7_secrets(spark, sf_dir: str) -> DataFrame:
