@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.params import EARLY, RELEASE, START
+from checks.params import EARLY, MANIFEST_TABLES, ODD_BODY, PER_POST, RELEASE, START, report_columns, report_digits
 from qapulse.functions.intents import CATEGORIES, DEFAULT_INTENT, INTENT_PATTERNS
 from qapulse.functions.tags import DOMAIN_TAGS
 from qapulse.plans.star_posts import ARCHIVE_SQL, POSTS_SQL
@@ -248,12 +248,12 @@ def _add_break_steps(series: str) -> None:
     )
     columns = ", ".join(
         f"{_plain_zero(f'ROUND(ROUND({x}_b, 6), 3)')} AS {x}_coef, ROUND(ROUND({x}_s, 6), 3) AS {x}_se, "
-        f"ROUND(ROUND({x}_b / {x}_s, 4), 3) AS {x}_t, "
-        f"{_plain_zero(f'ROUND(ROUND({_p_value(f"({x}_b / {x}_s)")}, 6), 3)')} AS {x}_p"
+        f"{_plain_zero(f'ROUND({x}_b / {x}_s, 4)')} AS {x}_t, "
+        f"{_plain_zero(f'ROUND({_p_value(f"({x}_b / {x}_s)")}, 6)')} AS {x}_p"
         for x in _TERMS
     )
     STEPS[f"{series}_its"] = (
-        f"SELECT {columns}, ROUND(ROUND(1 - rss / syy_all, 6), 3) AS r_squared, n AS n_obs, breakpoint_month, metric "
+        f"SELECT {columns}, ROUND(1 - rss / syy_all, 6) AS r_squared, n AS n_obs, breakpoint_month, metric "
         f"FROM {series}_terms"
     )
 
@@ -278,7 +278,7 @@ SERIES = (
 BREAKS = (*SERIES, "series_indexed", "series_fits")
 
 _CHOW = (
-    "ROUND(ROUND(f_statistic, 4), 3) AS f_statistic, ROUND(ROUND(p_value, 6), 3) AS p_value"
+    "ROUND(ROUND(f_statistic, 4), 3) AS f_statistic, ROUND(p_value, 6) AS p_value"
 )
 _POST_COLUMNS = [
     "Id", "PostTypeId", "AcceptedAnswerId", "ParentId", f"strftime(CreationDate, {_TIME}) AS CreationDate", "Score",
@@ -302,8 +302,20 @@ def _summary(table: str, dated: bool) -> str:
     return f"SELECT '{table.lower()}' AS \"table\", COUNT(*) AS row_count, {dates} FROM ({ARCHIVE_SQL[table]})"
 
 
-def _sizes(tables: dict[str, str], *steps: str) -> str:
-    parts = [f"SELECT '{name}' AS report_table, COUNT(*) AS n FROM ({body})" for name, body in tables.items()]
+def _contents(tables: dict[str, str], *steps: str) -> str:
+    """Every value of every table of a report, as checks.queries reads them from its files."""
+    parts = []
+    for name, body in tables.items():
+        keys, numbers, texts = report_columns(name)
+        if name == PER_POST:
+            body = f"SELECT year_month, {', '.join(f'SUM({c}) AS {c}' for c in numbers)} FROM ({body}) GROUP BY 1"
+        key = "concat_ws('|', " + ", ".join(f'"{k}"' for k in keys) + ")"
+        cells = [(c, _plain_zero(f'ROUND(CAST("{c}" AS DOUBLE), {report_digits(c)})'), "CAST(NULL AS VARCHAR)") for c in numbers]
+        cells += [(c, "CAST(NULL AS DOUBLE)", f'substr(CAST("{c}" AS VARCHAR), 1, 10)') for c in texts]
+        parts += [
+            f"SELECT '{name}' AS report_table, {key} AS row_key, '{c}' AS column_name, {number} AS number, {text} AS text FROM ({body})"
+            for c, number, text in cells
+        ]
     return sql(" UNION ALL ".join(parts), *steps)
 
 
@@ -320,7 +332,37 @@ _PER_MONTH = (
 STEPS["early"] = f"SELECT {_YM} AS year_month FROM posts WHERE PostTypeId = 1 AND CreationDate >= DATE '{EARLY}'"
 _GAPS = _PER_MONTH.format("early").replace("1996-04-01", "1990-07-01")
 
+_CUSUM = (
+    "SELECT ROUND(ROUND(ABS(path) / sigma, 4), 3) AS cusum_max, strftime(month, '%Y-%m') AS cusum_max_month, "
+    "ROUND(ROUND(0.948 * SQRT(n), 4), 3) AS critical_5pct, ABS(path) / sigma > 0.948 * SQRT(n) AS significant_5pct, "
+    "metric FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY metric ORDER BY ABS(path) DESC, t) AS place FROM paths) "
+    "WHERE place = 1"
+)
+_ALL_SUMMARIES = " UNION ALL ".join(
+    _summary(t, t != "Tags") for t in ("Posts", "Users", "Comments", "PostLinks", "Tags")
+)
+_ACCEPTED_BY_DOMAIN = f"SELECT year_month, domain, COUNT(*) AS question_count, {ACCEPTED} FROM qd GROUP BY 1, 2"
+_COVERAGE_BY_DOMAIN = f"SELECT year_month, domain, COUNT(*) AS question_count, {COVERAGE} FROM qd GROUP BY 1, 2"
+_ENGAGEMENT_BY_DOMAIN = f"SELECT year_month, domain, COUNT(*) AS question_count, {MEANS} FROM qd GROUP BY 1, 2"
+_DOMAIN_PREPOST = (
+    f"SELECT domain, CASE WHEN CreationDate < '{RELEASE}' THEN 'pre' ELSE 'post' END AS period, "
+    f"COUNT(*) AS question_count, {ACCEPTED}, {COVERAGE}, {MEANS} FROM qd GROUP BY 1, 2"
+)
+
+
+def _manifest() -> str:
+    def one(table: str, columns: list[str]) -> str:
+        row = "concat_ws('|', " + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+        return (
+            f"SELECT '{table}' AS name, COUNT(*) AS row_count, "
+            f"CAST(SUM(CAST('0x' || substr(md5({row}), 1, 15) AS HUGEINT)) AS VARCHAR) AS digest FROM {table}"
+        )
+
+    return " UNION ALL ".join(one(t, c) for t, c in MANIFEST_TABLES.items())
+
+
 ORACLE = {
+    "dataset_manifest": _manifest(),
     "scan_dump_xml": _ALL_POSTS,
     "coerce_rows": _ALL_POSTS,
     "with_year_month": sql(
@@ -335,9 +377,10 @@ ORACLE = {
         for t, text in ARCHIVE_SQL.items()
     ),
     "verify_source": f"SELECT COUNT(*) AS source_rows FROM ({ARCHIVE_SQL['Comments']})",
-    "register_tables": (
-        f"SELECT {_YM} AS year_month, COUNT(*) AS n FROM ({ARCHIVE_SQL['Comments']}) GROUP BY 1 "
-        f"UNION ALL SELECT 'all', COUNT(*) FROM ({ARCHIVE_SQL['Tags']})"
+    "register_tables": " UNION ALL ".join(
+        f"SELECT '{t.lower()}' AS name, {'' if t == 'Tags' else _YM + ' AS'} {chr(39) + 'all' + chr(39) + ' AS' if t == 'Tags' else ''} year_month, "
+        f"COUNT(*) AS n FROM ({ARCHIVE_SQL[t]}) GROUP BY 2"
+        for t in ("Posts", "Users", "Comments", "Tags")
     ),
     "run_query": sql(
         f"SELECT Tags, COUNT(*) AS n FROM posts WHERE Score >= 5 AND {_IN} GROUP BY 1 "
@@ -360,14 +403,12 @@ ORACLE = {
     "summarize_table": _summary("Posts", True),
     "partition_count": sql(f"SELECT COUNT(DISTINCT {_YM}) AS partitions FROM posts", "posts"),
     "questions_per_month": sql(_PER_MONTH.format("q"), *POSTS),
-    "validation_summary": " UNION ALL ".join(
-        _summary(t, t != "Tags") for t in ("Posts", "Users", "Comments", "PostLinks", "Tags")
-    ),
+    "validation_summary": _ALL_SUMMARIES,
     "validation_gaps": sql(
         f"SELECT COUNT(*) AS months, COUNT(*) FILTER (is_gap) AS gaps FROM ({_GAPS})", "posts", "early"
     ),
-    "validation_report": _sizes(
-        {"data_validation.csv": "SELECT UNNEST(range(5))", "posts_per_month.csv": _PER_MONTH.format("q")}, *POSTS
+    "validation_report": _contents(
+        {"data_validation.csv": _ALL_SUMMARIES, "posts_per_month.csv": _PER_MONTH.format("q")}, *POSTS
     ),
     "monthly_volume": sql("SELECT * FROM volume", "posts", "volume"),
     "monthly_active_askers": sql("SELECT * FROM askers", *POSTS, "askers"),
@@ -386,7 +427,7 @@ ORACLE = {
         "LEFT JOIN coverage USING (year_month) LEFT JOIN engagement USING (year_month)",
         *POSTS, "volume", "askers", "accepted", "coverage", "engagement",
     ),
-    "metrics_report": _sizes(
+    "metrics_report": _contents(
         {
             "monthly_volume.csv": "SELECT * FROM volume",
             "active_askers.csv": "SELECT * FROM askers",
@@ -418,14 +459,14 @@ ORACLE = {
         *DOMAIN,
     ),
     "domain_volume_change": sql(CHANGE, *DOMAIN, "domain_counts", "change"),
-    "domain_report": _sizes(
+    "domain_report": _contents(
         {
             "domain_volume.csv": "SELECT * FROM domain_counts",
-            "domain_accepted_rate.csv": "SELECT * FROM domain_counts",
-            "domain_coverage.csv": "SELECT * FROM domain_counts",
-            "domain_engagement.csv": "SELECT * FROM domain_counts",
+            "domain_accepted_rate.csv": _ACCEPTED_BY_DOMAIN,
+            "domain_coverage.csv": _COVERAGE_BY_DOMAIN,
+            "domain_engagement.csv": _ENGAGEMENT_BY_DOMAIN,
             "domain_response_time.csv": "SELECT * FROM domain_waits",
-            "domain_prepost_summary.csv": f"SELECT DISTINCT domain, CreationDate < '{RELEASE}' FROM qd",
+            "domain_prepost_summary.csv": _DOMAIN_PREPOST,
             "domain_volume_change.csv": CHANGE,
         },
         *DOMAIN, "domain_counts", "change", "waits", "domain_waits",
@@ -443,10 +484,10 @@ ORACLE = {
         *POSTS, "pop", "plan6",
     ),
     "stratified_monthly_sample": sql("SELECT year_month, Id, Title FROM sample6", *SAMPLE6),
-    "body_prose": f"SELECT page_id, {_prose('html')} AS prose FROM pages",
+    "body_prose": f"SELECT page_id, {_prose('html')} AS prose, 'it isn''t ' || page_id || ' t''s k l' AS odd_prose FROM pages",
     "code_blocks": sql(
-        f"SELECT Id, array_to_string(b, '|') AS blocks, CAST(len(b) AS INT) AS n FROM "
-        f"(SELECT Id, {_blocks('Body')} AS b FROM posts WHERE PostTypeId = 1)",
+        f"SELECT Id, array_to_string(b, '|') AS blocks, CAST(len(b) AS INT) AS n, 'ab' || Id || 'c|c' || chr(8807) || chr(824) AS odd_blocks "
+        f"FROM (SELECT Id, {_blocks('Body')} AS b FROM posts)",
         "posts",
     ),
     "page_links": "SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<a\\s')) AS INT) AS link_count FROM pages",
@@ -457,18 +498,18 @@ ORACLE = {
         + " FROM distributions",
         *FEATURES, "distributions",
     ),
-    "features_report": _sizes(
-        {"post_features.csv": "SELECT * FROM features", "lex_features.csv": "SELECT DISTINCT year_month FROM features"},
-        *FEATURES,
+    "features_report": _contents(
+        {"post_features.csv": "SELECT * FROM features", "lex_features.csv": "SELECT * FROM distributions"},
+        *FEATURES, "distributions",
     ),
     "classify_intent": sql(
-        f"SELECT Id, {INTENT_CASE} AS intent FROM (SELECT Id, {_TEXT} AS body_text FROM q)", *POSTS
+        f"SELECT Id, {INTENT_CASE} AS intent, 'Discrepancy' AS odd_intent FROM (SELECT Id, {_TEXT} AS body_text FROM q)", *POSTS
     ),
     "per_post_intents": sql("SELECT * FROM intents", *INTENTS),
     "monthly_intent_distribution": sql("SELECT * FROM distribution", *INTENTS, "distribution"),
     "monthly_intent_wide": sql("SELECT * FROM wide", *INTENTS, "wide"),
     "prepost_intent_summary": sql("SELECT * FROM prepost", *INTENTS, "prepost"),
-    "topics_report": _sizes(
+    "topics_report": _contents(
         {
             "post_intents.csv": "SELECT * FROM intents",
             "monthly_intent_distribution.csv": "SELECT * FROM distribution",
@@ -488,21 +529,11 @@ ORACLE = {
         f"SELECT {_CHOW}, df_numerator, df_denominator, breakpoint_month, metric FROM many_chow",
         "many", "many_indexed", "many_fits", "many_chow",
     ),
-    "cusum_test": sql(
-        "SELECT ROUND(ROUND(ABS(path) / sigma, 4), 3) AS cusum_max, strftime(month, '%Y-%m') AS cusum_max_month, "
-        "ROUND(ROUND(0.948 * SQRT(n), 4), 3) AS critical_5pct, ABS(path) / sigma > 0.948 * SQRT(n) AS significant_5pct, "
-        "metric FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY metric ORDER BY ABS(path) DESC, t) AS place FROM paths) "
-        "WHERE place = 1",
-        *BREAKS, "paths",
-    ),
+    "cusum_test": sql(_CUSUM, *BREAKS, "paths"),
     "its_regression": sql("SELECT * FROM series_its", *BREAKS, "series_terms", "series_its"),
     "its_regression_many": sql(
         "SELECT * FROM many_its", "many", "many_indexed", "many_fits", "many_terms", "many_its"
     ),
-    "structural_break_report": _sizes(
-        {f"{name}.csv": "SELECT DISTINCT metric FROM series" for name in ("chow_test", "cusum_test", "its_regression")},
-        *SERIES,
-    ),
     "quality_band": sql(
         "SELECT year_month, ROUND(accepted_rate, 9) AS accepted_rate, ROUND(coverage_rate, 9) AS coverage_rate, "
         "ROUND(coverage_rate - accepted_rate, 9) AS band FROM accepted JOIN coverage USING (year_month)",
@@ -528,6 +559,14 @@ ORACLE = {
         *FEATURES, "distributions",
     ),
 }
+ORACLE["structural_break_report"] = _contents(
+    {
+        "chow_test.csv": "SELECT metric, ROUND(f_statistic, 4) AS f_statistic, p_value, df_numerator, df_denominator, breakpoint_month FROM series_chow",
+        "cusum_test.csv": _CUSUM,
+        "its_regression.csv": "SELECT * FROM series_its",
+    },
+    *BREAKS, "series_chow", "paths", "series_terms", "series_its",
+)
 ORACLE["intent_stack"] = sql(
     "SELECT year_month, intent, CAST(place AS INT) AS stack_order, ROUND(fraction, 9) AS fraction, "
     "ROUND(SUM(fraction) OVER (PARTITION BY year_month ORDER BY place), 9) AS cumulative FROM long JOIN "

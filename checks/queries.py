@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.params import EARLY, RELEASE, START
+from checks.params import EARLY, MANIFEST_TABLES, ODD_BODY, PER_POST, RELEASE, START, report_columns, report_digits
 from qapulse.functions import html, intents, tags
 from qapulse.operators import breaks, domains, features, figures, metrics, sampling, topics, validate
 from qapulse.plans import reports
@@ -131,18 +131,28 @@ def verify_source(spark, sf):
 
 
 def dataset_manifest(spark, sf):
-    return manifest.dataset_manifest(spark, sf, "*.parquet").select("name", "size_bytes", "sha256")
+    # Tables whose columns print alike in both engines, read whole; sizes and times are no SQL's business.
+    parts = [
+        manifest.dataset_manifest(spark, f"{sf}/{table}.parquet", "*.parquet").select(F.lit(table).alias("name"), "row_count", "digest")
+        for table in MANIFEST_TABLES
+    ]
+    rows = reduce(DataFrame.unionByName, parts)
+    # A table may be one file or several: digests of parts add up to that of the whole.
+    return rows.groupBy("name").agg(
+        F.sum("row_count").alias("row_count"), F.sum(F.col("digest").cast("decimal(38,0)")).cast("string").alias("digest")
+    )
 
 
 def register_tables(spark, sf):
     root = shared_dir(spark, "lake")
-    for table in ("Comments", "Tags"):
+    tables = [t for t in INGEST_ORDER if t != "PostLinks"]  # an absent one is skipped with a warning
+    for table in tables:
         lake.write_partitioned(declared(star_table(spark, sf, table), table), table, root)
+    spark.sql("DROP VIEW IF EXISTS postlinks")
     lake.register_tables(spark, root)
-    return spark.sql(
-        "SELECT year_month, count(*) AS n FROM comments GROUP BY 1 "
-        "UNION ALL SELECT year_month, count(*) FROM tags GROUP BY 1"
-    )
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{t.lower()}' AS name, year_month, count(*) AS n FROM {t.lower()} GROUP BY 2" for t in tables
+    ))
 
 
 def run_query(spark, sf):
@@ -203,19 +213,27 @@ def validation_gaps(spark, sf):
     return validate.gap_summary(validate.questions_per_month(star_posts(spark, sf), EARLY))
 
 
-def _report_sizes(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    parts = [
-        spark.read.option("header", True).csv(path).agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(name).alias("report_table"), "n"
-        )
-        for name, path in files.items()
-    ]
+def _report_contents(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """Every value of every table of a report: numbers rounded, everything else as text."""
+    parts = []
+    for name, path in files.items():
+        keys, numbers, texts = report_columns(name)
+        rows = spark.read.option("header", True).csv(path)
+        if name == PER_POST:  # many rows a month and no key: their sums
+            rows = rows.groupBy("year_month").agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in numbers])
+        key = F.concat_ws("|", *keys)
+        values = [F.struct(F.lit(c).alias("c"), F.round(F.col(c).cast("double"), report_digits(c)).alias("v"), F.lit(None).cast("string").alias("t")) for c in numbers]
+        values += [F.struct(F.lit(c).alias("c"), F.lit(None).cast("double").alias("v"), F.substring(c, 1, 10).alias("t")) for c in texts]
+        cell = F.explode(F.array(*values)).alias("x")
+        parts.append(rows.select(F.lit(name).alias("report_table"), key.alias("row_key"), cell).select(
+            "report_table", "row_key", F.col("x.c").alias("column_name"), F.col("x.v").alias("number"), F.col("x.t").alias("text")
+        ))
     return reduce(DataFrame.unionByName, parts)
 
 
 def validation_report(spark, sf):
     files = reports.validation_report(spark, _tables(spark, sf), shared_dir(spark, "report"), START)
-    return _report_sizes(spark, files)
+    return _report_contents(spark, files)
 
 
 # --- metrics, domains ----------------------------------------------------------------------------
@@ -255,7 +273,7 @@ def monthly_counters(spark, sf):
 
 def metrics_report(spark, sf):
     files = reports.metrics_report(spark, star_posts(spark, sf), shared_dir(spark, "report"), START)
-    return _report_sizes(spark, files)
+    return _report_contents(spark, files)
 
 
 def tag_domain(spark, sf):
@@ -293,7 +311,7 @@ def domain_volume_change(spark, sf):
 
 def domain_report(spark, sf):
     files = reports.domain_report(spark, star_posts(spark, sf), shared_dir(spark, "report"), START, RELEASE)
-    return _report_sizes(spark, files)
+    return _report_contents(spark, files)
 
 
 # --- sampling, text features, intents ------------------------------------------------------------
@@ -325,13 +343,15 @@ def stratified_monthly_sample(spark, sf):
 
 def body_prose(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    return pages.select("page_id", html.body_prose(F.col("html")).alias("prose"))
+    odd = F.replace(F.lit(ODD_BODY), F.lit("{}"), F.col("page_id").cast("string"))
+    return pages.select("page_id", html.body_prose(F.col("html")).alias("prose"), html.body_prose(odd).alias("odd_prose"))
 
 
 def code_blocks(spark, sf):
     blocks = html.code_blocks(F.col("Body"))
-    return star_posts(spark, sf).where("PostTypeId = 1").select(
-        "Id", F.array_join(blocks, "|").alias("blocks"), F.size(blocks).alias("n")
+    odd = html.code_blocks(F.replace(F.lit(ODD_BODY), F.lit("{}"), F.col("Id").cast("string")))
+    return star_posts(spark, sf).select(
+        "Id", F.array_join(blocks, "|").alias("blocks"), F.size(blocks).alias("n"), F.array_join(odd, "|").alias("odd_blocks")
     )
 
 
@@ -360,12 +380,17 @@ def monthly_feature_distributions(spark, sf):
 
 def features_report(spark, sf):
     files = reports.features_report(spark, star_posts(spark, sf), shared_dir(spark, "report"), START)
-    return _report_sizes(spark, files)
+    return _report_contents(spark, files)
 
 
 def classify_intent(spark, sf):
     asked = questions(star_posts(spark, sf), START)
-    return intents.with_intent(asked, F.col("Title"), html.body_prose(F.col("Body"))).select("Id", "intent")
+    found = intents.with_intent(asked, F.col("Title"), html.body_prose(F.col("Body"))).select("Id", "intent")
+    # A body whose intent hangs on a reference.
+    odd = F.concat(F.lit("<p>Order "), F.col("Id").cast("string"), F.lit(" doesn&apos;t work</p>"))
+    return intents.with_intent(found.withColumnRenamed("intent", "own"), F.lit(None).cast("string"), html.body_prose(odd)).select(
+        "Id", F.col("own").alias("intent"), F.col("intent").alias("odd_intent")
+    )
 
 
 def per_post_intents(spark, sf):
@@ -386,7 +411,7 @@ def prepost_intent_summary(spark, sf):
 
 def topics_report(spark, sf):
     files = reports.topics_report(spark, star_posts(spark, sf), shared_dir(spark, "report"), START, RELEASE)
-    return _report_sizes(spark, files)
+    return _report_contents(spark, files)
 
 
 # --- structural breaks ---------------------------------------------------------------------------
@@ -416,7 +441,7 @@ def breakpoint_index(spark, sf):
 
 
 def _chow_rounded(chow: DataFrame) -> DataFrame:
-    return _rounded(chow, STAT_DIGITS, "f_statistic", "p_value")
+    return _rounded(chow, STAT_DIGITS, "f_statistic")
 
 
 def chow_test(spark, sf):
@@ -432,7 +457,7 @@ def cusum_test(spark, sf):
 
 
 def _its_rounded(its: DataFrame) -> DataFrame:
-    return _rounded(its, STAT_DIGITS, *[c for c in its.columns if c.endswith(("_coef", "_se", "_t", "_p", "squared"))])
+    return _rounded(its, STAT_DIGITS, *[c for c in its.columns if c.endswith(("_coef", "_se"))])
 
 
 def its_regression(spark, sf):
@@ -445,7 +470,7 @@ def its_regression_many(spark, sf):
 
 def structural_break_report(spark, sf):
     files = reports.breaks_report(spark, star_posts(spark, sf), shared_dir(spark, "report"), START, RELEASE)
-    return _report_sizes(spark, files)
+    return _report_contents(spark, files)
 
 
 # --- tables behind the charts --------------------------------------------------------------------

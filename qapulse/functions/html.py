@@ -2,28 +2,34 @@
 
 A ``<pre>`` region is a code block; everything else, inline ``<code>`` included, is prose. Regions
 left open run to the end of the text. A ``<pre>`` nested in another one belongs to the outer block.
+References are decoded if they end in a semicolon: all names of HTML 5, and numbers with any number of
+leading zeros; 128 to 159 are control characters, not their Windows meaning.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Rest of an opening tag: quoted attribute values may hold '>'. Possessive quantifiers keep Java's
+# matcher from recursing.
+_REST = r"""(?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
+# A name ends here: "<pre-x>" is another element.
+_END = r"(?=[\s/>])"
 # Comments and the contents of script, style and template elements are not text.
-_HIDDEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    r"|<script\b.*?(?:</script\s*>|\z)"
-    r"|<style\b.*?(?:</style\s*>|\z)"
-    r"|<template\b.*?(?:</template\s*>|\z)"
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)" + "".join(
+    rf"|<{name}{_END}.*?(?:</{name}\s*>|\z)" for name in ("script", "style", "template")
 )
-_PRE = r"(?is)<pre\b[^>]*>(.*?)(?:</pre\s*>|\z)"
-# A tag starts with a letter, '/', '!' or '?', so a bare "a < b" stays text; quoted attribute
-# values may hold '>'. Possessive quantifiers keep Java's matcher from recursing.
-_TAG = r"""<[A-Za-z/!?](?:(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+>)"""
+_PRE = rf"(?is)<pre{_END}{_REST}(.*?)(?:</pre\s*>|\z)"
+_PRE_TAG = rf"(?is)<(?:(/)pre\s*>|pre{_END}{_REST})"
+# A tag starts with a letter, '/', '!' or '?', so a bare "a < b" stays text.
+_TAG = rf"<[A-Za-z/!?]{_REST}"
 # A cut region must still separate the text on both sides of it.
 _SEPARATOR = "<!>"
+# Between code blocks; these two are no characters of any text.
+_BLOCK = "\ufffe\uffff"
 # The characters str.strip() removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -43,17 +49,15 @@ def _code_point(number: Column) -> Column:
 
 
 def _decode_any(text: Column) -> Column:
-    """One pass over the references of a text: named (HTML 4), decimal and hexadecimal."""
-    named = F.create_map(
-        *[F.lit(x) for name, point in name2codepoint.items() for x in (name, chr(point))]
-    )
+    """One pass over the references of a text: named, decimal and hexadecimal."""
+    names = "\x1e".join(f"{name[:-1]}\x1f{chars}" for name, chars in html5.items() if name.endswith(";"))
+    named = F.str_to_map(F.lit(names), F.lit("\x1e"), F.lit("\x1f"))
 
     def piece(part: Column, index: Column) -> Column:
-        name = F.regexp_extract(part, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        number = F.when(
-            F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substr(name, F.lit(3)), 16, 10)
-        ).otherwise(F.substr(name, F.lit(2)))
-        char = F.when(name.startswith("#"), _code_point(number.cast("bigint"))).otherwise(named[name])
+        name = F.regexp_extract(part, r"^(#0*[0-9]{1,7}|#[xX]0*[0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        digits = F.regexp_extract(name, r"^#[xX]?0*(.+)$", 1)
+        number = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits)
+        char = F.when(name.startswith("#"), _code_point(F.nullif(number, F.lit("")).cast("bigint"))).otherwise(named[name])
         decoded = F.concat(char, F.substr(part, F.length(name) + 2))
         return F.when(index == 0, part).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), part)))
 
@@ -69,29 +73,63 @@ def decode_entities(text: Column) -> Column:
     for name, char in _COMMON.items():
         cheap = F.replace(cheap, F.lit(f"&{name};"), F.lit(char))
     rare = text.rlike(f"&(?!(?:{'|'.join(_COMMON)});)[#A-Za-z]")
-    return F.when(~text.contains("&"), text).when(rare, _decode_any(text)).otherwise(cheap)
+    return F.when(rare, _decode_any(text)).otherwise(cheap)
+
+
+def _decoded(texts: Column, source: Column) -> Column:
+    """The texts decoded, if the text they come from has a reference at all."""
+    return F.when(source.contains("&"), F.transform(texts, decode_entities)).otherwise(texts)
 
 
 def _visible(html: Column) -> Column:
     html = F.coalesce(html, F.lit(""))
     # Most bodies have no hidden region: a plain substring test spares them the regex copy.
-    return F.when(html.contains("<!--") | html.rlike("(?i)<(?:script|style|template)\\b"),
+    return F.when(html.contains("<!--") | html.rlike(f"(?i)<(?:script|style|template){_END}"),
                   F.regexp_replace(html, _HIDDEN, _SEPARATOR)).otherwise(html)
 
 
+def _nested(html: Column) -> Column:
+    """Whether a ``<pre>`` opens before the one in front of it is closed; few bodies have that."""
+    tags = F.regexp_extract_all(html, F.lit(_PRE_TAG), F.lit(1))
+    return F.array_join(F.transform(tags, lambda t: F.when(t == "/", ")").otherwise("(")), "").contains("((")
+
+
+def _by_depth(html: Column) -> Column:
+    """Pieces between the ``<pre>`` tags, with the depth of each and of the one before it."""
+    tags = F.regexp_extract_all(html, F.lit(_PRE_TAG), F.lit(1))
+    depths = F.aggregate(
+        tags, F.array(F.lit(0)),
+        lambda seen, tag: F.concat(seen, F.array(F.greatest(F.lit(0), F.element_at(seen, -1) + F.when(tag == "/", -1).otherwise(1)))),
+    )
+    earlier = F.concat(F.array(F.lit(1)), depths)
+    return F.zip_with(
+        F.split(html, _PRE_TAG), F.arrays_zip(depths.alias("depth"), F.slice(earlier, 1, F.size(depths)).alias("before")),
+        lambda text, d: F.struct(text.alias("text"), d["depth"].alias("depth"), d["before"].alias("before")),
+    )
+
+
 def body_prose(html: Column) -> Column:
     """Text outside ``<pre>``: every text node stripped, empty ones dropped, joined by one space."""
-    outside = F.regexp_replace(_visible(html), _PRE, _SEPARATOR)
-    nodes = F.transform(
-        F.split(outside, _TAG), lambda node: F.btrim(decode_entities(node), F.lit(WHITESPACE))
-    )
+    shown = _visible(html)
+    balanced = F.array_join(F.transform(F.filter(_by_depth(shown), lambda x: x["depth"] == 0), lambda x: x["text"]), _SEPARATOR)
+    outside = F.when(_nested(shown), balanced).otherwise(F.regexp_replace(shown, _PRE, _SEPARATOR))
+    nodes = F.transform(_decoded(F.split(outside, _TAG), outside), lambda node: F.btrim(node, F.lit(WHITESPACE)))
     return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
 
 def code_blocks(html: Column) -> Column:
     """Ordered texts of the ``<pre>`` regions, inner tags removed."""
-    blocks = F.regexp_extract_all(_visible(html), F.lit(_PRE), F.lit(1))
-    return F.transform(blocks, lambda block: decode_entities(F.regexp_replace(block, _TAG, "")))
+    shown = _visible(html)
+    # A piece outside all blocks ends the block before it, if there is one.
+    marked = F.transform(
+        _by_depth(shown), lambda x: F.when(x["depth"] > 0, x["text"]).when(x["before"] > 0, _BLOCK).otherwise("")
+    )
+    parts = F.split(F.array_join(marked, ""), _BLOCK)
+    ended = F.element_at(parts, -1) == ""
+    balanced = F.slice(parts, 2, F.size(parts) - 1 - F.when(ended, 1).otherwise(0))
+    blocks = F.when(_nested(shown), balanced).otherwise(F.regexp_extract_all(shown, F.lit(_PRE), F.lit(1)))
+    plain = F.transform(blocks, lambda block: F.regexp_replace(block, _TAG, ""))
+    return _decoded(plain, shown)
 
 
 def link_count(html: Column) -> Column:

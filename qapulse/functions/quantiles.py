@@ -2,14 +2,15 @@
 
 The built-in exact ``percentile`` keeps every distinct value of a group in one task's memory. That
 fails once a month holds a large share of an archive. Here the values are cut into buckets of
-``2**BUCKET_BITS``; bucket counts locate the bucket of each wanted rank, and only rows of those
-buckets are counted value by value:
+``2**BUCKET_BITS``; bucket counts locate the bucket of each wanted rank, and only the values of those
+buckets are ranked:
 
 * every aggregation is combined on the map side, so a hot month or a hot value spreads over all tasks;
 * a window sees at most one row per bucket of a group, then one row per distinct value of a bucket
   (at most ``2**BUCKET_BITS``), and such windows sort with spilling.
 
-Input rows are read twice; their shuffles are reused by Spark, not recomputed.
+The rows are counted once, by value; both the bucket counts and the ranked values come from that one
+exchange, so what makes the rows (a join, say) runs once.
 """
 
 from __future__ import annotations
@@ -30,13 +31,13 @@ def exact_quantiles(
     count: str,
     divisor: float = 1.0,
     weight: str | None = None,
-    few_groups: bool = True,
+    few_groups: bool = False,
 ) -> DataFrame:
     """``keys``, the number of rows ``count`` (NULL values included), and one quantile per point.
 
     The buckets holding a wanted rank, at most ``2 * len(points)`` rows per group, are broadcast. That
     is bounded for calendar months and fixed labels (a century of months with four labels: 20,000
-    rows). For keys that grow with the data pass ``few_groups=False``; Spark then chooses the join.
+    rows): callers with such keys pass ``few_groups=True``. Otherwise Spark chooses the join.
     """
     in_group = [*keys, "bucket"]
     group, bucket = ", ".join(keys), ", ".join(in_group)
@@ -45,11 +46,11 @@ def exact_quantiles(
         f"shiftright({value}, {BUCKET_BITS}) AS bucket",
         f"{value} AS v",
         f"CAST({weight or 1} AS BIGINT) AS w",
-    )
+    ).groupBy(*in_group, "v").agg(F.sum("w").alias("n"))
     # NULL values form a bucket of their own that holds no rank.
     valid = "IF(bucket IS NULL, 0, n)"
     order = f"PARTITION BY {group} ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING"
-    buckets = rows.groupBy(*in_group).agg(F.sum("w").alias("n")).selectExpr(
+    buckets = rows.groupBy(*in_group).agg(F.sum("n").alias("n")).selectExpr(
         *[f"{c} AS hot_{c}" for c in in_group],
         f"SUM({valid}) OVER ({order} AND CURRENT ROW) AS upto",
         f"SUM({valid}) OVER ({order} AND CURRENT ROW) - {valid} AS before",
@@ -73,14 +74,9 @@ def exact_quantiles(
     # from reusing the shuffles of the rows.
     same = F.expr(" AND ".join(f"{c} <=> hot_{c}" for c in in_group))
     carried = ["total", "all_rows", *ranks]
-    values = (
-        rows.join(F.broadcast(hot) if few_groups else hot, same)
-        .groupBy(*in_group, "v")
-        .agg(F.sum("w").alias("n"), *[F.max(c).alias(c) for c in carried])
-        .selectExpr(
-            *keys, "v", "n", *carried,
-            f"SUM(n) OVER (PARTITION BY {bucket} ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto",
-        )
+    values = rows.join(F.broadcast(hot) if few_groups else hot, same).selectExpr(
+        *keys, "v", "n", *carried,
+        f"SUM(n) OVER (PARTITION BY {bucket} ORDER BY v ROWS UNBOUNDED PRECEDING) AS upto",
     )
     at_rank = [F.expr(f"MAX(IF({c} >= upto - n AND {c} < upto, v, NULL)) AS {c}") for c in ranks]
     picked = values.groupBy(*keys).agg(

@@ -9,6 +9,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def unlimited_sample_size(
+    alpha: float = 0.05, power: float = 0.80, effect_size: float = 0.2, margin: float = 0.02, n_categories: int = 1
+) -> int:
+    """The size for an unlimited population: no population needs more."""
+    z = NormalDist().inv_cdf
+    for_power = math.ceil(((z(1 - alpha / 2) + z(power)) / effect_size) ** 2)
+    for_margin = math.ceil(z(1 - alpha / max(n_categories, 1) / 2) ** 2 * 0.25 / margin**2)
+    return max(for_power, for_margin)
+
+
 def required_sample_size(
     population: Column,
     alpha: float = 0.05,
@@ -21,9 +31,6 @@ def required_sample_size(
 
     Only the margin criterion is Bonferroni-adjusted, for ``n_categories`` simultaneous proportions.
     """
-    z = NormalDist().inv_cdf
-    for_power = math.ceil(((z(1 - alpha / 2) + z(power)) / effect_size) ** 2)
-    for_margin = math.ceil(z(1 - alpha / max(n_categories, 1) / 2) ** 2 * 0.25 / margin**2)
-    unlimited = max(for_power, for_margin)
+    unlimited = unlimited_sample_size(alpha, power, effect_size, margin, n_categories)
     corrected = F.ceil(unlimited * population / (population + (unlimited - 1)).cast("double"))
     return F.least(corrected, population)

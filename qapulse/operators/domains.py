@@ -56,7 +56,7 @@ def domain_counters(posts: DataFrame, start: date = START) -> DataFrame:
 def domain_response_time(posts: DataFrame, start: date = START) -> DataFrame:
     waits = first_answers(posts, start, carry=["Tags"]).withColumn("domain", _domain())
     return labelled(
-        exact_quantiles(waits, ["month", "domain"], "elapsed", LATENCY, "answered_count", divisor=1e6)
+        exact_quantiles(waits, ["month", "domain"], "elapsed", LATENCY, "answered_count", divisor=1e6, few_groups=True)
     )
 
 

@@ -112,7 +112,7 @@ def first_answers(posts: DataFrame, start: date, carry: Sequence[str] = ()) -> D
 def monthly_time_to_first_answer(posts: DataFrame, start: date = START) -> DataFrame:
     waits = first_answers(posts, start)
     return labelled(
-        exact_quantiles(waits, ["month"], "elapsed", LATENCY, "answered_count", divisor=1e6)
+        exact_quantiles(waits, ["month"], "elapsed", LATENCY, "answered_count", divisor=1e6, few_groups=True)
     )
 
 
@@ -137,7 +137,7 @@ def monthly_time_to_acceptance(posts: DataFrame, start: date = START) -> DataFra
     )
     return labelled(
         exact_quantiles(
-            waits, ["month"], "elapsed", LATENCY, "accepted_count", divisor=1e6, weight="copies"
+            waits, ["month"], "elapsed", LATENCY, "accepted_count", divisor=1e6, weight="copies", few_groups=True
         )
     )
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from qapulse.constants import START
 from qapulse.functions.calendar import month_of, ordered_by, questions
-from qapulse.functions.sample_size import required_sample_size
+from qapulse.functions.sample_size import required_sample_size, unlimited_sample_size
 from qapulse.operators.metrics import labelled
 
-# Sampling order is the md5 of the id; this many leading hex digits form its histogram (4,096 bins).
-_PREFIX = 3
+# Sampling order is the md5 of the id; this many leading hex digits form its histogram (65,536 bins).
+_PREFIX = 4
 # A month's last candidates are cut down in this many independent groups before they meet.
 _SPREAD = 64
 
@@ -50,12 +50,6 @@ def sample_plan_summary(plan: DataFrame) -> DataFrame:
     )
 
 
-def sample_cap(posts: DataFrame, start: date = START, **criteria) -> int:
-    """The largest monthly requirement: one number, fetched so that the filters below see a literal."""
-    plan = sample_plan(_populations(posts, start), **criteria)
-    return plan.agg(F.max("required_n")).first()[0] or 0
-
-
 def _digest(identifier: Column) -> Column:
     return F.md5(identifier.cast("string"))
 
@@ -72,42 +66,39 @@ def stratified_monthly_sample(
 ) -> DataFrame:
     """``month`` and ``columns`` of the first ``cap`` questions of each month, ordered by md5 of the id.
 
-    ``cap`` is the largest monthly requirement, so smaller months are enumerated in full. A pass over
-    ids and dates finds for each month the digest prefix below which the sample ends; only rows up to
-    that prefix, about ``cap`` per month, carry their text into a shuffle. They are first ranked in
-    ``_SPREAD`` independent groups per month, so that copies of one question cannot fill one task.
+    ``cap`` is the largest monthly requirement, so smaller months are enumerated in full. One pass over
+    ids and dates counts each month's digest prefixes; populations, ``cap`` and the prefix at which a month's
+    sample ends all follow from those counts. Only rows up to that prefix, about ``cap`` per month,
+    carry their text into a shuffle. They are first ranked in ``_SPREAD`` independent groups per month, so that copies of
+    one question cannot fill one task. Nothing runs until the frame is used.
     """
-    cap = sample_cap(
-        posts, start, alpha=alpha, power=power, effect_size=effect_size, margin=margin,
-        n_categories=n_categories,
-    )
     keyed = questions(posts, start).withColumn("month", month_of(F.col("CreationDate")))
     prefix = F.substring(_digest(F.col("Id")), 1, _PREFIX)
     upto = Window.partitionBy("month").orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)
-    # One row per calendar month at most, hence safe to broadcast.
-    ends = (
-        keyed.groupBy("month", prefix.alias("prefix"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(upto))
-        .where(F.col("upto") >= cap)
-        .groupBy("month")
-        .agg(F.min("prefix").alias("last_prefix"))
-        .withColumnRenamed("month", "end_month")
+    every = Window.partitionBy(F.lit(0))
+    counted = keyed.groupBy("month", prefix.alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    criteria = dict(alpha=alpha, power=power, effect_size=effect_size, margin=margin, n_categories=n_categories)
+    # From here to the join there is one row per calendar month and prefix, then one per month: safe to broadcast.
+    reached = counted.withColumn("upto", F.sum("n").over(upto))
+    months = sample_plan(counted.groupBy("month").agg(F.sum("n").alias("n")), **criteria).select(
+        F.col("month").alias("end_month"), F.max("required_n").over(every).alias("cap")
     )
+    ends = months.join(reached, (F.col("month") == F.col("end_month")) & (F.col("upto") >= F.col("cap")), "left")
+    ends = ends.groupBy("end_month", "cap").agg(F.min("prefix").alias("last_prefix"))
     rows = keyed.select(
         "month", *columns, _digest(F.col("Id")).alias("digest"), F.col("Id").alias("sample_id"),
         F.spark_partition_id().alias("part"),
     )
-    candidates = rows.join(
-        F.broadcast(ends), F.col("month") == F.col("end_month"), "left"
-    ).where(
+    candidates = rows.join(F.broadcast(ends), F.col("month") == F.col("end_month")).where(
         F.col("last_prefix").isNull()
         | (F.substring("digest", 1, _PREFIX) <= F.col("last_prefix"))
     ).withColumn("part", F.col("part") % _SPREAD)
 
+    # No month needs more than the size for an unlimited population: a number Spark can limit by before a shuffle.
+    most = unlimited_sample_size(**criteria)
     order = [F.col("digest"), F.col("sample_id"), F.xxhash64(*columns)]
     ranked = candidates
     for groups in (["month", "part"], ["month"]):
         rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-        ranked = ranked.withColumn("rank", rank).where(F.col("rank") <= cap)
+        ranked = ranked.withColumn("rank", rank).where((F.col("rank") <= most) & (F.col("rank") <= F.col("cap")))
     return ranked.select("month", *columns)

@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
 from qapulse.constants import RELEASE, START
 from qapulse.operators import breaks, domains, features, metrics, topics, validate
+from qapulse.session import shared_dir
 from qapulse.sources.lake import write_table_csv
 
 
-def _stored(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
-    """Write an intermediate table that several outputs read, and read it back.
+def _stored(rows: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table that several outputs read to the shared scratch folder, and read it back.
 
     Lineage is cut by files every executor can see, so a lost executor never repeats the scan.
     """
-    rows.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    path = shared_dir(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
-def _write_all(tables: Mapping[str, DataFrame], out: str) -> dict[str, str]:
-    return {
-        name: write_table_csv(table, out, name, one_part=not name.startswith("post_"))
-        for name, table in tables.items()
-    }
+def _write_all(tables: Mapping[str, DataFrame], out: str, per_post: Collection[str] = ()) -> dict[str, str]:
+    """Write the tables; those of ``per_post`` have a row per post and keep their partitions."""
+    return {name: write_table_csv(table, out, name, one_part=name not in per_post) for name, table in tables.items()}
 
 
 def validation_report(
@@ -44,7 +44,7 @@ def metrics_report(
     spark: SparkSession, posts: DataFrame, out: str, start: date = START
 ) -> dict[str, str]:
     """All monthly metrics; the five without a join share one pass over the posts."""
-    counters = _stored(metrics.monthly_counters(posts, start), spark, f"{out}/_work/counters")
+    counters = _stored(metrics.monthly_counters(posts, start), "counters")
     asked = counters.where("question_count > 0")
     columns = {
         "active_askers": ["distinct_askers"],
@@ -69,7 +69,7 @@ def domain_report(
     release: date = RELEASE,
 ) -> dict[str, str]:
     """All domain tables; the four monthly ones and the change table share one pass."""
-    counters = _stored(domains.domain_counters.unordered(posts, start), spark, f"{out}/_work/domains")
+    counters = _stored(domains.domain_counters.unordered(posts, start), "domains")
     keys = ["year_month", "domain"]
     shared = counters.orderBy(*keys)
     return _write_all(
@@ -89,13 +89,14 @@ def domain_report(
 def features_report(
     spark: SparkSession, posts: DataFrame, out: str, start: date = START
 ) -> dict[str, str]:
-    per_post = _stored(features.per_post_features(posts, start), spark, f"{out}/_work/features")
+    per_post = _stored(features.per_post_features(posts, start), "features")
     return _write_all(
         {
             "post_features.csv": per_post,
             "lex_features.csv": features.feature_distributions(per_post),
         },
         out,
+        per_post=["post_features.csv"],
     )
 
 
@@ -106,7 +107,7 @@ def topics_report(
     start: date = START,
     release: date = RELEASE,
 ) -> dict[str, str]:
-    per_post = _stored(topics.per_post_intents(posts, start), spark, f"{out}/_work/intents")
+    per_post = _stored(topics.per_post_intents(posts, start), "intents")
     return _write_all(
         {
             "post_intents.csv": per_post,
@@ -115,6 +116,7 @@ def topics_report(
             "prepost_intent_summary.csv": topics.prepost_intent_summary(per_post, release),
         },
         out,
+        per_post=["post_intents.csv"],
     )
 
 
@@ -125,6 +127,6 @@ def breaks_report(
     start: date = START,
     release: date = RELEASE,
 ) -> dict[str, str]:
-    series = _stored(breaks.metric_series(posts, start), spark, f"{out}/_work/series")
+    series = _stored(breaks.metric_series(posts, start), "series")
     tables = breaks.structural_break_report(series, release)
     return _write_all({f"{name}.csv": table for name, table in tables.items()}, out)

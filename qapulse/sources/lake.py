@@ -31,7 +31,7 @@ def table_path(root: str, table: str) -> str:
 
 
 def write_partitioned(
-    rows: DataFrame, table: str, root: str, max_records_per_file: int = 20_000_000
+    rows: DataFrame, table: str, root: str, max_records_per_file: int = 20_000_000, mode: str = "errorifexists"
 ) -> int:
     """Write ``rows`` below ``root`` by ``year_month`` and return how many were written.
 
@@ -45,7 +45,7 @@ def write_partitioned(
     (
         keyed.hint("rebalance", "year_month")
         .observe(counted, F.count(F.lit(1)).alias("rows"))
-        .write.partitionBy("year_month")
+        .write.mode(mode).partitionBy("year_month")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", max_records_per_file)
         .option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false")
@@ -72,7 +72,8 @@ def ingest_table(
             f"[{table}] Output has partitions but no _SUCCESS marker (partial run?): {target}"
         )
     verify_source(spark, source)
-    written = write_partitioned(scan_dump_xml(spark, source, table), table, root)
+    # Nothing but what a killed first run left uncommitted can be there by now.
+    written = write_partitioned(scan_dump_xml(spark, source, table), table, root, mode="append")
     stored = read_table(spark, root, table).count()
     if stored != written:
         # Only the source itself can tell a lost row from a counter disturbed by a lost executor.
@@ -129,27 +130,28 @@ def run_query(
 ) -> DataFrame:
     """A lazy parameterised query: ``:name`` markers with a mapping, ``?`` with a sequence.
 
-    A lazy result needs no row guard. With ``max_rows`` the query is first run up to one row more
-    than allowed and refused if it yields that many; :func:`fetch` guards without a second run.
+    A lazy result needs no row guard. With ``max_rows`` its rows are counted first, in all tasks, and
+    the query is refused if there are more.
     """
     args = None if params is None else dict(params) if isinstance(params, Mapping) else list(params)
     result = spark.sql(sql, args=args) if args else spark.sql(sql)
-    if max_rows is not None and result.limit(max_rows + 1).count() > max_rows:
-        raise RuntimeError(f"Query would return more than {max_rows} rows")
+    _guard(result, max_rows)
     return result
 
 
+def _guard(result: DataFrame, max_rows: int | None) -> None:
+    if max_rows is not None and (found := result.count()) > max_rows:
+        raise RuntimeError(f"Query would return {found} rows, more than {max_rows}")
+
+
 def fetch(
     spark: SparkSession,
     sql: str,
     params: Mapping[str, object] | Sequence[object] | None = None,
     max_rows: int = MAX_ROWS,
 ) -> pd.DataFrame:
-    """Run a query once and bring its rows to the driver, unless there are more than ``max_rows``."""
-    rows = run_query(spark, sql, params).limit(max_rows + 1).toPandas()
-    if len(rows) > max_rows:
-        raise RuntimeError(f"Query would return more than {max_rows} rows")
-    return rows
+    """Count a query's rows, then bring them to the driver, unless there are more than ``max_rows``."""
+    return run_query(spark, sql, params, max_rows).toPandas()
 
 
 def preview(
@@ -159,12 +161,14 @@ def preview(
     return run_query(spark, sql, params).limit(20)
 
 
-def write_table_csv(result: DataFrame, directory: str, name: str, one_part: bool = True) -> str:
-    """Write a report table as CSV with headers below ``directory/name``.
+def write_table_csv(
+    result: DataFrame, directory: str, name: str, one_part: bool = False, max_rows: int | None = None
+) -> str:
+    """Write a table as CSV with headers below ``directory/name``, unless it has more than ``max_rows``.
 
-    Report tables are aggregates that end in a sort, so one part keeps their order; tables with a
-    row per post keep their partitions instead of passing through one task.
+    ``one_part`` is for small report tables that end in a sort: one file keeps their order.
     """
+    _guard(result, max_rows)
     target = f"{directory.rstrip('/')}/{name}"
     parts = result.coalesce(1) if one_part else result
     parts.write.mode("overwrite").option("header", True).csv(target)

@@ -11,8 +11,7 @@ from qapulse.sources.storage import exists, total_length
 
 # What follows "<row": attributes or the end of the tag. Rules out "<rows>" and the file header.
 _IS_ROW = r"^(?:\s+[^\s<>/=]|\s*/?>)"
-# Closing of the row element and of its parents, at the end of a record.
-_CLOSING = r"\s*/?>\s*(?:</[^>]*>\s*)*$"
+_BLANK = " \t\r\n"
 
 
 def source_records(spark: SparkSession, path: str) -> DataFrame:
@@ -28,7 +27,11 @@ def source_records(spark: SparkSession, path: str) -> DataFrame:
 def scan_attributes(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Attributes named in ``schema`` as strings; missing ones NULL, others ignored."""
     attributes = StructType([StructField(f"_{f.name}", StringType()) for f in schema.fields])
-    element = F.concat(F.lit("<row"), F.regexp_replace("value", _CLOSING, ""), F.lit("/>"))
+    # Closing tags of the row and its parents follow the first "</"; each step is linear in the record.
+    inner = F.rtrim(F.substring_index("value", "</", 1), F.lit(_BLANK))
+    inner = F.when(inner.endswith(">"), F.left(inner, F.length(inner) - 1)).otherwise(inner)
+    inner = F.when(inner.endswith("/"), F.left(inner, F.length(inner) - 1)).otherwise(inner)
+    element = F.concat(F.lit("<row"), inner, F.lit("/>"))
     parsed = source_records(spark, path).select(
         F.from_xml(element, attributes, {"mode": "FAILFAST"}).alias("row")
     )

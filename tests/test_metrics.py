@@ -1,5 +1,8 @@
+from collections import defaultdict
 from datetime import date, datetime, timedelta
+from random import Random
 
+import numpy as np
 import pytest
 
 from qapulse.operators import metrics
@@ -16,63 +19,104 @@ def by_month(df):
     return {r["year_month"]: r.asDict() for r in df.collect()}
 
 
-def test_volume_counts_questions_and_answers(make_posts):
-    posts = make_posts(
-        *[{"Id": i, "PostTypeId": t, "CreationDate": c} for i, (t, c) in enumerate(
-            [(1, d(1)), (1, d(1, 15)), (2, d(1, 16)), (1, d(2)), (2, d(2, 6)), (5, d(3))])]
-    )
-    got = by_month(metrics.monthly_volume(posts, START))
-    assert (got["2024-01"]["question_count"], got["2024-01"]["answer_count"]) == (2, 1)
-    assert (got["2024-02"]["question_count"], got["2024-02"]["answer_count"]) == (1, 1)
+@pytest.fixture(scope="module")
+def forum():
+    """A made-up forum of 13 weeks: questions, answers and a few wiki posts, with gaps in every field."""
+    random, posts = Random(77), []
+    for number in range(1, 161):
+        when = datetime(2023, 12, 20) + timedelta(minutes=random.randrange(13 * 7 * 24 * 60))
+        kind = random.choice([1, 1, 1, 2, 2, 4])
+        post = {"Id": number, "PostTypeId": kind, "CreationDate": when, "Score": random.randint(-4, 31)}
+        if kind == 1:
+            post |= {
+                "OwnerUserId": random.choice([None, *range(501, 519)]),
+                "AnswerCount": random.choice([None, 0, 0, 1, 4]),
+                "CommentCount": random.choice([None, 0, 3, 8]),
+                "AcceptedAnswerId": random.choice([None, None, random.randint(1, 200)]),
+            }
+        elif kind == 2:
+            post["ParentId"] = random.choice([None, random.randint(1, 160)])
+        posts.append(post)
+    return posts
+
+
+def questions_by_month(forum):
+    months = defaultdict(list)
+    for post in forum:
+        if post["PostTypeId"] == 1 and post["CreationDate"].date() >= START:
+            months[f"{post['CreationDate']:%Y-%m}"].append(post)
+    return months
+
+
+def check(got, expected):
+    got = by_month(got)
+    assert set(got) == set(expected)
+    for month, values in expected.items():
+        assert {k: got[month][k] for k in values} == pytest.approx(values)
+
+
+def test_volume(make_posts, forum):
+    expected = defaultdict(lambda: {"question_count": 0, "answer_count": 0})
+    for post in forum:
+        if post["CreationDate"].date() >= START:
+            counts = expected[f"{post['CreationDate']:%Y-%m}"]
+            counts["question_count"] += post["PostTypeId"] == 1
+            counts["answer_count"] += post["PostTypeId"] == 2
+    check(metrics.monthly_volume(make_posts(*forum), START), expected)
     # a month with other post types only is still a row
-    assert (got["2024-03"]["question_count"], got["2024-03"]["answer_count"]) == (0, 0)
-
-
-def test_active_askers_skip_unknown_owners_and_answers(make_posts):
-    owners = [(1, 10, 1), (1, 10, 1), (1, 20, 1), (1, None, 1), (1, 30, 2), (2, 40, 2)]
-    posts = make_posts(
-        *[{"Id": i, "PostTypeId": t, "OwnerUserId": o, "CreationDate": d(m)} for i, (t, o, m) in enumerate(owners)]
-    )
-    got = by_month(metrics.monthly_active_askers(posts, START))
-    assert got["2024-01"]["distinct_askers"] == 2
-    assert got["2024-02"]["distinct_askers"] == 1
-
-
-def test_accepted_rate_is_a_fraction(make_posts):
-    accepted = [(101, 1), (102, 1), (None, 1), (103, 1), (None, 2), (None, 2)]
-    posts = make_posts(
-        *[{"Id": i, "PostTypeId": 1, "AcceptedAnswerId": a, "CreationDate": d(m)} for i, (a, m) in enumerate(accepted)]
-    )
-    got = by_month(metrics.monthly_accepted_rate(posts, START))
-    assert got["2024-01"]["question_count"] == 4
-    assert got["2024-01"]["accepted_rate"] == pytest.approx(0.75)
-    assert got["2024-02"]["accepted_rate"] == pytest.approx(0.0)
-
-
-def test_coverage_counts_null_as_unanswered(make_posts):
-    counts = [(2, 1), (0, 1), (1, 1), (None, 1), (3, 2), (0, 2)]
-    posts = make_posts(
-        *[{"Id": i, "PostTypeId": 1, "AnswerCount": a, "CreationDate": d(m)} for i, (a, m) in enumerate(counts)]
-    )
-    got = by_month(metrics.monthly_answer_coverage(posts, START))
-    assert got["2024-01"]["coverage_rate"] == pytest.approx(0.5)
-    assert got["2024-02"]["coverage_rate"] == pytest.approx(0.5)
-
-
-def latency_posts(make_posts):
-    asked = {1: d(1), 2: d(1, 10), 3: d(2)}
-    answers = [(4, 1, 60), (5, 1, 300), (6, 2, 120), (7, 3, 600)]
-    return make_posts(
-        *[{"Id": i, "PostTypeId": 1, "CreationDate": c} for i, c in asked.items()],
-        *[{"Id": i, "PostTypeId": 2, "ParentId": q, "CreationDate": asked[q] + timedelta(seconds=s)} for i, q, s in answers],
-    )
-
-
-def test_first_answer_uses_the_earliest(make_posts):
-    got = by_month(metrics.monthly_time_to_first_answer(latency_posts(make_posts), START))
-    assert got["2024-01"]["answered_count"] == 2
-    assert got["2024-01"]["median_seconds"] == pytest.approx(90.0)
-    assert got["2024-02"]["median_seconds"] == pytest.approx(600.0)
+    wiki = make_posts({"Id": 7, "PostTypeId": 4, "CreationDate": d(9)})
+    check(metrics.monthly_volume(wiki, START), {"2024-09": {"question_count": 0, "answer_count": 0}})
+
+
+def test_rates_and_means(make_posts, forum):
+    months = questions_by_month(forum)
+    posts = make_posts(*forum)
+    check(metrics.monthly_active_askers(posts, START), {
+        m: {"distinct_askers": len({q["OwnerUserId"] for q in rows} - {None})} for m, rows in months.items()
+    })
+    check(metrics.monthly_accepted_rate(posts, START), {
+        m: {"question_count": len(rows), "accepted_rate": sum(q["AcceptedAnswerId"] is not None for q in rows) / len(rows)}
+        for m, rows in months.items()
+    })
+    check(metrics.monthly_answer_coverage(posts, START), {
+        m: {"question_count": len(rows), "coverage_rate": sum((q["AnswerCount"] or 0) > 0 for q in rows) / len(rows)}
+        for m, rows in months.items()
+    })
+    check(metrics.monthly_engagement(posts, START), {
+        m: {"mean_score": sum(q["Score"] for q in rows) / len(rows), "mean_comments": sum(q["CommentCount"] or 0 for q in rows) / len(rows)}
+        for m, rows in months.items()
+    })
+
+
+def latencies(waits):
+    return {
+        m: {"median_seconds": float(np.median(w)), "p90_seconds": float(np.percentile(w, 90))} for m, w in waits.items()
+    }
+
+
+def test_first_answer(make_posts, forum):
+    waits = defaultdict(list)
+    for month, rows in questions_by_month(forum).items():
+        for q in rows:
+            answers = [p["CreationDate"] for p in forum if p["PostTypeId"] == 2 and p["ParentId"] == q["Id"]]
+            if answers:
+                waits[month].append((min(answers) - q["CreationDate"]).total_seconds())
+    assert any(len(w) > 2 for w in waits.values())
+    check(metrics.monthly_time_to_first_answer(make_posts(*forum), START), {
+        m: {"answered_count": len(waits[m]), **v} for m, v in latencies(waits).items()
+    })
+
+
+def test_acceptance_takes_posts_of_any_type_and_skips_dangling_ids(make_posts, forum):
+    waits, dates = defaultdict(list), {p["Id"]: p["CreationDate"] for p in forum}
+    for month, rows in questions_by_month(forum).items():
+        for q in rows:
+            if q["AcceptedAnswerId"] in dates:
+                waits[month].append((dates[q["AcceptedAnswerId"]] - q["CreationDate"]).total_seconds())
+    assert sum(map(len, waits.values())) > 10
+    check(metrics.monthly_time_to_acceptance(make_posts(*forum), START), {
+        m: {"accepted_count": len(waits[m]), **v} for m, v in latencies(waits).items()
+    })
 
 
 def test_first_answer_counts_copies_once_and_keeps_negative_waits(make_posts):
@@ -93,18 +137,6 @@ def test_window_applies_to_questions_only(make_posts):
     assert got["2024-01"]["median_seconds"] < 0
 
 
-def test_acceptance_median_and_dangling_ids(make_posts):
-    asked = {1: (d(1), 11), 2: (d(1, 10), 12), 3: (d(2), None), 4: (d(1, 11), 99)}
-    answers = [(11, d(1), 200, 2), (12, d(1, 10), 400, 7)]
-    posts = make_posts(
-        *[{"Id": i, "PostTypeId": 1, "CreationDate": c, "AcceptedAnswerId": a} for i, (c, a) in asked.items()],
-        *[{"Id": i, "PostTypeId": t, "CreationDate": c + timedelta(seconds=s)} for i, c, s, t in answers],
-    )
-    rows = metrics.monthly_time_to_acceptance(posts, START).collect()
-    assert [(r["year_month"], r["accepted_count"]) for r in rows] == [("2024-01", 2)]
-    assert rows[0]["median_seconds"] == pytest.approx(300.0)
-
-
 def test_acceptance_counts_every_pair_of_copies(make_posts):
     question = {"Id": 1, "PostTypeId": 1, "CreationDate": d(1), "AcceptedAnswerId": 2}
     answer = {"Id": 2, "PostTypeId": 2, "CreationDate": d(1) + timedelta(seconds=5)}
@@ -112,21 +144,8 @@ def test_acceptance_counts_every_pair_of_copies(make_posts):
     assert metrics.monthly_time_to_acceptance(posts, START).first()["accepted_count"] == 6
 
 
-def test_engagement_means(make_posts):
-    values = [(10, 2, 1), (6, 0, 1), (2, None, 1), (4, 3, 2), (8, 1, 2)]
-    posts = make_posts(
-        *[{"Id": i, "PostTypeId": 1, "Score": s, "CommentCount": c, "CreationDate": d(m)} for i, (s, c, m) in enumerate(values)],
-        {"Id": 99, "PostTypeId": 2, "Score": 99, "CommentCount": 50, "CreationDate": d(2)},
-    )
-    got = by_month(metrics.monthly_engagement(posts, START))
-    assert got["2024-01"]["mean_score"] == pytest.approx(6.0)
-    assert got["2024-01"]["mean_comments"] == pytest.approx(2 / 3)
-    assert got["2024-02"]["mean_score"] == pytest.approx(6.0)
-    assert got["2024-02"]["mean_comments"] == pytest.approx(2.0)
-
-
-def test_counters_agree_with_the_single_metrics(make_posts):
-    posts = latency_posts(make_posts)
+def test_counters_agree_with_the_single_metrics(make_posts, forum):
+    posts = make_posts(*forum)
     counters = by_month(metrics.monthly_counters(posts, START))
     for operator in (metrics.monthly_volume, metrics.monthly_active_askers, metrics.monthly_engagement):
         for month, row in by_month(operator(posts, START)).items():
@@ -135,12 +154,12 @@ def test_counters_agree_with_the_single_metrics(make_posts):
 
 def test_questions_per_asker(make_posts):
     posts = make_posts(
-        *[{"Id": i, "PostTypeId": 1, "OwnerUserId": o, "CreationDate": d(1)} for i, o in enumerate([1, 1, 2])],
-        {"Id": 9, "PostTypeId": 1, "CreationDate": d(2)},
+        *[{"Id": i, "PostTypeId": 1, "OwnerUserId": o, "CreationDate": d(6)} for i, o in enumerate([31, 44, 31, 31, 44])],
+        {"Id": 9, "PostTypeId": 1, "CreationDate": d(8)},
     )
     got = by_month(metrics.questions_per_asker(posts, START))
-    assert got["2024-01"]["questions_per_asker"] == pytest.approx(1.5)
-    assert got["2024-02"]["questions_per_asker"] is None
+    assert got["2024-06"]["questions_per_asker"] == pytest.approx(2.5)
+    assert got["2024-08"]["questions_per_asker"] is None
 
 
 COLUMNS = {
@@ -154,8 +173,8 @@ COLUMNS = {
 }
 
 
-def test_report_writes_every_table(spark, make_posts, tmp_path):
-    files = metrics_report(spark, latency_posts(make_posts), str(tmp_path), START)
+def test_report_writes_every_table(spark, make_posts, forum, tmp_path):
+    files = metrics_report(spark, make_posts(*forum), str(tmp_path), START)
     assert set(files) == set(COLUMNS)
     for name, path in files.items():
         assert spark.read.option("header", True).csv(path).columns == COLUMNS[name]

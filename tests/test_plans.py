@@ -75,10 +75,20 @@ def test_metrics_read_only_their_columns(stored, plan_of):
     assert "Body" not in plan.split("== Physical Plan ==")[1]
 
 
-def test_latency_rows_are_shuffled_once(posts):
-    plan = executed_plan(metrics.monthly_time_to_first_answer(posts, START))
-    assert plan.count("FileScan parquet") == 2  # questions and answers, each scanned once
-    assert plan.count("ReusedExchange") >= 2
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+@pytest.mark.parametrize("name, joined", [
+    ("time_to_first_answer", r"Join \[Id#"), ("time_to_acceptance", r"Join \[AcceptedAnswerId#"), ("domain_response_time", r"Join \[Id#"),
+])
+def test_latency_rows_are_joined_once(spark, posts, name, joined, threshold):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        plan = executed_plan(OPERATORS[name](posts, START))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(re.findall(joined, plan)) == 1
+    assert plan.count("FileScan parquet") == plan.count("ReadSchema") <= 3  # questions, answers of either table
+    assert plan.count("ReusedExchange") >= 1
 
 
 def test_only_candidates_carry_text_into_the_sample_shuffle(posts):
