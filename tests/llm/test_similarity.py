@@ -1,0 +1,133 @@
+"""Near-duplicates and top-k search against brute force."""
+
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from qapulse.llm import bits, probminhash
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def shingles(text):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+
+
+def probability_jaccard(x, y):
+    total = 0.0
+    for i in x.keys() & y.keys():
+        total += 1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys())
+    return total
+
+
+def classes(rows):
+    """Smallest id of each row's class; rows are told apart by their place."""
+    sets = [shingles(t) if t else Counter() for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for key in s:
+            holders[key].append(i)
+    for i, (d, t) in enumerate(rows):
+        shared = Counter(j for key in sets[i] for j in holders[key] if j > i)
+        for j, n in shared.items():
+            if sets[i] == sets[j] or probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9:
+                parent[root(j)] = root(i)
+        if not sets[i]:
+            for j in range(i + 1, len(rows)):
+                if rows[j][1] == t and (t is not None or rows[j][0] == d):
+                    parent[root(j)] = root(i)
+    members = defaultdict(list)
+    for i in range(len(rows)):
+        members[root(i)].append(i)
+    out = []
+    for group in members.values():
+        least = min((rows[i][0] for i in group if rows[i][0] is not None), default=None)
+        out += [(rows[i][0], least) for i in group]
+    return Counter(out)
+
+
+def test_signatures_estimate_the_similarity():
+    chance = np.random.default_rng(4)
+    keys = chance.integers(1, 1 << 62, 300).astype(np.uint64)
+    x, y = chance.integers(1, 5, 300).astype(float), chance.integers(1, 5, 300).astype(float)
+    x[:60], y[-60:] = 0, 0
+    sets = [(keys[v > 0], v[v > 0]) for v in (x, y)]
+    k, w = (np.concatenate(p) for p in zip(*sets))
+    rows = np.repeat([0, 1], [len(sets[0][0]), len(sets[1][0])])
+    signed = probminhash.signatures(k, w, rows, 2, 4000)
+    exact = probminhash.similarity(*sets[0], *sets[1])
+    a, b = ({int(i): n for i, n in zip(*s)} for s in sets)
+    assert exact == pytest.approx(probability_jaccard(a, b))
+    assert (signed[0] == signed[1]).mean() == pytest.approx(exact, abs=0.04)
+
+
+def test_messy_documents(messy, messy_rows, nothing):
+    got = Counter((r.doc_id, r.class_id) for r in probminhash.near_duplicates(messy).collect())
+    assert got == classes(messy_rows)
+    assert probminhash.near_duplicates(nothing).collect() == []
+
+
+def test_a_hot_family_of_near_copies(documents_of):
+    """Half of all rows are edits of one text, each a different one."""
+    chance = random.Random(8)
+    base = [f"b{chance.randrange(5000)}" for _ in range(260)]
+    rows = []
+    for i in range(160):
+        text = list(base) if i % 2 else [f"u{i}x{k}" for k in range(80)]
+        if i % 2:
+            for at in chance.sample(range(260), 2):
+                text[at] = f"e{i}"
+        rows.append((i, " ".join(text)))
+    assert Counter((r.doc_id, r.class_id) for r in probminhash.near_duplicates(documents_of(rows)).collect()) == classes(rows)
+
+
+def nearest(base, queries, k, segments):
+    def code(v):
+        return tuple(int(i < len(v) and (v[i] or 0) > 0) for i in range(segments * 16))
+
+    held = {(i, code(v)) for i, v in base if i is not None and v is not None}
+    out = set()
+    for q, v in queries:
+        if q is None or v is None:
+            continue
+        own = code(v)
+        best = {}
+        for i, c in held:
+            if i != q:
+                best.setdefault((sum(a != b for a, b in zip(own, c)), i), None)
+        for rank, (distance, i) in enumerate(sorted(best)[:k], 1):
+            out.add((q, rank, i, distance))
+    return out
+
+
+@pytest.mark.parametrize("k", [3, 10])
+def test_top_k_with_ties_copies_and_nulls(spark, k):
+    chance = np.random.default_rng(k)
+    centres = chance.normal(size=(4, 40))
+    rows = [(int(i), [float(x) for x in centres[i % 4] + chance.normal(size=40) * (0.2 if i % 3 else 2)]) for i in range(150)]
+    rows += [(200 + i, rows[0][1]) for i in range(40)]  # a hot code
+    rows += [(300, None), (301, []), (302, [1.0, None, -1.0]), (None, rows[0][1]), (5, rows[5][1])]
+    frame = spark.createDataFrame([(i, v, "x", 1, "c") for i, v in rows], "vec_id bigint, embedding array<double>, code string, segment int, ids string")
+    queries = frame.where("vec_id % 20 = 0 or vec_id in (301, 302, 5)")
+    got = {tuple(r) for r in bits.top_k(frame, queries, k).collect()}
+    assert got == nearest(rows, [r for r in rows if r[0] is not None and (r[0] % 20 == 0 or r[0] in (301, 302, 5))], k, 3)
+
+
+def test_top_k_of_few_and_of_none(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    few = spark.createDataFrame([(1, [1.0, -1.0]), (2, [1.0, 1.0])], schema)
+    assert sorted(map(tuple, bits.top_k(few, few).collect())) == [(1, 1, 2, 1), (2, 1, 1, 1)]
+    none = few.limit(0)
+    assert bits.top_k(none, few).collect() == [] and bits.top_k(few, none).collect() == []
