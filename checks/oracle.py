@@ -5,7 +5,7 @@ from __future__ import annotations
 from checks.params import EARLY, MANIFEST_TABLES, ODD_BODY, PER_POST, RELEASE, START, report_columns, report_digits
 from qapulse.functions.intents import CATEGORIES, DEFAULT_INTENT, INTENT_PATTERNS
 from qapulse.functions.tags import DOMAIN_TAGS
-from qapulse.plans.star_posts import ARCHIVE_SQL, POSTS_SQL
+from checks.star_posts import ARCHIVE_SQL, POSTS_SQL
 
 _TIME = "'%Y-%m-%d %H:%M:%S.%f'"
 _YM = "strftime(CreationDate, '%Y-%m')"

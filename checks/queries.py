@@ -11,7 +11,7 @@ from checks.params import EARLY, MANIFEST_TABLES, ODD_BODY, PER_POST, RELEASE, S
 from qapulse.functions import html, intents, tags
 from qapulse.operators import breaks, domains, features, figures, metrics, sampling, topics, validate
 from qapulse.plans import reports
-from qapulse.plans.star_posts import declared, star_posts, star_table, write_xml
+from checks.star_posts import declared, star_posts, star_table, write_xml
 from qapulse.functions.calendar import month_label, questions
 from qapulse.schemas import INGEST_ORDER, SCHEMAS
 from qapulse.session import shared_dir

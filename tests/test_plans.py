@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_file
 from qapulse.operators import breaks, domains, features, metrics, sampling, topics, validate
-from qapulse.plans.star_posts import declared, star_posts
+from checks.star_posts import declared, star_posts
 from qapulse.sources import lake
 
 SF = "/root/testdata/sf0.001"

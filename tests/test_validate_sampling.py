@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from qapulse.functions.sample_size import required_sample_size
 from qapulse.operators import domains, metrics, sampling, topics, validate
 from qapulse.plans.reports import validation_report
-from qapulse.plans.star_posts import star_posts
+from checks.star_posts import star_posts
 from qapulse.sources.xml_dump import with_year_month
 
 START = date(2024, 1, 1)
