@@ -24,7 +24,7 @@ from qapulse.llm.shared import documents
 from qapulse.session import shared_dir
 
 END = 1
-STRIDE, STRIPE = 1000, 64 << 20
+STRIDE, STRIPE = 1000, 16 << 20
 
 
 def _encoded(path: str, end: int) -> Callable:
@@ -57,7 +57,7 @@ def write_tokens(
 ) -> None:
     """Write doc_id, file_no, file_row, file_start, n_tokens and ids of ``docs`` (doc_id, text) in ascending doc_id order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ordered = docs.select("doc_id", "text").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = docs.select("doc_id", "text").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     ordered.mapInArrow(
         _encoded(tokenise.vocabulary(vocabulary), end),
         f"doc_id {kind}, file_no bigint, file_row bigint, file_start bigint, n_tokens bigint, ids array<int>",
