@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qapulse.llm import decontam, language, packing, probminhash, secrets
-from qapulse.llm.shared import documents, fresh, stash, text_key
+from qapulse.llm.shared import documents, fresh, stash, without
 
 
 def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
@@ -41,11 +41,7 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of the benchmark occurs."""
     found = decontam.decontaminate(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    key, other = fresh("key"), fresh("id")
-    dirty = stash(found.where("contaminated").select(F.col("doc_id").alias(other), "text_key"), "contaminated")
-    keyed = docs.withColumn(key, text_key())
-    # Only the ids of documents to drop are joined; when few they are broadcast by Spark's own size check.
-    return keyed.join(dirty, (keyed[key] == dirty["text_key"]) & keyed["doc_id"].eqNullSafe(dirty[other]), "left_anti").select(*docs.columns)
+    return without(docs, stash(found.where("contaminated").select("doc_id", "text_key"), "contaminated"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ are weighted by how often they occur, and similarity is probability Jaccard,
 
 Signature (ProbMinHash): each run is a Poisson process whose rate is its weight; each arrival hits one of ``SIZE`` registers, which
 keep the earliest; a run stops once its next arrival is later than every register's. Two texts agree in a register with the
-probability Jaccard. Registers are banded; in each bucket the texts meet the bucket's first one, and texts that are then still
-in other classes than others of their bucket meet those too, so no pair that shares a bucket goes untested unless
-it already is in one class. Pairs whose signatures agree in too few registers are dropped (a pair at the threshold
-lies six deviations above that), the rest is verified on the texts.
+probability Jaccard. Registers are banded into buckets. In each of ``TURNS`` turns, every text of a bucket that
+still holds several classes meets the bucket's first and, from the second turn, its neighbours, in an order that each turn
+changes; work is in proportion to the texts, never to pairs. A bucket of up to ``NEIGHBOURS`` + 2 texts is tested
+in full; in a larger one that keeps several classes, a pair may stay untested there, but it shares some ten buckets on average.
+Pairs whose signatures agree in too few registers are dropped (a pair at the threshold lies six
+deviations above that), the rest is verified on the texts.
 
 Rows whose word sequences are equal are one node from the start, however many they are. Texts without words
 are equal only if identical; a null text is alone. Repeated rows fall into one class; an empty table gives no rows.
@@ -22,15 +24,17 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from qapulse.llm import arrays
-from qapulse.llm.shared import documents, fresh, same, stash, text_key
+from qapulse.llm.shared import documents, same, stash, text_key, without
 
 RUN, ALIKE = 5, 0.8
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
+#: Turns in which the texts of a bucket meet, the texts each meets before it besides the first, and the size of a dealt part.
+TURNS, NEIGHBOURS, PART = 3, 3, 1000
 #: Registers two signatures must share to be verified: 0.55 of them. At similarity 0.8 fewer come once in 10**8 pairs.
 AGREE = int(0.55 * SIZE)
 
@@ -186,8 +190,32 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _meetings(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) to test: in each bucket that still holds several classes, every text and the first of the bucket, and
+    after the first turn every text and the ``NEIGHBOURS`` before it, if their classes differ. Each turn has its own order.
+
+    For the neighbours a large bucket is dealt at random into parts of some ``PART`` texts, so none sits in one task.
+    """
+    turned = F.xxhash64("node", F.lit(turn))
+    held = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    firsts = held.groupBy("bucket").agg(
+        F.min(F.struct(turned.alias("place"), "node", "label")).alias("first"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    firsts = stash(firsts.where("low != high").select("bucket", F.col("first.node").alias("first"), F.col("first.label").alias("first_label")), "firsts")
+    held = stash(held.join(firsts, "bucket").withColumn("part", F.pmod(turned, F.ceil(F.col("n") / PART))), "split-buckets")
+    pairs = held.where("label != first_label").select("node", F.col("first").alias("other"))
+    order = Window.partitionBy("bucket", "part").orderBy(turned)
+    one = F.struct("node", "label")
+    if turn:
+        near = held.select("node", "label", F.array(*(F.lag(one, n).over(order) for n in range(1, NEIGHBOURS + 1))).alias("near"))
+        near = near.select("node", F.explode(F.filter("near", lambda x: x["label"] != F.col("label"))).alias("other"))
+        pairs = pairs.union(near.select("node", "other.node"))
+    pairs = pairs.toDF("node", "other")
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, class_id (smallest doc_id of the class), n_links (verified links of its text) for each row.
+    """doc_id, text_key, class_id (smallest doc_id of the class, if any), n_links (verified links of its text) for each row.
 
     ``docs`` needs doc_id and text.
     """
@@ -198,39 +226,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # A null text is equal to none: its node is its document's own.
     key = F.when(F.length("digest") > 0, F.hex("digest")).otherwise(F.concat(F.lit("null "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     signed = stash(signed.withColumn("digest", key), "signatures")
-    nodes = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = stash(nodes.select("digest", "first.*", "bands", "sketch").withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    nodes = stash(nodes.select("digest", "first.*", "least", "bands", "sketch").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     buckets = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node"), "node")).alias("lead"), F.count("*").alias("n"))
-    shared = stash(shared.where("n > 1").select("bucket", F.col("lead.node").alias("a")), "buckets")
-    members = stash(buckets.join(shared, "bucket").select("bucket", "a", F.col("node").alias("b")), "members")
-    star = members.where("a != b").select("a", "b").distinct()
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = stash(buckets.join(stash(shared, "buckets"), "bucket"), "members")
 
     # Only texts that share a bucket with another one are read again.
-    wanted = members.select(F.col("b").alias("node")).distinct().join(nodes.select("node", "sketch", "doc_id", "text_key"), "node")
+    wanted = members.select("node").distinct().join(nodes.select("node", "sketch", "doc_id", "text_key"), "node")
     texts = docs.select("doc_id", text_key().alias("text_key"), "text").where("text is not null")
     wanted = wanted.join(texts, same(wanted, texts, "doc_id", "text_key")).groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text"))
     wanted = stash(wanted, "texts")
-    links = _links(star, wanted)
-    labels = components(links)
-
-    # What is still in different classes of one bucket meets there; a bucket that is one class by now makes no pair.
-    held = members.join(labels, members.b == labels.node, "left").select("bucket", "a", "b", F.coalesce("label", "b").alias("label"))
-    split = held.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low != high and n > 2")
-    held = stash(held.join(split.select("bucket"), "bucket"), "split-buckets")
-    other = held.select("bucket", F.col("b").alias("c"), F.col("label").alias("other"))
-    rest = held.join(other, "bucket").where("label < other and a != b and a != c").select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
-    more = _links(rest, wanted)
-    links = stash(links.union(more), "all-links")
-    labels = components(links)
+    links, labels = None, members.select("node").distinct().withColumn("label", F.col("node"))
+    for turn in range(TURNS):
+        found = _links(_meetings(members, labels, turn), wanted)
+        links = found if links is None else stash(links.union(found).distinct(), "all-links")
+        labels = components(links)
 
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     placed = nodes.join(labels, "node", "left").join(degree, "node", "left").select(
-        "digest", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "digest", "least", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
     placed = stash(placed, "placed")
-    least = placed.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    least = placed.groupBy("label").agg(F.min("least").alias("class_id"))
     placed = stash(placed.join(least, "label").select("digest", "class_id", "label", "n_links"), "classes")
     return signed.select("doc_id", "text_key", "digest").join(placed, "digest").select("doc_id", "text_key", "class_id", "n_links", "label")
 
@@ -238,11 +257,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each class, with all its columns: that of the smallest doc_id (no id comes first)."""
     classes = near_duplicates(docs.select("doc_id", "text"))
-    first = stash(classes.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.*"), "firsts")
-    key = fresh("key")
-    keyed = docs.withColumn(key, text_key())
-    kept = keyed.join(first.withColumnRenamed("doc_id", f"{key}_id"), (F.col(key) == first["text_key"]) & keyed["doc_id"].eqNullSafe(F.col(f"{key}_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id", key]).select(*(kept[n] for n in docs.columns))
+    rows = stash(classes.groupBy("label", "doc_id", "text_key").agg(F.count("*").alias("rows")), "class-rows")
+    first = rows.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("label", "first.*")
+    dropped = rows.join(first, same(rows, first, "label", "doc_id", "text_key"), "left_anti")
+    return without(docs, stash(dropped, "dropped"), rows.where("rows > 1"))
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -42,8 +42,8 @@ def text_key(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
-def perhaps_in(df: DataFrame, key: Column, members: DataFrame, member: Column, bits: int = 24) -> DataFrame:
-    """The rows of ``df`` whose key is among the members, and a few others.
+def perhaps_in(df: DataFrame, key: Column, members: DataFrame, member: Column, bits: int = 24, others: bool = False) -> DataFrame:
+    """The rows of ``df`` whose key is among the members, and a few others; with ``others`` exactly the remaining rows.
 
     A bit set of fixed size (at most 2**bits / 64 rows of two longs, 4 MB for 24) is broadcast whatever the number of
     members; a fuller set lets more rows through, never fewer. It keeps wide rows out of the exact join that follows.
@@ -54,5 +54,23 @@ def perhaps_in(df: DataFrame, key: Column, members: DataFrame, member: Column, b
     word, held, at = fresh("word"), fresh("bits"), fresh("at")
     one = members.select(place(member).alias(at))
     table = one.groupBy(F.shiftright(at, 6).alias(word)).agg(F.expr(f"bit_or(shiftleft(1L, int({at} & 63L)))").alias(held))
-    found = df.withColumn(at, place(key)).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(table), word)
-    return found.where(F.expr(f"({held} & shiftleft(1L, int({at} & 63L))) != 0")).drop(at, word, held)
+    found = df.withColumn(at, place(key)).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(table), word, "left" if others else "inner")
+    return found.where(F.expr(f"(coalesce({held}, 0L) & shiftleft(1L, int({at} & 63L))) {'=' if others else '!='} 0")).drop(at, word, held)
+
+
+def without(docs: DataFrame, dropped: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` but for the (doc_id, text_key) of ``dropped``; of those of ``repeated`` one row each.
+
+    Only rows that may be concerned are shuffled; all others, nearly all, pass as they are read.
+    """
+    key, other = fresh("key"), fresh("id")
+    special = dropped.select("doc_id", "text_key")
+    gone = special.select(F.col("doc_id").alias(other), "text_key")
+    keyed = docs.withColumn(key, text_key())
+    concerned = special if repeated is None else special.union(repeated.select("doc_id", "text_key"))
+    near = perhaps_in(keyed, F.col(key), concerned, F.col("text_key"))
+    near = near.join(gone, (near[key] == gone["text_key"]) & near["doc_id"].eqNullSafe(gone[other]), "left_anti")
+    if repeated is not None:
+        near = near.dropDuplicates(["doc_id", key])
+    rest = perhaps_in(keyed, F.col(key), concerned, F.col("text_key"), others=True)
+    return rest.unionByName(near).select(*docs.columns)
