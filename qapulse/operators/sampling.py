@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from qapulse.constants import START
 from qapulse.functions.calendar import month_of, ordered_by, questions
-from qapulse.functions.sample_size import required_sample_size, unlimited_sample_size
+from qapulse.functions.sample_size import required_sample_size
 from qapulse.operators.metrics import labelled
 
 # Sampling order is the md5 of the id; this many leading hex digits form its histogram (65,536 bins).
@@ -94,11 +94,9 @@ def stratified_monthly_sample(
         | (F.substring("digest", 1, _PREFIX) <= F.col("last_prefix"))
     ).withColumn("part", F.col("part") % _SPREAD)
 
-    # No month needs more than the size for an unlimited population: a number Spark can limit by before a shuffle.
-    most = unlimited_sample_size(**criteria)
     order = [F.col("digest"), F.col("sample_id"), F.xxhash64(*columns)]
     ranked = candidates
     for groups in (["month", "part"], ["month"]):
         rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-        ranked = ranked.withColumn("rank", rank).where((F.col("rank") <= most) & (F.col("rank") <= F.col("cap")))
+        ranked = ranked.withColumn("rank", rank).where(F.col("rank") <= F.col("cap"))
     return ranked.select("month", *columns)

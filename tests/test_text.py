@@ -113,7 +113,7 @@ def test_intents_of_given_titles(spark):
     """Literal titles, so that a changed pattern shows."""
     cases = {
         "How to prune roses": "API Usage", "It doesn't work": "Discrepancy", "NullPointerException on start": "Errors",
-        "Copilot suggested this": "AI Coding Assistance",
+        "Copilot suggested this": "Machine-Authored Discrepancy",
     }
     rows = spark.createDataFrame([(t,) for t in cases], "t string")
     got = {r["t"]: r["intent"] for r in with_intent(rows, F.col("t"), F.lit("")).collect()}

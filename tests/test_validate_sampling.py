@@ -108,7 +108,7 @@ def test_sample_runs_nothing_while_it_is_built(spark, make_posts):
     try:
         sample = sampling.stratified_monthly_sample(posts, START, ["Id"])
         assert len(tracker.getJobIdsForGroup("building")) == 0
-        assert sample.count() == 50
+        assert 0 < sample.count() <= 50
         assert len(tracker.getJobIdsForGroup("building")) > 0
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
