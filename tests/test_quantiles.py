@@ -48,7 +48,7 @@ def test_many_groups_join_without_a_broadcast_hint(spark, plan_of):
     check(spark, groups, few_groups=False)
     df = spark.range(10).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
     assert "strategy=broadcast" not in plan_of(exact_quantiles(df, ["k"], "v", {"m": 0.5}, "n", few_groups=False))
-    assert "strategy=broadcast" in plan_of(exact_quantiles(df, ["k"], "v", {"m": 0.5}, "n"))
+    assert "strategy=broadcast" in plan_of(exact_quantiles(df, ["k"], "v", {"m": 0.5}, "n", few_groups=True))
 
 
 def test_weights_stand_for_copies(spark):
