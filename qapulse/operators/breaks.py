@@ -247,11 +247,13 @@ def cusum_test(series: DataFrame, release: date = RELEASE) -> DataFrame:
     paths = _residual_paths(series, release)
     flat = F.col("sigma") < _NOTHING
     scaled = F.when(flat, 0.0).otherwise(F.abs(F.col("path")) / F.when(~flat, F.col("sigma")))
-    peak = Window.partitionBy("metric").orderBy(F.desc("scaled"), "t")
+    # The first of equal peaks; an aggregate keeps the windows' partitioning and needs no second sort.
+    peak = F.max_by(F.struct("scaled", "month", "sigma", "n"), F.struct("scaled", (-F.col("t")).alias("t")))
     return (
         paths.withColumn("scaled", scaled)
-        .withColumn("place", F.row_number().over(peak))
-        .where(F.col("place") == 1)
+        .groupBy("metric")
+        .agg(peak.alias("peak"))
+        .select("metric", "peak.*")
         .select(
             F.round("scaled", 4).alias("cusum_max"),
             month_label(F.col("month")).alias("cusum_max_month"),
