@@ -21,7 +21,7 @@ import numpy as np
 from qapulse.llm import arrays
 
 #: Entries a queue keeps in memory.
-HELD = 4_000_000
+HELD = 16_000_000
 _BLOCK = 1_000_000
 
 
@@ -33,69 +33,88 @@ class Lists:
         self.most, self.held, self.file = held, 0, None
 
     def push(self, key: int, positions: np.ndarray, prefixes: np.ndarray) -> None:
-        rows = np.stack([positions, prefixes])
+        self.parts[key].append((positions.astype(np.int32), prefixes.astype(np.uint16)))
         self.held += len(positions)
         if self.held > self.most:
             for parts in self.parts:
-                parts[:] = [self._spilled(p) if isinstance(p, np.ndarray) else p for p in parts]
+                parts[:] = [p if p[0] is None else self._spilled(*p) for p in parts]
             self.held = 0
-            rows = self._spilled(rows)
-        self.parts[key].append(rows)
 
-    def _spilled(self, rows: np.ndarray) -> tuple[int, int]:
+    def _spilled(self, positions: np.ndarray, prefixes: np.ndarray) -> tuple[None, int, int]:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
         place = self.file.seek(0, 2)
-        self.file.write(np.ascontiguousarray(rows, np.int64).tobytes())
-        return place, rows.shape[1]
+        self.file.write(positions.tobytes() + prefixes.tobytes())
+        return None, place, len(positions)
+
+    def _read(self, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        """The parts end to end."""
+        found = []
+        for part in parts:
+            if part[0] is None:
+                self.file.seek(part[1])
+                data = self.file.read(6 * part[2])
+                part = np.frombuffer(data[: 4 * part[2]], np.int32), np.frombuffer(data[4 * part[2] :], np.uint16)
+            found.append(part)
+        return np.concatenate([p for p, _ in found]).astype(np.int64), np.concatenate([q for _, q in found]).astype(np.int64)
 
-    def _read(self, part) -> np.ndarray:
-        if isinstance(part, np.ndarray):
-            return part
-        self.file.seek(part[0])
-        return np.frombuffer(self.file.read(16 * part[1]), np.int64).reshape(2, -1)
+    @staticmethod
+    def _size(part: tuple) -> int:
+        return part[2] if part[0] is None else len(part[0])
 
-    def drain(self, key: int) -> Iterator[np.ndarray]:
+    def drain(self, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The key's entries in order, also those pushed meanwhile; they stay readable by :meth:`backwards`."""
-        at = 0
-        while at < len(self.parts[key]):
-            yield self._read(self.parts[key][at])
-            at += 1
-
-    def backwards(self, key: int) -> Iterator[np.ndarray]:
-        for part in reversed(self.parts[key]):
-            yield self._read(part)[:, ::-1]
+        at, parts = 0, self.parts[key]
+        while at < len(parts):
+            begin, count = at, 0
+            while at < len(parts) and count < _BLOCK:
+                count += self._size(parts[at])
+                at += 1
+            yield self._read(parts[begin:at])
+
+    def backwards(self, key: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at, parts = len(self.parts[key]), self.parts[key]
+        while at:
+            end, count = at, 0
+            while at and count < _BLOCK:
+                at -= 1
+                count += self._size(parts[at])
+            positions, prefixes = self._read(parts[at:end])
+            yield positions[::-1], prefixes[::-1]
 
 
 class Heap:
-    """A priority queue of (key, position), first in, first out among equal keys; sorted runs go to disk."""
+    """A priority queue of (key, position), first in, first out among equal keys; sorted runs go to disk.
+
+    An item is one integer: key, number and position, 32 bits each for the latter two.
+    """
 
     def __init__(self, held: int) -> None:
         self.most, self.count, self.items, self.runs = held, 0, [], []
 
     def push(self, key: int, position: int) -> None:
         self.count += 1
-        heapq.heappush(self.items, (key, self.count, position))
+        heapq.heappush(self.items, (key << 64) | (self.count << 32) | position)
         if len(self.items) > self.most:
             file = tempfile.TemporaryFile()
-            self.items.sort()
-            np.array(self.items, np.int64).tofile(file)
+            for item in sorted(self.items):
+                file.write(item.to_bytes(16))
             file.seek(0)
             run = self._stored(file)
             self.items = []
-            self.runs.append((next(run), run))
-            heapq.heapify(self.runs)
+            heapq.heappush(self.runs, (next(run), run))
 
     @staticmethod
-    def _stored(file) -> Iterator[tuple[int, int, int]]:
-        while len(rows := np.frombuffer(file.read(24 * 65536), np.int64).reshape(-1, 3)):
-            yield from map(tuple, rows.tolist())
+    def _stored(file) -> Iterator[int]:
+        while data := file.read(16 * 65536):
+            for at in range(0, len(data), 16):
+                yield int.from_bytes(data[at : at + 16])
 
-    def least(self) -> int | None:
-        """The smallest key."""
+    def least(self) -> int:
+        """The smallest key; one larger than any if there is none."""
         if self.runs and (not self.items or self.runs[0][0] < self.items[0]):
-            return self.runs[0][0][0]
-        return self.items[0][0] if self.items else None
+            return self.runs[0][0] >> 64
+        return self.items[0] >> 64 if self.items else 1 << 40
 
     def pop(self) -> int:
         if self.runs and (not self.items or self.runs[0][0] < self.items[0]):
@@ -103,8 +122,8 @@ class Heap:
             following = next(run, None)
             if following is not None:
                 heapq.heappush(self.runs, (following, run))
-            return item[2]
-        return heapq.heappop(self.items)[2]
+            return item & 0xFFFFFFFF
+        return heapq.heappop(self.items) & 0xFFFFFFFF
 
 
 def _types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,38 +172,39 @@ def _sort_names(text: np.ndarray, held: int) -> np.ndarray:
     order, _ = _sorted_stars(text, stars, held)
     symbols, is_small = text.tolist(), small.tolist()
     waiting = Heap(held)
+    push, pop, least = waiting.push, waiting.pop, waiting.least
     falling: list[int] = []
 
-    def scan(position: int) -> None:
-        if position and symbols[position - 1] >= symbols[position]:
-            waiting.push(symbols[position - 1], position - 1)
+    def fall(limit: int) -> None:
+        while least() <= limit:
+            position = pop()
+            falling.append(position)
+            if position and symbols[position - 1] >= symbols[position]:
+                push(symbols[position - 1], position - 1)
 
     for star in stars[order].tolist():
-        while (key := waiting.least()) is not None and key <= symbols[star]:
-            falling.append(waiting.pop())
-            scan(falling[-1])
-        if not is_small[star - 1]:
-            waiting.push(symbols[star - 1], star - 1)
-    while waiting.least() is not None:
-        falling.append(waiting.pop())
-        scan(falling[-1])
+        fall(symbols[star])
+        push(symbols[star - 1], star - 1)
+    most = max(symbols)
+    fall(most)
 
+    # Descending: keys are counted from the largest symbol.
     waiting = Heap(held)
+    push, pop, least = waiting.push, waiting.pop, waiting.least
     rising: list[int] = []
 
-    def back(position: int) -> None:
-        if position and is_small[position - 1]:
-            waiting.push(-symbols[position - 1], position - 1)
-
-    def rise(limit: float) -> None:
-        while (key := waiting.least()) is not None and -key >= limit:
-            rising.append(waiting.pop())
-            back(rising[-1])
+    def rise(limit: int) -> None:
+        while least() <= limit:
+            position = pop()
+            rising.append(position)
+            if position and is_small[position - 1]:
+                push(most - symbols[position - 1], position - 1)
 
     for position in reversed(falling):
-        rise(symbols[position])
-        back(position)
-    rise(float("-inf"))
+        rise(most - symbols[position])
+        if position and is_small[position - 1]:
+            push(most - symbols[position - 1], position - 1)
+    rise(most)
     # The last symbol has no successor: it is first of all.
     rising = [p for p in rising if p != len(symbols) - 1]
     every = np.array([len(symbols) - 1, *falling, *reversed(rising)], np.int64)
@@ -248,11 +268,6 @@ class _Inducer:
             self.queue.push(key, before[a:b], prefix[a:b])
 
 
-def _blocks(rows: np.ndarray) -> Iterator[np.ndarray]:
-    for begin in range(0, rows.shape[1], _BLOCK):
-        yield rows[:, begin : begin + _BLOCK]
-
-
 def suffixes(text: np.ndarray, symbols: int, most: int, held: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Blocks (positions, prefixes) that are the suffix array back to front; a prefix is that with the suffix before it
     in this (descending) order, at most ``most``. ``text`` ends with its least symbol, which occurs once."""
@@ -279,11 +294,10 @@ def suffixes(text: np.ndarray, symbols: int, most: int, held: int = HELD) -> Ite
     down = _Inducer(text, falling, symbols, most)
     for key in range(symbols):
         last = -1
-        for rows in falling.drain(key):
-            for positions, prefixes in _blocks(rows):
-                last = int(positions[-1])
-                held_back = np.flatnonzero(positions > 0)
-                down.scan(positions, prefixes, held_back[text[positions[held_back] - 1] >= key])
+        for positions, prefixes in falling.drain(key):
+            last = int(positions[-1])
+            some = np.flatnonzero(positions > 0)
+            down.scan(positions, prefixes, some[text[positions[some] - 1] >= key])
         for begin in range(int(bounds[key]), int(bounds[key + 1]), _BLOCK):
             positions = ranked[begin : min(begin + _BLOCK, int(bounds[key + 1]))]
             prefixes = star_prefix[begin : begin + len(positions)].copy()
@@ -295,19 +309,17 @@ def suffixes(text: np.ndarray, symbols: int, most: int, held: int = HELD) -> Ite
     up = _Inducer(text, rising, symbols, most)
     for key in range(symbols - 1, -1, -1):
         last = -1
-        for rows in rising.drain(key):
-            for positions, prefixes in _blocks(rows):
-                last = int(positions[-1])
-                yield positions, prefixes
-                some = np.flatnonzero(positions > 0)
-                up.scan(positions, prefixes, some[small[positions[some] - 1]])
+        for positions, prefixes in rising.drain(key):
+            last = int(positions[-1])
+            yield positions, prefixes
+            some = np.flatnonzero(positions > 0)
+            up.scan(positions, prefixes, some[small[positions[some] - 1]])
         following = None
-        for rows in falling.backwards(key):
-            for positions, prefixes in _blocks(rows):
-                # Each entry's prefix is that with the one before it in ascending order: move them on by one.
-                seam = (min(most, int(repeat[last]), int(repeat[positions[0]])) if last >= 0 else 0) if following is None else following
-                moved = np.r_[seam, prefixes[:-1]]
-                following = int(prefixes[-1])
-                yield positions, moved
-                some = np.flatnonzero(positions > 0)
-                up.scan(positions, moved, some[small[positions[some] - 1]])
+        for positions, prefixes in falling.backwards(key):
+            # Each entry's prefix is that with the one before it in ascending order: move them on by one.
+            seam = (min(most, int(repeat[last]), int(repeat[positions[0]])) if last >= 0 else 0) if following is None else following
+            moved = np.r_[seam, prefixes[:-1]]
+            following = int(prefixes[-1])
+            yield positions, moved
+            some = np.flatnonzero(positions > 0)
+            up.scan(positions, moved, some[small[positions[some] - 1]])

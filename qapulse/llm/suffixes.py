@@ -25,6 +25,8 @@ from qapulse.llm import arrays, induced
 from qapulse.llm.shared import documents, perhaps_in, same, stash, text_key
 
 WINDOW, GRAM = 200, 64
+#: Bytes of text in a shard, about, and ranges of windows looked at on their own before a shard is sorted.
+SHARD, STEPS = 2_000_000, 8
 
 
 def _pieces(window: int, gram: int) -> Callable:
@@ -35,15 +37,15 @@ def _pieces(window: int, gram: int) -> Callable:
             anchor, begins, counts = arrays.anchored(arrays.byte_values(buffer), row, window, gram)
             text = buffer.tobytes()
             made = [
-                hashlib.blake2b(text[a:b], digest_size=16).digest() for a, b in zip(begins.tolist(), (begins + counts + window - 1).tolist())
+                hashlib.blake2b(text[a:b], digest_size=8).digest() for a, b in zip(begins.tolist(), (begins + counts + window - 1).tolist())
             ]
-            digests = np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+            digests = np.frombuffer(b"".join(made), np.int64)
             pieces = pa.StructArray.from_arrays(
                 [
-                    pa.array(anchor.view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]),
+                    pa.array(anchor.view(np.int64)), pa.array(digests),
                     pa.array((begins - offsets[row[begins]]).astype(np.int32)), pa.array(counts.astype(np.int32)),
                 ],
-                ["anchor", "high", "low", "start", "n"],
+                ["anchor", "digest", "start", "n"],
             )
             places = np.searchsorted(begins, offsets).astype(np.int32)
             whole = [hashlib.sha256(text[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
@@ -77,22 +79,54 @@ def _contents(window: int) -> Callable:
     return run
 
 
-def _shard(window: int) -> Callable:
+def _possible(data: np.ndarray, anchor: np.ndarray, n: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each piece begins in ``data``, and its windows (first, number) that another piece can share.
+
+    Windows are taken in ``STEPS`` ranges of their anchor's place in them. All windows of a range hold the same core around the
+    anchor; where no other piece has that core, no other piece has any of them.
+    """
+    sizes = n + window - 1
+    begin = np.cumsum(sizes) - sizes
+    grams = arrays.gram_hash(arrays.byte_values(data), gram)
+    place = np.flatnonzero(grams == np.repeat(anchor.view(np.uint64), sizes)[: len(grams)])
+    # The first match that leaves room in its piece; it is the same place of the content in every piece of the anchor.
+    piece = np.searchsorted(begin, place, "right") - 1
+    inside = place + gram <= begin[piece] + sizes[piece]
+    place, piece = place[inside], piece[inside]
+    _, one = np.unique(piece, return_index=True)
+    at = place[one] - begin
+    sums = arrays.prefix_hash(arrays.byte_values(data))
+    rest = window - gram
+    step = -(-(rest + 1) // STEPS)
+    first, last = n.copy(), np.zeros_like(n)
+    for low in range(0, rest + 1, step):
+        high = min(low + step - 1, rest)
+        ids = np.flatnonzero((at >= low) & (at + gram + rest - high <= sizes))
+        start = begin[ids] + at[ids] - low
+        key = arrays.mix(arrays.cut(sums, start, start + window - (high - low)) + anchor[ids].view(np.uint64))
+        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        ids = ids[count[back] > 1]
+        first[ids] = np.minimum(first[ids], np.maximum(0, at[ids] - high))
+        last[ids] = np.maximum(last[ids], np.minimum(n[ids], at[ids] - low + 1))
+    return begin, first, np.maximum(0, last - first)
+
+
+def _shard(window: int, gram: int) -> Callable:
     """Repeated windows (start, size in bytes) of the pieces that occur once, by sorting all of a shard's suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        keys = pa.Table.from_batches(held)
-        data = b"".join(b"".join(b.column("content").to_pylist()) for b in held)
-        keys = keys.drop_columns(["content"]).combine_chunks()
-        n = keys["n"].to_numpy().astype(np.int64)
-        sizes = n + window - 1
+        data = np.frombuffer(b"".join(b"".join(b.column("content").to_pylist()) for b in held), np.uint8)
+        keys = pa.Table.from_batches(held).drop_columns(["content"]).combine_chunks()
+        del held
+        begin, first, n = _possible(data, keys["anchor"].to_numpy(), keys["n"].to_numpy().astype(np.int64), window, gram)
+        sizes = np.where(n > 0, n + window - 1, 0)
         # Symbols: 0 ends the shard, 1 ends a piece, bytes follow.
-        places = np.arange(len(data)) + np.repeat(np.arange(len(n)), sizes)
-        text = np.ones(len(data) + len(n) + 1, np.uint16)
-        text[places] = np.frombuffer(data, np.uint8).astype(np.uint16) + 2
+        places = np.arange(sizes.sum()) + np.repeat(np.arange(len(n)), sizes)
+        text = np.ones(int(sizes.sum()) + len(n) + 1, np.uint16)
+        text[places] = data[np.repeat(begin + first, sizes) + arrays.runs_of(sizes)].astype(np.uint16) + 2
         text[-1] = 0
         del data, places
         begins = np.cumsum(sizes + 1) - sizes - 1
@@ -108,12 +142,12 @@ def _shard(window: int) -> Callable:
         at = arrays.runs_of(n[once])
         hit = repeated[begins[rows] + at]
         rows, at = rows[hit], at[hit]
-        first = np.ones(len(rows), bool)
-        first[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1)
-        starts = np.flatnonzero(first)
+        opens = np.ones(len(rows), bool)
+        opens[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1] + 1)
+        starts = np.flatnonzero(opens)
         size = np.diff(np.r_[starts, len(rows)]) + window - 1
         found = keys.select(["doc_id", "text_key", "start"]).take(pa.array(rows[starts]))
-        start = found["start"].to_numpy() + at[starts]
+        start = found["start"].to_numpy() + first[rows[starts]] + at[starts]
         out = found.select(["doc_id", "text_key"]).append_column("start", pa.array(start.astype(np.int32))).append_column("size", pa.array(size.astype(np.int32)))
         yield from out.to_batches()
 
@@ -154,7 +188,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     ``docs`` needs doc_id and text. The bytes kept need not be whole characters.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    piece = "array<struct<anchor:bigint,high:bigint,low:bigint,start:int,n:int>>"
+    piece = "array<struct<anchor:bigint,digest:bigint,start:int,n:int>>"
     texts = docs.select("doc_id", text_key().alias("text_key"), "text")
     found = stash(
         texts.mapInArrow(_pieces(window, gram), f"doc_id {kind}, text_key bigint, n_bytes bigint, whole_sha256 string, pieces {piece}"), "byte-pieces"
@@ -164,24 +198,31 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
     # Anchors that occur once are most of them and end here.
     anchors = stash(pieces.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     pieces = stash(perhaps_in(pieces, F.col("anchor"), anchors, F.col("anchor"), 26).join(anchors, "anchor", "left_semi"), "shared-pieces")
-    paths = pieces.groupBy("anchor", "high", "low").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "start", "n")).alias("source"))
+    paths = pieces.groupBy("anchor", "digest").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "start", "n")).alias("source"))
     paths = stash(paths, "paths")
-    often = paths.where("times > 1").select("high", "low")
-    whole = pieces.join(often, ["high", "low"]).select("doc_id", "text_key", "start", (F.col("n") + window - 1).alias("size"))
+    often = paths.where("times > 1").select("anchor", "digest")
+    whole = pieces.join(often, ["anchor", "digest"]).select("doc_id", "text_key", "start", (F.col("n") + window - 1).alias("size"))
 
     branches = paths.groupBy("anchor").agg(F.count("*").alias("paths")).where("paths > 1").select("anchor")
     listed = paths.join(branches, "anchor").select("source.doc_id", "source.text_key", F.struct("anchor", "source.start", "source.n", (F.col("times") == 1).alias("once")).alias("piece"))
     listed = stash(listed.groupBy("doc_id", "text_key").agg(F.collect_list("piece").alias("pieces")), "branching")
 
+    twice = stash(found.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key"), "repeated-rows")
+
     def with_text(rows: DataFrame) -> DataFrame:
+        """The rows with their texts; where rows of documents are repeated, one text is enough."""
         near = perhaps_in(texts, F.col("text_key"), rows, F.col("text_key"))
-        # Repeated rows have one text: one copy is enough.
-        return rows.join(near, same(rows, near, "doc_id", "text_key")).select(*(rows[c] for c in rows.columns), near["text"]).dropDuplicates(["doc_id", "text_key"])
+        near = rows.join(near, same(rows, near, "doc_id", "text_key")).select(*(rows[c] for c in rows.columns), near["text"])
+        if twice.isEmpty():
+            return near
+        again = same(near, twice, "doc_id", "text_key")
+        return near.join(twice, again, "left_anti").unionByName(near.join(twice, again, "left_semi").dropDuplicates(["doc_id", "text_key"]))
 
     contents = with_text(listed).mapInArrow(
         _contents(window), f"doc_id {kind}, text_key bigint, anchor bigint, start int, n int, once boolean, content binary"
     )
-    single = contents.repartition("anchor").mapInArrow(_shard(window), f"doc_id {kind}, text_key bigint, start int, size int")
+    size = listed.agg(F.sum(F.aggregate("pieces", F.lit(0).cast("bigint"), lambda a, x: a + x["n"] + window - 1))).first()[0] or 0
+    single = contents.repartition(max(1, -(-size // SHARD)), "anchor").mapInArrow(_shard(window, gram), f"doc_id {kind}, text_key bigint, start int, size int")
     cuts = whole.unionByName(single).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("cuts"))
     cut = with_text(stash(cuts, "cuts")).mapInArrow(_kept, f"doc_id {kind}, text_key bigint, n_removed bigint, n_spans bigint, kept_bytes binary")
     return found.join(cut, same(found, cut, "doc_id", "text_key"), "left").select(
