@@ -72,10 +72,11 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     named = active
     best, done = None, []
     for radius in range(BITS + 1):
+        # Merged, as Spark cannot know how many values a radius makes and might broadcast them.
         apart = F.transform(F.arrays_zip("code", "found"), lambda x: F.bit_count(x["code"].bitwiseXOR(x["found"])))
         seen = active.select("query", "code", F.posexplode("code").alias("segment", "value")).mapInArrow(
             _probes(radius), "query bigint, code array<int>, segment int, value int"
-        ).join(index, ["segment", "value"]).withColumn("apart", apart)
+        ).join(index.hint("merge"), ["segment", "value"]).withColumn("apart", apart)
         first = (F.array_min("apart") == radius) & (F.array_position("apart", radius) == F.col("segment") + 1)
         seen = seen.where(first).select("query", "found", "ids", F.aggregate("apart", F.lit(0), lambda a, b: a + b).alias("distance"))
         if best is not None:
