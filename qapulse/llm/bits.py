@@ -49,7 +49,7 @@ def _probes(radius: int) -> Callable:
                 held = rows.column("value").to_numpy(zero_copy_only=False).astype(np.int32)
                 out = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), len(masks))))
                 probed = pa.array((held[:, None] ^ masks[None, :]).ravel())
-                yield pa.RecordBatch.from_arrays([*(out.column(n) for n in ("query", "code", "segment")), probed], ["query", "code", "segment", "value"])
+                yield pa.RecordBatch.from_arrays([*(out.column(n) for n in ("query", "code", "bound", "segment")), probed], ["query", "code", "bound", "segment", "value"])
 
     return run
 
@@ -68,30 +68,34 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     entries = stash(entries.groupBy("code").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "codes")
     index = stash(entries.select(F.posexplode("code").alias("segment", "value"), F.col("code").alias("found"), "ids"), "index")
     asked = stash(coded(queries).distinct(), "queries")
-    active = stash(asked.select("code").distinct().withColumn("query", F.monotonically_increasing_id()), "query-codes")
-    named = active
+    # bound: the (k+1)-th distance so far; what is farther is not even handed on by the join.
+    active = asked.select("code").distinct().withColumn("query", F.monotonically_increasing_id())
+    active = stash(active.withColumn("bound", F.lit(segments * BITS)), "query-codes")
+    named = active.drop("bound")
     best, done = None, []
     for radius in range(BITS + 1):
         # Merged, as Spark cannot know how many values a radius makes and might broadcast them.
         apart = F.transform(F.arrays_zip("code", "found"), lambda x: F.bit_count(x["code"].bitwiseXOR(x["found"])))
-        seen = active.select("query", "code", F.posexplode("code").alias("segment", "value")).mapInArrow(
-            _probes(radius), "query bigint, code array<int>, segment int, value int"
+        seen = active.select("query", "code", "bound", F.posexplode("code").alias("segment", "value")).mapInArrow(
+            _probes(radius), "query bigint, code array<int>, bound int, segment int, value int"
         ).join(index.hint("merge"), ["segment", "value"]).withColumn("apart", apart)
         first = (F.array_min("apart") == radius) & (F.array_position("apart", radius) == F.col("segment") + 1)
-        seen = seen.where(first).select("query", "found", "ids", F.aggregate("apart", F.lit(0), lambda a, b: a + b).alias("distance"))
+        distance = F.aggregate("apart", F.lit(0), lambda a, b: a + b)
+        seen = seen.where(first & (distance <= F.col("bound"))).select("query", "found", "ids", distance.alias("distance"))
         if best is not None:
             seen = seen.unionByName(best.join(active.select("query"), "query"))
         near = Window.partitionBy("query").orderBy("distance", F.col("ids")[0], "found")
         best = stash(seen.withColumn("at", F.row_number().over(near)).where(F.col("at") <= k + 1).drop("at"), "nearest")
         covered = segments * (radius + 1) - 1
         reached = best.withColumn("n", F.sum(F.size("ids")).over(near)).where(F.col("n") >= k + 1)
-        ended = reached.groupBy("query").agg(F.min("distance").alias("kth")).where(F.col("kth") <= covered).select("query")
+        kth = stash(reached.groupBy("query").agg(F.min("distance").alias("kth")), "kth")
+        ended = kth.where(F.col("kth") <= covered).select("query")
         if radius == BITS:
             done.append(best)
             break
-        ended = stash(ended, "ended")
         done.append(best.join(ended, "query"))
-        active = stash(active.join(ended, "query", "left_anti"), "query-codes")
+        active = active.join(kth, "query", "left").where(F.coalesce("kth", "bound") > covered)
+        active = stash(active.select("query", "code", F.coalesce("kth", "bound").alias("bound")), "query-codes")
         if active.isEmpty():
             break
     found = done[0]
