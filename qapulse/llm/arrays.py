@@ -7,7 +7,7 @@ operators whose result depends on equality compare digests of the bytes themselv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +18,17 @@ _BYTES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) |
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
+_held: dict = {}
+
+
+def one_model(key: tuple, make: Callable):
+    """A worker's model. Another one takes its place: a reused worker never holds two stages' tables."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse; kept and grown."""
     if len(_powers[0]) < n:

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from qapulse.llm import arrays
 from qapulse.llm.shared import documents
 
 ROWS, CHARS = 120, 400
-SYMBOLS, BLOCK = 64, 1024
+SYMBOLS, BLOCK = 48, 1024
 #: A text in no learned language: random letters take 4.7 bits and more, prose of the learned ones takes 1.7 to 3.9.
 LEAST_LETTERS, MOST_BITS = 200, 4.7
 _GAP, _OTHER = 0, SYMBOLS - 1
@@ -62,7 +61,7 @@ def automaton(word: list[int]) -> tuple[np.ndarray, np.ndarray]:
                 met = copy
             link[state] = met
         last = state
-    table = np.full((len(follow), SYMBOLS), -1, np.int64)
+    table = np.full((len(follow), SYMBOLS), -1, np.int32)
     for state, edges in enumerate(follow):
         for symbol, target in edges.items():
             table[state, symbol] = target
@@ -94,7 +93,7 @@ class Model:
             ended = np.where(missing, 1 + (root < 0), 0)
             ended[0][root < 0] = 1
             table = np.where(missing, again, table)
-            tables.append((((table * SYMBOLS + base) << 2) | ended).ravel())
+            tables.append((((table.astype(np.int64) * SYMBOLS + base) << 2) | ended).ravel())
             self.roots.append(base)
             base += table.size
             self.bits.append(np.log2(max(2, len(word))))
@@ -156,9 +155,8 @@ class Model:
         return np.where(known, best, -1), score, np.where(known, least, 0), letters
 
 
-@lru_cache(1)
 def _model(samples: tuple[tuple[str, str], ...]) -> Model:
-    return Model(samples)
+    return arrays.one_model(("languages", samples), lambda: Model(samples))
 
 
 def learn(docs: DataFrame, rows: int = ROWS, chars: int = CHARS) -> tuple[tuple[str, str], ...]:

@@ -20,7 +20,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +51,11 @@ _HEX[list(b"0123456789abcdef")] = True
 _RUN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")] = True
 
 
-@lru_cache(1)
 def _encoding(path: str):
+    return arrays.one_model(("runs", path), lambda: _loaded(path))
+
+
+def _loaded(path: str):
     import public_tokenizers
     import tiktoken
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ import pyarrow as pa
 from qapulse.llm import arrays
 
 #: Pieces a worker remembers before it starts anew, and the longest piece it remembers.
-KEPT, LONGEST = 2_000_000, 64
+KEPT, LONGEST = 1_000_000, 64
 _NORMALISERS = ["NFC", "Replace", "Lowercase"]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -179,10 +178,9 @@ class Encoder:
         return ids, np.r_[0, np.cumsum(lengths)][np.searchsorted(starts, offsets)]
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One per worker and vocabulary."""
-    return Encoder(path)
+    return arrays.one_model(("tokens", path), lambda: Encoder(path))
 
 
 def vocabulary(path: str | None) -> str:
