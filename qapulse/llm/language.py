@@ -132,6 +132,7 @@ class Model:
         letters = np.diff(np.r_[0, np.cumsum(symbols != _GAP)][bounds])
         kept = np.ones(len(symbols), bool)
         kept[1:] = (symbols[1:] != _GAP) | (symbols[:-1] != _GAP)
+        kept[bounds[bounds < len(symbols)]] = True  # a row's first symbol has no neighbour
         symbols, bounds = symbols[kept], np.r_[0, np.cumsum(kept)][bounds]
         sizes = np.diff(bounds)
         blocks = -(-sizes // BLOCK)
