@@ -8,9 +8,9 @@ Signature (ProbMinHash): each run is a Poisson process whose rate is its weight;
 keep the earliest; a run stops once its next arrival is later than every register's. Two texts agree in a register with the
 probability Jaccard. Registers are banded into buckets. In each of ``TURNS`` turns, every text of a bucket that
 still holds several classes meets the bucket's first and, from the second turn, its neighbours, in an order that each turn
-changes; work is in proportion to the texts, never to pairs. A bucket of up to ``NEIGHBOURS`` + 2 texts is tested
-in full; in a larger one that keeps several classes, a pair may stay untested there, but it shares some ten buckets on average.
-Pairs whose signatures agree in too few registers are dropped (a pair at the threshold lies six
+changes; that merges most classes in proportion to the texts. A bucket of up to ``NEIGHBOURS`` + 2 texts is tested
+in full by then; in larger ones that keep several classes, all remaining pairs of different classes meet, block by block of
+texts (:func:`_remaining`), so no pair that shares a bucket goes untested unless it already is in one class. Pairs whose signatures agree in too few registers are dropped (a pair at the threshold lies six
 deviations above that), the rest is verified on the texts.
 
 Rows whose word sequences are equal are one node from the start, however many they are. Texts without words
@@ -19,7 +19,7 @@ are equal only if identical; a null text is alone. Repeated rows fall into one c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -35,6 +35,8 @@ BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 #: Turns in which the texts of a bucket meet, the texts each meets before it besides the first, and the size of a dealt part.
 TURNS, NEIGHBOURS, PART = 3, 3, 1000
+#: Bytes of text in a part of a bucket whose remaining pairs meet, about; a longer text is a part with others of its hash.
+PART_BYTES = 4_000_000
 #: Registers two signatures must share to be verified: 0.55 of them. At similarity 0.8 fewer come once in 10**8 pairs.
 AGREE = int(0.55 * SIZE)
 
@@ -161,6 +163,126 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(alike[kept])], ["a", "b", "alike"])
 
 
+_BLOCK = ["bucket", "low", "high"]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], held: Callable) -> Iterator[tuple[tuple, list]]:
+    """Each block's key and what ``held`` makes of its rows, for batches sorted by block."""
+    key, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in _BLOCK])
+        cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(axis=0)) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            own = tuple(names[:, begin].tolist())
+            if own != key:
+                if parts:
+                    yield key, parts
+                key, parts = own, []
+            parts.append(held(batch.slice(begin, end - begin)))
+    if parts:
+        yield key, parts
+
+
+def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per block, each text of a pair to verify, and the other texts it is to be verified with.
+
+    A pair comes from the first bucket its texts share only; had that one been tested in full, so is the pair.
+    """
+
+    def held(part: pa.RecordBatch) -> tuple:
+        node, label, own = (part.column(n).to_numpy() for n in ("node", "label", "part"))
+        bands = part.column("bands")
+        bands = bands.flatten().to_numpy().reshape(-1, BANDS)
+        return node.copy(), label.copy(), own.copy(), bands.copy(), _matrix(part.column("sketch"), np.uint8, SIZE)
+
+    for (bucket, low, high), parts in _grouped(batches, held):
+        node, label, part, bands, sketch = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(label, kind="stable")
+        node, label, part, bands, sketch = (x[order] for x in (node, label, part, bands, sketch))
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        used = np.zeros(len(node), bool)
+        others: list[np.ndarray] = [np.empty(0, np.int64)] * len(node)
+        step = max(1, 20_000_000 // (SIZE * max(1, len(right))))
+        for begin, end in zip(*arrays.run_bounds(label[left])):
+            # Labels are sorted: what has another label comes before or after; inside one part, only after.
+            apart = right[label[right] > label[left[begin]]] if low == high else right[label[right] != label[left[begin]]]
+            for at in range(begin, end, step) if len(apart) else ():
+                mine = left[at : min(at + step, end)]
+                x, y = np.nonzero((sketch[mine][:, None] == sketch[apart][None]).sum(axis=2) >= AGREE)
+                x, y = mine[x], apart[y]
+                alike = bands[x] == bands[y]
+                first = bands[x, alike.argmax(axis=1)] == bucket
+                x, y = x[first], y[first]
+                used[x] = used[y] = True
+                for a, b in zip(*arrays.run_bounds(x)):
+                    others[x[a]] = node[y[a:b]]
+        rows = np.flatnonzero(used)
+        if len(rows):
+            lists = [others[r] for r in rows]
+            places = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
+            key = [pa.array(np.full(len(rows), k), t) for k, t in zip((bucket, low, high), (pa.int64(), pa.int32(), pa.int32()))]
+            columns = [*key, pa.array(node[rows]), pa.ListArray.from_arrays(pa.array(places), pa.array(np.concatenate(lists)))]
+            yield pa.RecordBatch.from_arrays(columns, [*_BLOCK, "node", "others"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Verified pairs of each block; each text is cut into runs once, and what the block has linked already is left out."""
+
+    def held(part: pa.RecordBatch) -> list[tuple]:
+        out = []
+        for batch in arrays.portions(iter([part])):
+            runs = Shingles(batch.column("text"))
+            cuts = np.searchsorted(runs.rows, np.arange(batch.num_rows + 1)).tolist()
+            for node, others, a, b in zip(batch.column("node").to_pylist(), batch.column("others").to_pylist(), cuts, cuts[1:]):
+                out.append((node, others, runs.keys[a:b].copy(), runs.weights[a:b].copy()))
+        return out
+
+    for _, parts in _grouped(batches, held):
+        texts = {node: (keys, weights) for part in parts for node, _, keys, weights in part}
+        parent = {node: node for node in texts}
+
+        def root(node: int) -> int:
+            while parent[node] != node:
+                parent[node] = node = parent[parent[node]]
+            return node
+
+        found = []
+        for node, others, *_ in (row for part in parts for row in part):
+            for other in others:
+                if root(node) != root(other) and (alike := similarity(*texts[node], *texts[other])) >= ALIKE - 1e-9:
+                    parent[root(node)] = root(other)
+                    found.append((min(node, other), max(node, other), alike))
+        if found:
+            a, b, alike = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], ["a", "b", "alike"])
+
+
+def _remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Links among all pairs of different classes that share a bucket and were not tested for certain by the turns.
+
+    A bucket is dealt at random into parts bounded in texts and bytes; each two parts are a block, which one task handles. Rows
+    are texts by parts, never pairs; only the texts of pairs whose signatures agree are read.
+    """
+    held = members.where(F.col("n") > NEIGHBOURS + 2).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    held = held.join(wanted.select("node", F.octet_length("text").alias("size")), "node")
+    split = held.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    split = split.where("l != h").select("bucket", F.ceil(F.greatest(F.col("n") / PART, F.col("size") / PART_BYTES)).cast("int").alias("parts"))
+    held = held.drop("n", "size").join(split, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(TURNS)), "parts").cast("int"))
+    held = held.join(nodes.select("node", "bands", "sketch"), "node")
+    held = held.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    held = held.select("bucket", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "node", "label", "part", "bands", "sketch")
+    key = "bucket bigint, low int, high int"
+    pairs = held.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_block_pairs, f"{key}, node bigint, others array<bigint>")
+    pairs = stash(pairs, "block-pairs").join(wanted.select("node", "text"), "node").select(*_BLOCK, "node", "others", "text")
+    return stash(pairs.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_block_links, "a bigint, b bigint, alike double"), "links")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that verify, with their similarity."""
     for side in ("a", "b"):
@@ -243,6 +365,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = _links(_meetings(members, labels, turn), wanted)
         links = found if links is None else stash(links.union(found).distinct(), "all-links")
         labels = components(links)
+    links = stash(links.union(_remaining(members, labels, nodes, wanted)).distinct(), "all-links")
+    labels = components(links)
 
     degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     placed = nodes.join(labels, "node", "left").join(degree, "node", "left").select(

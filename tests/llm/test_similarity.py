@@ -93,6 +93,35 @@ def test_a_hot_family_of_near_copies(documents_of):
     assert Counter((r.doc_id, r.class_id) for r in probminhash.near_duplicates(documents_of(rows)).collect()) == classes(rows)
 
 
+def test_pairs_in_a_bucket_of_many_classes_all_meet(documents_of, monkeypatch):
+    """Members of one template family are some 0.7 alike; a few pairs of them are near copies."""
+    chance = random.Random(18)
+    base = [f"b{chance.randrange(5000)}" for _ in range(260)]
+    family = []
+    for i in range(240):
+        text = list(base)
+        for at in (chance.randrange(260 - 12) for _ in range(3)):
+            text[at : at + 7] = [f"e{i}x{at}x{k}" for k in range(7)]
+        family.append(text)
+    for i in range(0, 40, 2):
+        family[i + 1] = list(family[i])
+        family[i + 1][chance.randrange(260)] = f"c{i}"
+    rows = [(i, " ".join(text)) for i, text in enumerate(family)]
+    sets = [shingles(t) for _, t in rows]
+    assert all(set(x.values()) == {1} for x in sets)  # plain Jaccard, which is quick by brute force
+    label = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(x.keys() & sets[j].keys())
+            if both >= 0.8 * (len(x) + len(sets[j]) - both) - 1e-9 and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if k == high else k for k in label]
+    expected = Counter(enumerate(label))
+    assert len(set(label)) > 100
+    monkeypatch.setattr(probminhash, "PART", 50)
+    assert Counter((r.doc_id, r.class_id) for r in probminhash.near_duplicates(documents_of(rows)).collect()) == expected
+
+
 def nearest(base, queries, k, segments):
     def code(v):
         return tuple(int(i < len(v) and (v[i] or 0) > 0) for i in range(segments * 16))
