@@ -44,7 +44,10 @@ _DIGEST = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _DIGEST_SIZES = {32, 40, 48, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 # Words of one case (or one capital), numbers, and camel case made of such words, joined by the usual marks.
-_IDENTIFIER = re.compile(r"[+/_=-]*((([A-Z]?[a-z]{3,}|[A-Z]{3,})+|[A-Za-z]{1,2}|[0-9]+)([+/_=-]+|$))*")
+# Runs of one case are taken whole (possessively), so a run that does not fit is refused in linear time.
+_IDENTIFIER = re.compile(
+    r"[+/_=-]*+(?:(?:(?:(?:[A-Z]{3,}+|[A-Z])[a-z]{3,}+|[a-z]{3,}+|[A-Z]{3,}+)++|[A-Za-z]{1,2}|[0-9]++)(?:[+/_=-]++|$))*+"
+)
 
 _HEX, _RUN = np.zeros(256, bool), np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import signal
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,6 +96,21 @@ def test_secrets(documents_of, messy_rows, nothing):
     assert secrets.scan_secrets(nothing).collect() == []
 
 
+def test_identifiers_are_told_in_linear_time():
+    """The same strings as one that tries all splits, and long ones that it never refused."""
+    slow = re.compile(r"[+/_=-]*((([A-Z]?[a-z]{3,}|[A-Z]{3,})+|[A-Za-z]{1,2}|[0-9]+)([+/_=-]+|$))*")
+    chance = random.Random(31)
+    for _ in range(30_000):
+        text = "".join(chance.choice("aaaabBBB1_-") for _ in range(chance.randint(0, 12)))
+        assert bool(slow.fullmatch(text)) == bool(secrets._IDENTIFIER.fullmatch(text)), text
+    signal.alarm(30)  # the default action ends the process
+    try:
+        for text in ("a" * 100_000 + "1", "A" * 100_000 + "1", "aB" * 50_000 + "1", "abcDef" * 20_000 + "1", "-" * 100_000 + "a1"):
+            assert not secrets._IDENTIFIER.fullmatch(text)
+    finally:
+        signal.alarm(0)
+
+
 @pytest.fixture(scope="module")
 def library():
     return tokenise.encoder(tokenise.vocabulary(None)).library
