@@ -7,8 +7,10 @@ Patterns, leftmost and not overlapping per kind (letters A-Z in either case only
 * hex: ``[0-9a-f]+`` of 24 or more
 
 Method (kind ``random``): a run ``[A-Za-z0-9+/_=-]+`` of ``LEAST`` characters or more is split by a byte-level
-vocabulary. Prose, even unknown words, takes more than ``RATIO`` characters a token; random strings take fewer. Runs that are digests of
-usual length, UUIDs, or identifiers made of plain words and numbers are left out, as are runs that a pattern already covers.
+vocabulary. Prose, even unknown words, takes more than ``RATIO`` characters a token; random strings take fewer. A run that
+takes more as a whole, as words stand around a random string, is searched for stretches of ``LEAST`` characters or more that
+take fewer. Digests of usual length, UUIDs, and identifiers made of plain words and numbers are left out; what a pattern
+covers is cut out of a run before.
 
 Null and empty texts have no spans. Places are code points, ends exclusive. Each row is judged alone, so repeated rows
 and further columns do not matter.
@@ -48,6 +50,9 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _IDENTIFIER = re.compile(
     r"[+/_=-]*+(?:(?:(?:(?:[A-Z]{3,}+|[A-Z])[a-z]{3,}+|[a-z]{3,}+|[A-Z]{3,}+)++|[A-Za-z]{1,2}|[0-9]++)(?:[+/_=-]++|$))*+"
 )
+_NAMED_PART = re.compile(
+    r"(?<![A-Za-z0-9])(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9A-Fa-f]{32,128}+)(?![A-Za-z0-9])"
+)
 
 _HEX, _RUN = np.zeros(256, bool), np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
@@ -67,11 +72,60 @@ def _loaded(path: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def is_random(run: str, path: str, ratio: float = RATIO) -> bool:
-    """Whether a run takes few characters a token and is no digest or identifier."""
-    if len(run) in _DIGEST_SIZES and _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run):
-        return False
-    return len(run) < ratio * len(_encoding(path).encode_ordinary(run))
+def _named(run: str) -> bool:
+    """Whether a run is a digest, a UUID or an identifier."""
+    return bool(len(run) in _DIGEST_SIZES and _DIGEST.fullmatch(run) or _UUID.fullmatch(run) or _IDENTIFIER.fullmatch(run))
+
+
+def _dense(sizes: list[int], ratio: float) -> list[tuple[int, int]]:
+    """Stretches of tokens, as places in the run, of ``LEAST`` characters or more with fewer than ``ratio`` a token.
+
+    A stretch starts where no stretch before it would help and ends where its lead is greatest, or as soon as it is long enough.
+    """
+    found, token, place = [], 0, 0
+    while token < len(sizes):
+        lead, most, size, best = 0.0, 0.0, 0, None
+        at = token
+        while at < len(sizes):
+            lead += ratio - sizes[at]
+            size += sizes[at]
+            at += 1
+            if lead <= 0:
+                break
+            if size >= LEAST and lead > most:
+                most, best = lead, (at, size)
+        if best:
+            found.append((place, place + best[1]))
+        token, size = best or (at, size)
+        place += size
+    return found
+
+
+def random_parts(run: str, path: str, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """Places of what takes few characters a token in a run and is no digest or identifier; the whole run if that does."""
+    if _named(run):
+        return []
+    if len(run) < ratio * len(_encoding(path).encode_ordinary(run)):
+        return [(0, len(run))]
+    parts, begin = [], 0
+    for cut in [*(m.span() for m in _NAMED_PART.finditer(run) if _named(m[0])), (len(run), len(run))]:
+        rest = run[begin : cut[0]]
+        if len(rest) >= LEAST:
+            tokens = _encoding(path)
+            sizes = [len(t) for t in tokens.decode_tokens_bytes(tokens.encode_ordinary(rest))]
+            parts += [(begin + a, begin + b) for a, b in _dense(sizes, ratio) if not _named(rest[a:b])]
+        begin = cut[1]
+    return parts
+
+
+def _outside(start: int, end: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What of [start, end) no sorted span covers."""
+    left = []
+    for a, b in covered:
+        if b > start and a < end:
+            left.append((start, a))
+            start = max(start, b)
+    return [(a, b) for a, b in [*left, (start, end)] if b - a >= LEAST]
 
 
 def _character(part: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -101,11 +155,14 @@ def scan_batch(column: pa.Array, path: str) -> list[list[tuple[int, int, int]]]:
             row = int(rows[begin])
             part = buffer[offsets[row] : offsets[row + 1]]
             s, e = starts[begin:end] - offsets[row], ends[begin:end] - offsets[row]
+            own = sorted(found[row])
             for a, b, x, y in zip(_character(part, s).tolist(), _character(part, e).tolist(), s.tolist(), e.tolist()):
                 if kind == 2:
                     found[row].append((a, 2, b))
-                elif is_random(part[x:y].tobytes().decode(), path) and all(b <= p or q <= a for p, k, q in found[row] if k < 3):
-                    found[row].append((a, 3, b))
+                else:
+                    run, covered = part[x:y].tobytes().decode(), [(p, q) for p, _, q in own]
+                    for p, q in _outside(a, b, covered):
+                        found[row] += [(p + u, 3, p + v) for u, v in random_parts(run[p - a : q - a], path)]
     return [sorted(own) for own in found]
 
 

@@ -111,6 +111,24 @@ def test_identifiers_are_told_in_linear_time():
         signal.alarm(0)
 
 
+def test_random_strings_among_words():
+    chance = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    path = secrets._path(None)
+    for size in (32, 40, 64):
+        for before, after in (("com/users/account-reset/confirmation/", ""), ("prefix_of_some_words_", ""), ("webhooks/incoming/", "/messages/delivery/status")):
+            key = "".join(chance.choice(alphabet) for _ in range(size))
+            text = f"é see {before}{key}{after} there"
+            spans = secrets.scan_batch(pa.array([text]), path)[0]
+            assert [k for _, k, _ in spans] == [3]
+            assert sum(text.index(key) <= i < text.index(key) + size for i in range(spans[0][0], spans[0][2])) >= size - 4
+            # The rest of a run of which a pattern covers a part.
+            text = f"{'0123456789ab' * 2}/{key}"
+            assert [k for _, k, _ in secrets.scan_batch(pa.array([text]), path)[0]] == [2, 3]
+    for text in ("com/users/123e4567-e89b-12d3-a456-426614174000/confirmation", "some/path/to/aLongIdentifierOfWords/v2/and-more-of-it"):
+        assert secrets.scan_batch(pa.array([text]), path) == [[]], text
+
+
 @pytest.fixture(scope="module")
 def library():
     return tokenise.encoder(tokenise.vocabulary(None)).library
