@@ -41,6 +41,7 @@ class _Table:
         self.bits = (2 * KEPT - 1).bit_length()
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.entries = np.zeros(1 << self.bits, np.int32)
+        self.held = 0
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -60,7 +61,8 @@ class _Table:
         return found
 
     def put(self, keys: np.ndarray, entries: np.ndarray) -> None:
-        """Add keys that are different and not yet there."""
+        """Add keys that are different and not yet there; the caller leaves slots free (``held`` is at most ``KEPT``)."""
+        self.held += len(keys)
         slots, rest = self._slots(keys), np.arange(len(keys))
         while len(rest):
             free = rest[self.keys[slots[rest]] == 0]
@@ -170,9 +172,8 @@ class Encoder:
             pieces = [text[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist())]
             made = self._add(*self._encode(pieces, kind[starts[one]] != _WHOLE))
             entries[missing] = made[back]
-            kept = (new & np.uint64(1)) == 1
-            if self.count <= KEPT + len(new):
-                self.table.put(new[kept], made[kept])
+            kept = np.flatnonzero(new & np.uint64(1))[: KEPT - self.table.held]  # the others serve this batch only
+            self.table.put(new[kept], made[kept])
         lengths = self.lengths[entries].astype(np.int64)
         ids = self.flat[np.repeat(self.offsets[entries], lengths) + arrays.runs_of(lengths)]
         return ids, np.r_[0, np.cumsum(lengths)][np.searchsorted(starts, offsets)]

@@ -151,6 +151,20 @@ def test_cached_pieces_give_the_library_ids(library):
         assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [encoded(library, t) for t in texts]
 
 
+def test_one_text_of_more_pieces_than_are_kept(library, monkeypatch):
+    monkeypatch.setattr(tokenise, "KEPT", 100)
+    own = tokenise.Encoder(tokenise.vocabulary(None))
+    texts = ["some words first", " ".join(f"w{i}x" + "abcdefghij"[i % 10] * (i % 7) + " é" + "ab" * (i % 30) for i in range(3000)), "some words after"]
+    signal.alarm(60)  # the default action ends the process
+    try:
+        for text in texts * 2:
+            ids, _ = own.batch(pa.array([text]))
+            assert ids.tolist() == encoded(library, text)
+            assert np.count_nonzero(own.table.keys) <= 100
+    finally:
+        signal.alarm(0)
+
+
 def naive_fit(lengths, size):
     free, out = [], []
     for n in lengths:
