@@ -5,8 +5,8 @@ holds an integer impact of each of its terms, a floor of the term's weight times
 a document for an item is the sum of the impacts of the item's terms, each as often as the item has it (see :func:`search`).
 
 Items are dealt into blocks whose terms take some ``BLOCK_BYTES``; each block is one pass over all documents with its vocabulary. That
-pass keeps, per document, the counts of the block's terms. Then, in each task, tiles of ``DOCS`` documents meet
-tiles of ``ITEMS`` items: columns are the terms that both tiles hold, cut so that no partial sum of a product can reach 2**53. A
+pass keeps, per document, the counts of the block's terms. Then, in each task, tiles of documents meet
+tiles of items (``SHAPE``): columns are the terms that both tiles hold, cut so that no partial sum of a product can reach 2**53. A
 product in float64 is exact up to there, whatever order BLAS adds in; partial sums are added as 64-bit integers. An item keeps its
 ``k`` best documents of the task; those at the k-th score are all kept until ids decide. Tasks hand on k rows an
 item, which are ranked in salted windows first.
@@ -34,7 +34,8 @@ from qapulse.llm.shared import documents, stash
 K = 10
 #: Bytes of item terms in a block, about: what is broadcast. A longer item is a block with what its hash deals to it.
 BLOCK_BYTES = 8_000_000
-ITEMS, DOCS, COLUMNS = 256, 1024, 1024
+#: Items, documents and terms in a tile.
+SHAPE = (256, 1024, 1024)
 EXACT = 2**53
 SALT = 64
 
@@ -86,7 +87,7 @@ class Items:
     stays under ``EXACT`` for every item; a term that alone could pass it is split into columns with part of its count.
     """
 
-    def __init__(self, items: np.ndarray, ids: np.ndarray, counts: np.ndarray, weights: np.ndarray, most: int = COLUMNS, exact: int = EXACT) -> None:
+    def __init__(self, items: np.ndarray, ids: np.ndarray, counts: np.ndarray, weights: np.ndarray, most: int, exact: int) -> None:
         self.items, row = np.unique(items, return_inverse=True)
         held = weights[ids] > 0
         row, ids, counts = row[held], ids[held], counts[held]
@@ -147,20 +148,19 @@ def _best(table: pa.Table, k: int) -> pa.Table:
     return table.filter(pa.array(arrays.runs_of(ends - starts) < k))
 
 
-def _top(block, k: int) -> Callable:
+def _top(block, k: int, shape: tuple[int, int, int], exact: int) -> Callable:
     """The best documents of each item of the block among the rows of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, item, term, times, weights, docs, total = block.value
-        tiles = [
-            Items(item[part], term[part], times[part], weights)
-            for part in (np.flatnonzero(item // ITEMS == n) for n in range(-(-len(names) // ITEMS)))
-        ]
+        high, wide, deep = shape
+        parts = (np.flatnonzero(item // high == n) for n in range(-(-len(names) // high)))
+        tiles = [Items(item[part], term[part], times[part], weights, deep, exact) for part in parts]
         least = np.ones(len(names), np.int64)
         best = None
         for whole in batches:
-            for begin in range(0, whole.num_rows, DOCS):
-                batch = whole.slice(begin, DOCS)
+            for begin in range(0, whole.num_rows, wide):
+                batch = whole.slice(begin, wide)
                 n = batch.column("n").to_numpy()
                 lists = batch.column("ids")
                 sizes = pc.list_value_length(lists).to_numpy()
@@ -195,7 +195,7 @@ def _ranked(rows: DataFrame, k: int, *by: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _block(docs: DataFrame, asked: DataFrame, k: int, shape: tuple[int, int, int], exact: int) -> DataFrame:
     """The best documents of the items of one block; their terms are (item_id, term, n)."""
     spark = docs.sparkSession
     kinds = [x.schema[n].dataType.simpleString() for x, n in ((asked, "item_id"), (docs, "doc_id"))]
@@ -214,11 +214,13 @@ def _block(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         weights[at] = math.floor(1000 * math.log((2 * docs_n + 2) / (2 * df + 1)))
     block = (owners.dictionary, owners.indices.to_numpy().astype(np.int64), term, held.column("n").to_numpy(), weights, docs_n, total)
     block = spark.sparkContext.broadcast(block)
-    best = found.where(F.size("ids") > 0).mapInArrow(_top(block, k), f"item_id {kinds[0]}, doc_id {kinds[1]}, score bigint")
+    best = found.where(F.size("ids") > 0).mapInArrow(_top(block, k, shape, exact), f"item_id {kinds[0]}, doc_id {kinds[1]}, score bigint")
     return stash(best, "task-tops")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def search(
+    docs: DataFrame, items: DataFrame, k: int = K, block_bytes: int = BLOCK_BYTES, shape: tuple[int, int, int] = SHAPE, exact: int = EXACT
+) -> DataFrame:
     """item_id, rank, doc_id, score of the ``k`` best documents of each item with a score above 0.
 
     N counts the documents with a term, L their terms, df the documents with a term, tf its count in one of n terms. A term weighs
@@ -232,7 +234,7 @@ def search(docs: DataFrame, items: DataFrame, k: int = K, block_bytes: int = BLO
     blocks = max(1, -(-size // block_bytes))
     number = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     docs = docs.select("doc_id", "text")
-    tops = [_block(docs, asked.where(number == at), k) for at in range(blocks)]
+    tops = [_block(docs, asked.where(number == at), k, shape, exact) for at in range(blocks)]
     rows = reduce(DataFrame.union, tops)
     # Two levels: an item's rows, k from each task, never meet in one window at once.
     rows = _ranked(rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "score"), F.lit(SALT))), k, "item_id", "salt")

@@ -6,12 +6,12 @@ are weighted by how often they occur, and similarity is probability Jaccard,
 
 Signature (ProbMinHash): each run is a Poisson process whose rate is its weight; each arrival hits one of ``SIZE`` registers, which
 keep the earliest; a run stops once its next arrival is later than every register's. Two texts agree in a register with the
-probability Jaccard. Registers are banded into buckets. In each of ``TURNS`` turns, every text of a bucket that
-still holds several classes meets the bucket's first and, from the second turn, its neighbours, in an order that each turn
-changes; that merges most classes in proportion to the texts. A bucket of up to ``NEIGHBOURS`` + 2 texts is tested
-in full by then; in larger ones that keep several classes, all remaining pairs of different classes meet, block by block of
-texts (:func:`_remaining`), so no pair that shares a bucket goes untested unless it already is in one class. Pairs whose signatures agree in too few registers are dropped (a pair at the threshold lies six
-deviations above that), the rest is verified on the texts.
+probability Jaccard. Registers are banded into buckets. Bands come in ``TURNS``: in a turn, every text of a bucket that
+still holds several classes meets the bucket's first and, from the second turn, its neighbours. That merges most classes in
+proportion to the texts, and the few bands of the first turn spare the many of the last one. Then, in buckets of any band that keep several classes,
+all pairs of different classes meet inside tasks, block by block of texts (:func:`_remaining`), so no pair that shares a
+bucket goes untested unless it already is in one class. Pairs whose signatures agree in too few registers are dropped (a pair
+at the threshold lies six deviations above that), the rest is verified on the texts.
 
 Rows whose word sequences are equal are one node from the start, however many they are. Texts without words
 are equal only if identical; a null text is alone. Repeated rows fall into one class; an empty table gives no rows.
@@ -33,10 +33,10 @@ from qapulse.llm.shared import documents, same, stash, text_key, without
 RUN, ALIKE = 5, 0.8
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
-#: Turns in which the texts of a bucket meet, the texts each meets before it besides the first, and the size of a dealt part.
-TURNS, NEIGHBOURS, PART = 3, 3, 1000
+#: Bands of each turn in which the texts of a bucket meet, the texts each meets before it besides the first, and the size of a dealt part.
+TURNS, NEIGHBOURS, PART = ((0, 2), (2, 8), (8, BANDS)), 3, 4000
 #: Bytes of text in a part of a bucket whose remaining pairs meet, about; a longer text is a part with others of its hash.
-PART_BYTES = 4_000_000
+PART_BYTES = 8_000_000
 #: Registers two signatures must share to be verified: 0.55 of them. At similarity 0.8 fewer come once in 10**8 pairs.
 AGREE = int(0.55 * SIZE)
 
@@ -192,37 +192,37 @@ def _matrix(column: pa.Array, kind: type, width: int) -> np.ndarray:
 def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block, each text of a pair to verify, and the other texts it is to be verified with.
 
-    A pair comes from the first bucket its texts share only; had that one been tested in full, so is the pair.
+    Texts of the left side meet those of the right side that have another label. A pair of two texts that are on both sides counts
+    once, and only in the first bucket its texts share.
     """
 
     def held(part: pa.RecordBatch) -> tuple:
-        node, label, own = (part.column(n).to_numpy() for n in ("node", "label", "part"))
-        bands = part.column("bands")
-        bands = bands.flatten().to_numpy().reshape(-1, BANDS)
-        return node.copy(), label.copy(), own.copy(), bands.copy(), _matrix(part.column("sketch"), np.uint8, SIZE)
+        node, label, right = (part.column(n).to_numpy(zero_copy_only=False) for n in ("node", "label", "right"))
+        bands = part.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        return node.copy(), label.copy(), right.copy(), part.column("minor").to_numpy(zero_copy_only=False).copy(), bands.copy(), _matrix(part.column("sketch"), np.uint8, SIZE)
 
     for (bucket, low, high), parts in _grouped(batches, held):
-        node, label, part, bands, sketch = (np.concatenate(x) for x in zip(*parts))
+        node, label, right, minor, bands, sketch = (np.concatenate(x) for x in zip(*parts))
         order = np.argsort(label, kind="stable")
-        node, label, part, bands, sketch = (x[order] for x in (node, label, part, bands, sketch))
-        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        node, label, right, minor, bands, sketch = (x[order] for x in (node, label, right, minor, bands, sketch))
+        left, right = np.flatnonzero(~right), np.flatnonzero(right)
         used = np.zeros(len(node), bool)
         others: list[np.ndarray] = [np.empty(0, np.int64)] * len(node)
         step = max(1, 20_000_000 // (SIZE * max(1, len(right))))
         for begin, end in zip(*arrays.run_bounds(label[left])):
-            # Labels are sorted: what has another label comes before or after; inside one part, only after.
-            apart = right[label[right] > label[left[begin]]] if low == high else right[label[right] != label[left[begin]]]
+            apart = right[label[right] != label[left[begin]]]
             for at in range(begin, end, step) if len(apart) else ():
                 mine = left[at : min(at + step, end)]
                 x, y = np.nonzero((sketch[mine][:, None] == sketch[apart][None]).sum(axis=2) >= AGREE)
                 x, y = mine[x], apart[y]
                 alike = bands[x] == bands[y]
-                first = bands[x, alike.argmax(axis=1)] == bucket
-                x, y = x[first], y[first]
+                counts = (bands[x, alike.argmax(axis=1)] == bucket) & (~minor[x] | (node[x] < node[y]))
+                x, y = x[counts], y[counts]
                 used[x] = used[y] = True
                 for a, b in zip(*arrays.run_bounds(x)):
                     others[x[a]] = node[y[a:b]]
-        rows = np.flatnonzero(used)
+        rows = np.r_[left[used[left]], right[used[right]]]
+        rows = rows[np.unique(node[rows], return_index=True)[1]]  # a text of both sides once, with what it meets on the left
         if len(rows):
             lists = [others[r] for r in rows]
             places = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
@@ -263,22 +263,43 @@ def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(alike, pa.float64())], ["a", "b", "alike"])
 
 
-def _remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Links among all pairs of different classes that share a bucket and were not tested for certain by the turns.
+def _blocks(members: DataFrame, labels: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts of buckets with several classes, dealt into blocks.
 
-    A bucket is dealt at random into parts bounded in texts and bytes; each two parts are a block, which one task handles. Rows
-    are texts by parts, never pairs; only the texts of pairs whose signatures agree are read.
+    The left side of a bucket is all its texts, the right side those outside its largest class; both are dealt at random into parts
+    bounded in texts and bytes, and each left part meets each right part in one task. So rows are about twice the texts
+    of a bucket while those outside the largest class fit one part, and texts by right parts beyond; never pairs.
     """
-    held = members.where(F.col("n") > NEIGHBOURS + 2).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    held = held.join(wanted.select("node", F.octet_length("text").alias("size")), "node")
-    split = held.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"), F.sum("size").alias("size"))
-    split = split.where("l != h").select("bucket", F.ceil(F.greatest(F.col("n") / PART, F.col("size") / PART_BYTES)).cast("int").alias("parts"))
-    held = held.drop("n", "size").join(split, "bucket").withColumn("part", F.pmod(F.xxhash64("node", F.lit(TURNS)), "parts").cast("int"))
-    held = held.join(nodes.select("node", "bands", "sketch"), "node")
-    held = held.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
-    held = held.select("bucket", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "node", "label", "part", "bands", "sketch")
+    held = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    held = held.join(wanted.select("node", F.octet_length("text").alias("size")), "node").select("bucket", "node", "label", "size")
+    classes = held.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    split = classes.groupBy("bucket").agg(
+        F.max(F.struct("n", "size", "label")).alias("most"), F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("size").alias("size")
+    )
+
+    def parts(texts: F.Column, size: F.Column) -> F.Column:
+        return F.ceil(F.greatest(texts / PART, size / PART_BYTES)).cast("int")
+
+    split = split.where("classes > 1").select(
+        "bucket", F.col("most.label").alias("major"), parts(F.col("n"), F.col("size")).alias("lefts"),
+        parts(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("rights"),
+    )
+    held = held.join(split, "bucket").withColumn("minor", F.col("label") != F.col("major"))
+    held = stash(held.join(nodes.select("node", "bands", "sketch"), "node"), "split-texts")
+
+    def side(rows: DataFrame, own: str, other: str, right: bool) -> DataFrame:
+        part, met = F.pmod(F.xxhash64("node", F.lit(own)), own).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        low, high = (met.alias("low"), part.alias("high")) if right else (part.alias("low"), met.alias("high"))
+        return rows.select("bucket", low, high, "node", "label", "minor", F.lit(right).alias("right"), "bands", "sketch")
+
+    return side(held, "lefts", "rights", False).unionByName(side(held.where("minor"), "rights", "lefts", True))
+
+
+def _remaining(members: DataFrame, labels: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Links among all pairs of different classes that share a bucket; only the texts of pairs whose signatures agree are read."""
+    blocks = _blocks(members, labels, nodes, wanted)
     key = "bucket bigint, low int, high int"
-    pairs = held.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_block_pairs, f"{key}, node bigint, others array<bigint>")
+    pairs = blocks.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_block_pairs, f"{key}, node bigint, others array<bigint>")
     pairs = stash(pairs, "block-pairs").join(wanted.select("node", "text"), "node").select(*_BLOCK, "node", "others", "text")
     return stash(pairs.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK).mapInArrow(_block_links, "a bigint, b bigint, alike double"), "links")
 
@@ -351,7 +372,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     nodes = stash(nodes.select("digest", "first.*", "least", "bands", "sketch").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    buckets = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = stash(buckets.join(stash(shared, "buckets"), "bucket"), "members")
 
@@ -361,8 +382,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = wanted.join(texts, same(wanted, texts, "doc_id", "text_key")).groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text"))
     wanted = stash(wanted, "texts")
     links, labels = None, members.select("node").distinct().withColumn("label", F.col("node"))
-    for turn in range(TURNS):
-        found = _links(_meetings(members, labels, turn), wanted)
+    for turn, (low, high) in enumerate(TURNS):
+        found = _links(_meetings(members.where(F.col("band").between(low, high - 1)), labels, turn), wanted)
         links = found if links is None else stash(links.union(found).distinct(), "all-links")
         labels = components(links)
     links = stash(links.union(_remaining(members, labels, nodes, wanted)).distinct(), "all-links")

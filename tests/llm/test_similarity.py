@@ -120,11 +120,35 @@ def test_pairs_in_a_bucket_of_many_classes_all_meet(documents_of, monkeypatch):
     assert len(set(label)) > 100
     # What the turns leave out must not matter; with few of them a small family leaves much out.
     monkeypatch.setattr(probminhash, "PART", 50)
-    monkeypatch.setattr(probminhash, "TURNS", 1)
+    monkeypatch.setattr(probminhash, "TURNS", ((0, 1),))
     monkeypatch.setattr(probminhash, "NEIGHBOURS", 0)
     assert Counter((r.doc_id, r.class_id) for r in probminhash.near_duplicates(documents_of(rows)).collect()) == expected
 
 
+def test_one_huge_class_and_strays(spark, documents_of, monkeypatch):
+    """A class of many edits of one text, and a few texts that share buckets with it but are less alike; two of them are copies of each other."""
+    chance = random.Random(28)
+    base = [f"b{chance.randrange(5000)}" for _ in range(260)]
+    texts = []
+    for i in range(150):
+        text = list(base)
+        text[chance.randrange(260)] = f"e{i}"
+        texts.append(text)
+    stray = list(base)
+    stray[10:45] = [f"s{k}" for k in range(35)]
+    texts += [stray, [*stray[:-1], "other"], [*(f"t{k}" for k in range(30)), *base[30:]]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(probminhash, "PART", 20)
+    got = probminhash.near_duplicates(documents_of(rows))
+    assert Counter((r.doc_id, r.class_id) for r in got.collect()) == classes(rows)
+    # Members of the huge class are in one block each, strays in one per part of it: rows stay in proportion to members.
+    nodes = spark.range(1000).withColumnRenamed("id", "node")
+    labels = nodes.select("node", F.when(F.col("node") < 997, F.lit(0)).otherwise(F.col("node")).cast("bigint").alias("label"))
+    members = nodes.select("node", F.lit(7).cast("bigint").alias("bucket"))
+    signed = nodes.select("node", F.lit("x").alias("text"), F.array_repeat(F.lit(1).cast("bigint"), 24).alias("bands"), F.lit(b"x" * 96).alias("sketch"))
+    assert probminhash._blocks(members, labels, signed, signed).count() == 1000 + 3 * 1000 // 20
+
+
 def nearest(base, queries, k, segments):
     def code(v):
         return tuple(int(i < len(v) and (v[i] or 0) > 0) for i in range(segments * 16))
