@@ -350,12 +350,35 @@ _DOMAIN_PREPOST = (
 )
 
 
+_METRIC_TABLES = {
+    "monthly_volume.csv": "SELECT * FROM volume",
+    "active_askers.csv": "SELECT * FROM askers",
+    "accepted_rate.csv": "SELECT * FROM accepted",
+    "answer_coverage.csv": "SELECT * FROM coverage",
+    "time_to_first_answer.csv": "SELECT * FROM ttfa",
+    "time_to_acceptance.csv": "SELECT * FROM tta",
+    "engagement.csv": "SELECT * FROM engagement",
+}
+_DOMAIN_TABLES = {
+    "domain_volume.csv": "SELECT * FROM domain_counts",
+    "domain_accepted_rate.csv": _ACCEPTED_BY_DOMAIN,
+    "domain_coverage.csv": _COVERAGE_BY_DOMAIN,
+    "domain_engagement.csv": _ENGAGEMENT_BY_DOMAIN,
+    "domain_response_time.csv": "SELECT * FROM domain_waits",
+    "domain_prepost_summary.csv": _DOMAIN_PREPOST,
+    "domain_volume_change.csv": CHANGE,
+}
+_DOMAIN_STEPS = (*DOMAIN, "domain_counts", "change", "waits", "domain_waits")
+
+
 def _manifest() -> str:
     def one(table: str, columns: list[str]) -> str:
-        row = "concat_ws('|', " + ", ".join(f"coalesce('=' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+        cells = [f"coalesce('{len(c)}:{c}' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '')" for c in sorted(columns)]
+        row = " || ".join(cells)
         return (
-            f"SELECT '{table}' AS name, COUNT(*) AS row_count, "
-            f"CAST(SUM(CAST('0x' || substr(md5({row}), 1, 15) AS HUGEINT)) AS VARCHAR) AS digest FROM {table}"
+            f"SELECT '{table}.parquet' AS name, COUNT(*) AS row_count, "
+            f"CAST(COALESCE(SUM(CAST('0x' || substr(md5({row}), 1, 15) AS HUGEINT)), 0) AS VARCHAR) AS digest, "
+            f"true AS bytes_hashed FROM {table}"
         )
 
     return " UNION ALL ".join(one(t, c) for t, c in MANIFEST_TABLES.items())
@@ -380,7 +403,7 @@ ORACLE = {
     "register_tables": " UNION ALL ".join(
         f"SELECT '{t.lower()}' AS name, {'' if t == 'Tags' else _YM + ' AS'} {chr(39) + 'all' + chr(39) + ' AS' if t == 'Tags' else ''} year_month, "
         f"COUNT(*) AS n FROM ({ARCHIVE_SQL[t]}) GROUP BY 2"
-        for t in ("Posts", "Users", "Comments", "Tags")
+        for t in ("Posts", "Users", "Comments", "PostLinks", "Tags")
     ),
     "run_query": sql(
         f"SELECT Tags, COUNT(*) AS n FROM posts WHERE Score >= 5 AND {_IN} GROUP BY 1 "
@@ -428,17 +451,9 @@ ORACLE = {
         *POSTS, "volume", "askers", "accepted", "coverage", "engagement",
     ),
     "metrics_report": _contents(
-        {
-            "monthly_volume.csv": "SELECT * FROM volume",
-            "active_askers.csv": "SELECT * FROM askers",
-            "accepted_rate.csv": "SELECT * FROM accepted",
-            "answer_coverage.csv": "SELECT * FROM coverage",
-            "time_to_first_answer.csv": "SELECT * FROM ttfa",
-            "time_to_acceptance.csv": "SELECT * FROM tta",
-            "engagement.csv": "SELECT * FROM engagement",
-        },
-        *SERIES[:-1],
+        _METRIC_TABLES, *SERIES[:-1],
     ),
+    "activity_report": _contents({**_METRIC_TABLES, **_DOMAIN_TABLES}, *dict.fromkeys((*SERIES[:-1], *_DOMAIN_STEPS))),
     "tag_domain": sql(f"SELECT Tags, {DOMAIN_CASE} AS domain, COUNT(*) AS n FROM posts GROUP BY 1, 2", "posts"),
     "domain_volume": sql("SELECT * FROM domain_counts", *DOMAIN, "domain_counts"),
     "domain_accepted_rate": sql(
@@ -459,17 +474,17 @@ ORACLE = {
         *DOMAIN,
     ),
     "domain_volume_change": sql(CHANGE, *DOMAIN, "domain_counts", "change"),
-    "domain_report": _contents(
-        {
-            "domain_volume.csv": "SELECT * FROM domain_counts",
-            "domain_accepted_rate.csv": _ACCEPTED_BY_DOMAIN,
-            "domain_coverage.csv": _COVERAGE_BY_DOMAIN,
-            "domain_engagement.csv": _ENGAGEMENT_BY_DOMAIN,
-            "domain_response_time.csv": "SELECT * FROM domain_waits",
-            "domain_prepost_summary.csv": _DOMAIN_PREPOST,
-            "domain_volume_change.csv": CHANGE,
-        },
-        *DOMAIN, "domain_counts", "change", "waits", "domain_waits",
+    "domain_report": _contents(_DOMAIN_TABLES, *_DOMAIN_STEPS),
+    "activity_counters": sql(
+        "SELECT 'month' AS level, v.year_month, NULL AS domain, NULL AS period, v.answer_count, v.question_count, accepted_rate, coverage_rate, "
+        "mean_score, mean_comments, COALESCE(distinct_askers, 0) AS distinct_askers "
+        "FROM volume v LEFT JOIN askers USING (year_month) LEFT JOIN accepted USING (year_month) "
+        "LEFT JOIN coverage USING (year_month) LEFT JOIN engagement USING (year_month) "
+        f"UNION ALL SELECT 'domain', year_month, domain, NULL, 0, COUNT(*), {ACCEPTED}, {COVERAGE}, {MEANS}, "
+        "COUNT(DISTINCT OwnerUserId) FROM qd GROUP BY year_month, domain "
+        f"UNION ALL SELECT 'period', NULL, domain, CASE WHEN CreationDate < '{RELEASE}' THEN 'pre' ELSE 'post' END AS p, 0, COUNT(*), "
+        f"{ACCEPTED}, {COVERAGE}, {MEANS}, COUNT(DISTINCT OwnerUserId) FROM qd GROUP BY domain, p",
+        *DOMAIN, "volume", "askers", "accepted", "coverage", "engagement",
     ),
     "monthly_populations": sql("SELECT * FROM pop", *POSTS, "pop"),
     "required_sample_size": (
@@ -484,9 +499,13 @@ ORACLE = {
         *POSTS, "pop", "plan6",
     ),
     "stratified_monthly_sample": sql("SELECT year_month, Id, Title FROM sample6", *SAMPLE6),
-    "body_prose": f"SELECT page_id, {_prose('html')} AS prose, 'it isn''t ' || page_id || ' t''s k l' AS odd_prose FROM pages",
+    "body_prose": f"SELECT page_id, {_prose('html')} AS prose FROM pages",
+    "odd_bodies": (
+        "SELECT CAST(s_suppkey AS VARCHAR) AS key, 'it isn''t ' || s_suppkey || ' t''s k l' AS prose, "
+        "'ab' || s_suppkey || 'c|c' || chr(8807) || chr(824) AS blocks, 'Discrepancy' AS intent FROM supplier"
+    ),
     "code_blocks": sql(
-        f"SELECT Id, array_to_string(b, '|') AS blocks, CAST(len(b) AS INT) AS n, 'ab' || Id || 'c|c' || chr(8807) || chr(824) AS odd_blocks "
+        f"SELECT Id, array_to_string(b, '|') AS blocks, CAST(len(b) AS INT) AS n "
         f"FROM (SELECT Id, {_blocks('Body')} AS b FROM posts)",
         "posts",
     ),
@@ -503,7 +522,7 @@ ORACLE = {
         *FEATURES, "distributions",
     ),
     "classify_intent": sql(
-        f"SELECT Id, {INTENT_CASE} AS intent, 'Discrepancy' AS odd_intent FROM (SELECT Id, {_TEXT} AS body_text FROM q)", *POSTS
+        f"SELECT Id, {INTENT_CASE} AS intent FROM (SELECT Id, {_TEXT} AS body_text FROM q)", *POSTS
     ),
     "per_post_intents": sql("SELECT * FROM intents", *INTENTS),
     "monthly_intent_distribution": sql("SELECT * FROM distribution", *INTENTS, "distribution"),

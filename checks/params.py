@@ -6,11 +6,24 @@ START = date(1996, 3, 15)
 RELEASE = date(1998, 11, 20)
 EARLY = date(1990, 6, 15)
 
-#: Tables of the manifest query: keys, whole numbers and names only.
+#: Tables of the manifest query and their columns whose values print alike in both engines: all but lists of floats.
 MANIFEST_TABLES = {
     "region": ["r_name", "r_regionkey"],
     "nation": ["n_name", "n_nationkey", "n_regionkey"],
+    "customer": ["c_acctbal", "c_custkey", "c_mktsegment", "c_name", "c_nationkey"],
+    "supplier": ["s_acctbal", "s_name", "s_nationkey", "s_suppkey"],
+    "part": ["p_brand", "p_name", "p_partkey", "p_retailprice", "p_size", "p_type"],
+    "orders": ["o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"],
+    "lineitem": [
+        "l_discount", "l_extendedprice", "l_linenumber", "l_linestatus", "l_orderkey", "l_partkey", "l_quantity",
+        "l_returnflag", "l_shipdate", "l_suppkey", "l_tax",
+    ],
+    "events": ["event_id", "event_type", "props", "ts", "user_id", "value"],
     "documents": ["doc_id", "lang", "n_chars", "source", "text"],
+    "embeddings": ["label", "vec_id"],
+    "pages": ["html", "page_id", "url"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
     "conversations": ["conv_id", "role", "text", "turn"],
 }
 

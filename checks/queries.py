@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.params import EARLY, MANIFEST_TABLES, ODD_BODY, PER_POST, RELEASE, START, report_columns, report_digits
 from qapulse.functions import html, intents, tags
-from qapulse.operators import breaks, domains, features, figures, metrics, sampling, topics, validate
+from qapulse.operators import breaks, counters, domains, features, figures, metrics, sampling, topics, validate
 from qapulse.plans import reports
 from checks.star_posts import declared, star_posts, star_table, write_xml
 from qapulse.functions.calendar import month_label, questions
@@ -131,28 +131,25 @@ def verify_source(spark, sf):
 
 
 def dataset_manifest(spark, sf):
-    # Tables whose columns print alike in both engines, read whole; sizes and times are no SQL's business.
-    parts = [
-        manifest.dataset_manifest(spark, f"{sf}/{table}.parquet", "*.parquet").select(F.lit(table).alias("name"), "row_count", "digest")
-        for table in MANIFEST_TABLES
-    ]
-    rows = reduce(DataFrame.unionByName, parts)
-    # A table may be one file or several: digests of parts add up to that of the whole.
-    return rows.groupBy("name").agg(
+    # All tables, bytes and rows. SQL has no file's bytes: a digest of 64 digits for every file is what can be compared.
+    files = manifest.dataset_manifest(spark, sf, "*.parquet").select("path", F.regexp_like("sha256", F.lit("^[0-9a-f]{64}$")).alias("hashed"))
+    columns = [c for own in MANIFEST_TABLES.values() for c in own]
+    rows = manifest.row_manifest(spark, sf, "*.parquet", columns=columns).select("path", "name", "row_count", "digest")
+    table = F.regexp_extract("path", r"/([^/]+\.parquet)(/[^/]*)?$", 1)  # a table may be one file or a folder of several
+    bytes_ = files.groupBy(table.alias("name")).agg(F.bool_and("hashed").alias("bytes_hashed"))
+    per = rows.groupBy(table.alias("name")).agg(
         F.sum("row_count").alias("row_count"), F.sum(F.col("digest").cast("decimal(38,0)")).cast("string").alias("digest")
     )
+    return per.join(bytes_, "name").select("name", "row_count", "digest", "bytes_hashed")
 
 
 def register_tables(spark, sf):
     root = shared_dir(spark, "lake")
-    tables = [t for t in INGEST_ORDER if t != "PostLinks"]  # an absent one is skipped with a warning
-    for table in tables:
+    for table in INGEST_ORDER:
         lake.write_partitioned(declared(star_table(spark, sf, table), table), table, root)
-    spark.sql("DROP VIEW IF EXISTS postlinks")
-    lake.register_tables(spark, root)
-    return spark.sql(" UNION ALL ".join(
-        f"SELECT '{t.lower()}' AS name, year_month, count(*) AS n FROM {t.lower()} GROUP BY 2" for t in tables
-    ))
+    # A sixth table that is not there is skipped with a warning.
+    found = lake.register_tables(spark, root, tables=[*INGEST_ORDER, "Badges"])
+    return spark.sql(" UNION ALL ".join(f"SELECT '{t}' AS name, year_month, count(*) AS n FROM {t} GROUP BY 2" for t in found))
 
 
 def run_query(spark, sf):
@@ -314,6 +311,15 @@ def domain_report(spark, sf):
     return _report_contents(spark, files)
 
 
+def activity_counters(spark, sf):
+    return counters.activity_counters(star_posts(spark, sf), START, RELEASE)
+
+
+def activity_report(spark, sf):
+    files = reports.activity_report(spark, star_posts(spark, sf), shared_dir(spark, "report"), START, RELEASE)
+    return _report_contents(spark, files)
+
+
 # --- sampling, text features, intents ------------------------------------------------------------
 
 
@@ -343,15 +349,21 @@ def stratified_monthly_sample(spark, sf):
 
 def body_prose(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    odd = F.replace(F.lit(ODD_BODY), F.lit("{}"), F.col("page_id").cast("string"))
-    return pages.select("page_id", html.body_prose(F.col("html")).alias("prose"), html.body_prose(odd).alias("odd_prose"))
+    return pages.select("page_id", html.body_prose(F.col("html")).alias("prose"))
 
 
 def code_blocks(spark, sf):
     blocks = html.code_blocks(F.col("Body"))
-    odd = html.code_blocks(F.replace(F.lit(ODD_BODY), F.lit("{}"), F.col("Id").cast("string")))
-    return star_posts(spark, sf).select(
-        "Id", F.array_join(blocks, "|").alias("blocks"), F.size(blocks).alias("n"), F.array_join(odd, "|").alias("odd_blocks")
+    return star_posts(spark, sf).select("Id", F.array_join(blocks, "|").alias("blocks"), F.size(blocks).alias("n"))
+
+
+def odd_bodies(spark, sf):
+    # Markup that a plain pattern gets wrong, and a body whose intent hangs on a reference, per supplier.
+    suppliers = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").cast("string").alias("key"))
+    odd = F.replace(F.lit(ODD_BODY), F.lit("{}"), F.col("key"))
+    order = F.concat(F.lit("<p>Order "), F.col("key"), F.lit(" doesn&apos;t work</p>"))
+    return intents.with_intent(suppliers, F.lit(None).cast("string"), html.body_prose(order)).select(
+        "key", html.body_prose(odd).alias("prose"), F.array_join(html.code_blocks(odd), "|").alias("blocks"), "intent"
     )
 
 
@@ -385,12 +397,7 @@ def features_report(spark, sf):
 
 def classify_intent(spark, sf):
     asked = questions(star_posts(spark, sf), START)
-    found = intents.with_intent(asked, F.col("Title"), html.body_prose(F.col("Body"))).select("Id", "intent")
-    # A body whose intent hangs on a reference.
-    odd = F.concat(F.lit("<p>Order "), F.col("Id").cast("string"), F.lit(" doesn&apos;t work</p>"))
-    return intents.with_intent(found.withColumnRenamed("intent", "own"), F.lit(None).cast("string"), html.body_prose(odd)).select(
-        "Id", F.col("own").alias("intent"), F.col("intent").alias("odd_intent")
-    )
+    return intents.with_intent(asked, F.col("Title"), html.body_prose(F.col("Body"))).select("Id", "intent")
 
 
 def per_post_intents(spark, sf):
@@ -571,9 +578,10 @@ NAMES = [
     "metrics_report",
     "tag_domain", "domain_volume", "domain_accepted_rate", "domain_coverage", "domain_response_time",
     "domain_engagement", "domain_prepost_summary", "domain_volume_change", "domain_report",
+    "activity_counters", "activity_report",
     "monthly_populations", "required_sample_size", "monthly_sample_plan", "sample_plan_summary",
     "stratified_monthly_sample",
-    "body_prose", "code_blocks", "page_links", "per_post_features", "monthly_feature_distributions",
+    "body_prose", "code_blocks", "odd_bodies", "page_links", "per_post_features", "monthly_feature_distributions",
     "features_report",
     "classify_intent", "per_post_intents", "monthly_intent_distribution", "monthly_intent_wide",
     "prepost_intent_summary", "topics_report",

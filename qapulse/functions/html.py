@@ -88,6 +88,10 @@ def _visible(html: Column) -> Column:
                   F.regexp_replace(html, _HIDDEN, _SEPARATOR)).otherwise(html)
 
 
+def _has_pre(html: Column) -> Column:
+    return html.rlike(f"<[pP][rR][eE]{_END}")
+
+
 def _nested(html: Column) -> Column:
     """Whether a ``<pre>`` opens before the one in front of it is closed; few bodies have that."""
     tags = F.regexp_extract_all(html, F.lit(_PRE_TAG), F.lit(1))
@@ -112,7 +116,8 @@ def body_prose(html: Column) -> Column:
     """Text outside ``<pre>``: every text node stripped, empty ones dropped, joined by one space."""
     shown = _visible(html)
     balanced = F.array_join(F.transform(F.filter(_by_depth(shown), lambda x: x["depth"] == 0), lambda x: x["text"]), _SEPARATOR)
-    outside = F.when(_nested(shown), balanced).otherwise(F.regexp_replace(shown, _PRE, _SEPARATOR))
+    # Bodies without a block, most of them, need none of the work on blocks.
+    outside = F.when(~_has_pre(shown), shown).when(_nested(shown), balanced).otherwise(F.regexp_replace(shown, _PRE, _SEPARATOR))
     nodes = F.transform(_decoded(F.split(outside, _TAG), outside), lambda node: F.btrim(node, F.lit(WHITESPACE)))
     return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
@@ -127,7 +132,8 @@ def code_blocks(html: Column) -> Column:
     parts = F.split(F.array_join(marked, ""), _BLOCK)
     ended = F.element_at(parts, -1) == ""
     balanced = F.slice(parts, 2, F.size(parts) - 1 - F.when(ended, 1).otherwise(0))
-    blocks = F.when(_nested(shown), balanced).otherwise(F.regexp_extract_all(shown, F.lit(_PRE), F.lit(1)))
+    none = F.array().cast("array<string>")
+    blocks = F.when(~_has_pre(shown), none).when(_nested(shown), balanced).otherwise(F.regexp_extract_all(shown, F.lit(_PRE), F.lit(1)))
     plain = F.transform(blocks, lambda block: F.regexp_replace(block, _TAG, ""))
     return _decoded(plain, shown)
 

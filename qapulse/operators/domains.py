@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from qapulse.constants import RELEASE, START
 from qapulse.functions.calendar import month_of, ordered_by, period_by_label, period_by_moment, questions
-from qapulse.functions.quantiles import exact_quantiles
+from qapulse.functions.quantiles import MICROS_BITS, exact_quantiles
 from qapulse.functions.tags import tag_domain
 from qapulse.operators.metrics import LATENCY, first_answers, labelled, question_measures
 
-_RATES = ["question_count", "accepted_rate", "coverage_rate", "mean_score", "mean_comments"]
+RATES = ["question_count", "accepted_rate", "coverage_rate", "mean_score", "mean_comments"]
 
 
 def _domain() -> Column:
@@ -49,14 +49,14 @@ def domain_engagement(posts: DataFrame, start: date = START) -> DataFrame:
 @ordered_by("year_month", "domain")
 def domain_counters(posts: DataFrame, start: date = START) -> DataFrame:
     """All of the above from one aggregation, for reports."""
-    return _by_domain(posts, start, *_RATES)
+    return _by_domain(posts, start, *RATES)
 
 
 @ordered_by("year_month", "domain")
 def domain_response_time(posts: DataFrame, start: date = START) -> DataFrame:
     waits = first_answers(posts, start, carry=["Tags"]).withColumn("domain", _domain())
     return labelled(
-        exact_quantiles(waits, ["month", "domain"], "elapsed", LATENCY, "answered_count", divisor=1e6, few_groups=True)
+        exact_quantiles(waits, ["month", "domain"], "elapsed", LATENCY, "answered_count", divisor=1e6, few_groups=True, bits=MICROS_BITS)
     )
 
 
@@ -69,7 +69,7 @@ def domain_prepost_summary(
     return (
         questions(posts, start)
         .groupBy(_domain(), period)
-        .agg(*question_measures(*_RATES))
+        .agg(*question_measures(*RATES))
     )
 
 

@@ -19,7 +19,7 @@ from qapulse.functions.calendar import (
     questions,
     since,
 )
-from qapulse.functions.quantiles import exact_quantiles
+from qapulse.functions.quantiles import MICROS_BITS, exact_quantiles
 
 LATENCY = {"median_seconds": 0.5, "p90_seconds": 0.9}
 
@@ -55,13 +55,17 @@ def _of_type(post_type: int) -> Column:
     return F.count(F.when(F.col("PostTypeId") == post_type, 1))
 
 
+def answer_count() -> Column:
+    return _of_type(ANSWER).alias("answer_count")
+
+
 @ordered_by("year_month")
 def monthly_volume(posts: DataFrame, start: date = START) -> DataFrame:
     """Questions and answers per month; a month with other posts only counts 0 and 0."""
     return by_month(
         since(posts, start),
         _of_type(QUESTION).alias("question_count"),
-        _of_type(ANSWER).alias("answer_count"),
+        answer_count(),
     )
 
 
@@ -112,7 +116,7 @@ def first_answers(posts: DataFrame, start: date, carry: Sequence[str] = ()) -> D
 def monthly_time_to_first_answer(posts: DataFrame, start: date = START) -> DataFrame:
     waits = first_answers(posts, start)
     return labelled(
-        exact_quantiles(waits, ["month"], "elapsed", LATENCY, "answered_count", divisor=1e6, few_groups=True)
+        exact_quantiles(waits, ["month"], "elapsed", LATENCY, "answered_count", divisor=1e6, few_groups=True, bits=MICROS_BITS)
     )
 
 
@@ -137,7 +141,7 @@ def monthly_time_to_acceptance(posts: DataFrame, start: date = START) -> DataFra
     )
     return labelled(
         exact_quantiles(
-            waits, ["month"], "elapsed", LATENCY, "accepted_count", divisor=1e6, weight="copies", few_groups=True
+            waits, ["month"], "elapsed", LATENCY, "accepted_count", divisor=1e6, weight="copies", few_groups=True, bits=MICROS_BITS
         )
     )
 
@@ -149,7 +153,7 @@ def monthly_counters(posts: DataFrame, start: date = START) -> DataFrame:
     """
     counted = by_month(
         since(posts, start),
-        _of_type(ANSWER).alias("answer_count"),
+        answer_count(),
         *question_measures(
             "question_count", "distinct_askers", "accepted_rate", "coverage_rate", "mean_score",
             "mean_comments", among=F.col("PostTypeId") == QUESTION,

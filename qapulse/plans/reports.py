@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 
 from qapulse.constants import RELEASE, START
-from qapulse.operators import breaks, domains, features, metrics, topics, validate
+from qapulse.operators import breaks, counters as counters_of, domains, features, metrics, topics, validate
 from qapulse.session import shared_dir
 from qapulse.sources.lake import write_table_csv
 
@@ -40,25 +40,45 @@ def validation_report(
     )
 
 
+_SHARED_METRICS = {
+    "active_askers": ["distinct_askers"],
+    "accepted_rate": ["question_count", "accepted_rate"],
+    "answer_coverage": ["question_count", "coverage_rate"],
+    "engagement": ["question_count", "mean_score", "mean_comments"],
+}
+
+
+def _metric_tables(monthly: DataFrame, posts: DataFrame, start: date) -> dict[str, DataFrame]:
+    asked = monthly.where("question_count > 0")
+    tables = {"monthly_volume.csv": monthly.select("year_month", "question_count", "answer_count")}
+    for name, (operator, file) in metrics.METRICS.items():
+        if name in _SHARED_METRICS:
+            tables[file] = asked.select("year_month", *_SHARED_METRICS[name])
+        elif file not in tables:
+            tables[file] = operator(posts, start)
+    return {f: t.orderBy("year_month") for f, t in tables.items()}
+
+
+def _domain_tables(by_month: DataFrame, by_period: DataFrame, posts: DataFrame, start: date, release: date) -> dict[str, DataFrame]:
+    keys = ["year_month", "domain"]
+    shared = by_month.orderBy(*keys)
+    return {
+        "domain_volume.csv": shared.select(*keys, "question_count"),
+        "domain_accepted_rate.csv": shared.select(*keys, "question_count", "accepted_rate"),
+        "domain_coverage.csv": shared.select(*keys, "question_count", "coverage_rate"),
+        "domain_engagement.csv": shared.select(*keys, "question_count", "mean_score", "mean_comments"),
+        "domain_response_time.csv": domains.domain_response_time(posts, start),
+        "domain_prepost_summary.csv": by_period.orderBy("domain", "period"),
+        "domain_volume_change.csv": domains.volume_change(by_month, release).orderBy("domain"),
+    }
+
+
 def metrics_report(
     spark: SparkSession, posts: DataFrame, out: str, start: date = START
 ) -> dict[str, str]:
     """All monthly metrics; the five without a join share one pass over the posts."""
     counters = _stored(metrics.monthly_counters(posts, start), "counters")
-    asked = counters.where("question_count > 0")
-    columns = {
-        "active_askers": ["distinct_askers"],
-        "accepted_rate": ["question_count", "accepted_rate"],
-        "answer_coverage": ["question_count", "coverage_rate"],
-        "engagement": ["question_count", "mean_score", "mean_comments"],
-    }
-    tables = {"monthly_volume.csv": counters.select("year_month", "question_count", "answer_count")}
-    for name, (operator, file) in metrics.METRICS.items():
-        if name in columns:
-            tables[file] = asked.select("year_month", *columns[name])
-        elif file not in tables:
-            tables[file] = operator(posts, start)
-    return _write_all({f: t.orderBy("year_month") for f, t in tables.items()}, out)
+    return _write_all(_metric_tables(counters, posts, start), out)
 
 
 def domain_report(
@@ -68,21 +88,29 @@ def domain_report(
     start: date = START,
     release: date = RELEASE,
 ) -> dict[str, str]:
-    """All domain tables; the four monthly ones and the change table share one pass."""
-    counters = _stored(domains.domain_counters.unordered(posts, start), "domains")
-    keys = ["year_month", "domain"]
-    shared = counters.orderBy(*keys)
-    return _write_all(
-        {
-            "domain_volume.csv": shared.select(*keys, "question_count"),
-            "domain_accepted_rate.csv": shared.select(*keys, "question_count", "accepted_rate"),
-            "domain_coverage.csv": shared.select(*keys, "question_count", "coverage_rate"),
-            "domain_engagement.csv": shared.select(*keys, "question_count", "mean_score", "mean_comments"),
-            "domain_response_time.csv": domains.domain_response_time(posts, start),
-            "domain_prepost_summary.csv": domains.domain_prepost_summary(posts, start, release),
-            "domain_volume_change.csv": domains.volume_change(counters, release).orderBy("domain"),
-        },
-        out,
+    """All domain tables; all but the response times share one pass."""
+    counters = _stored(counters_of.activity_counters(posts, start, release), "domains")
+    return _write_all(_domain_tables(*_by_domain(counters), posts, start, release), out)
+
+
+def activity_report(
+    spark: SparkSession,
+    posts: DataFrame,
+    out: str,
+    start: date = START,
+    release: date = RELEASE,
+) -> dict[str, str]:
+    """Both of the above: one pass over the posts gives every table that needs no join, monthly or by domain."""
+    counters = _stored(counters_of.activity_counters(posts, start, release), "activity")
+    monthly = counters_of.level_of(counters, "month", "year_month", "answer_count", "distinct_askers", *domains.RATES)
+    tables = _metric_tables(monthly, posts, start)
+    return _write_all({**tables, **_domain_tables(*_by_domain(counters), posts, start, release)}, out)
+
+
+def _by_domain(counters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (
+        counters_of.level_of(counters, "domain", "year_month", "domain", *domains.RATES),
+        counters_of.level_of(counters, "period", "domain", "period", *domains.RATES),
     )
 
 

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, NullType, StringType, StructField, StructType
 
 from qapulse.schemas import INGEST_ORDER, schema_of
+from qapulse.session import shared_dir
 from qapulse.sources import storage
 from qapulse.sources.xml_dump import (
     count_rows,
@@ -110,12 +111,18 @@ def read_table(
     return spark.read.schema(declared).parquet(table_path(root, table))
 
 
-def register_tables(spark: SparkSession, root: str, merge_schema: bool = False) -> list[str]:
-    """A temporary view per stored table; absent tables are skipped with a warning."""
+def register_tables(
+    spark: SparkSession, root: str, merge_schema: bool = False, tables: Sequence[str] = INGEST_ORDER
+) -> list[str]:
+    """A temporary view per stored table; absent tables are skipped with a warning.
+
+    Tables beyond the declared ones are read with the columns of their files.
+    """
     registered = []
-    for table in INGEST_ORDER:
+    for table in tables:
         try:
-            read_table(spark, root, table, merge_schema).createOrReplaceTempView(table.lower())
+            stored = read_table(spark, root, table, merge_schema or table not in INGEST_ORDER)
+            stored.createOrReplaceTempView(table.lower())
             registered.append(table.lower())
         except AnalysisException as reason:
             log.warning("No Parquet for %s: %s", table, reason.getCondition())
@@ -130,18 +137,37 @@ def run_query(
 ) -> DataFrame:
     """A lazy parameterised query: ``:name`` markers with a mapping, ``?`` with a sequence.
 
-    A lazy result needs no row guard. With ``max_rows`` its rows are counted first, in all tasks, and
-    the query is refused if there are more.
+    A lazy result needs no row guard. With ``max_rows`` the query runs at once, and only once: see :func:`spooled`.
     """
     args = None if params is None else dict(params) if isinstance(params, Mapping) else list(params)
     result = spark.sql(sql, args=args) if args else spark.sql(sql)
-    _guard(result, max_rows)
-    return result
+    return result if max_rows is None else spooled(result, max_rows)[0]
+
 
+def spooled(result: DataFrame, max_rows: int) -> tuple[DataFrame, str]:
+    """Execute ``result`` once into the shared folder and hand out the stored rows, in their order, with the folder's path.
 
-def _guard(result: DataFrame, max_rows: int | None) -> None:
-    if max_rows is not None and (found := result.count()) > max_rows:
-        raise RuntimeError(f"Query would return {found} rows, more than {max_rows}")
+    Rows are counted by the tasks that write them. If there are more than ``max_rows`` the stored ones are deleted and
+    the query is refused; so are those of a query that fails. Columns are stored by position, so names may repeat.
+    """
+    spark, path = result.sparkSession, shared_dir(result.sparkSession, "query")
+    names, fields = result.columns, result.schema.fields
+    place, counted = "place", Observation()
+    stored = result.toDF(*(f"c{i}" for i in range(len(names))))
+    untyped = {f"c{i}": F.lit(None).cast("string") for i, f in enumerate(fields) if isinstance(f.dataType, NullType)}
+    try:
+        (
+            stored.withColumns({**untyped, place: F.monotonically_increasing_id()})
+            .observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        )
+        if (found := counted.get["rows"]) > max_rows:
+            raise RuntimeError(f"Query would return {found} rows, more than {max_rows}")
+    except BaseException:
+        storage.delete(spark, path)
+        raise
+    columns = [StructField(f"c{i}", StringType() if f"c{i}" in untyped else f.dataType) for i, f in enumerate(fields)]
+    rows = spark.read.schema(StructType([*columns, StructField(place, LongType())])).parquet(path).orderBy(place)
+    return rows.select(*(F.col(f"c{i}").cast(f.dataType).alias(n) for i, (n, f) in enumerate(zip(names, fields)))), path
 
 
 def fetch(
@@ -150,8 +176,12 @@ def fetch(
     params: Mapping[str, object] | Sequence[object] | None = None,
     max_rows: int = MAX_ROWS,
 ) -> pd.DataFrame:
-    """Count a query's rows, then bring them to the driver, unless there are more than ``max_rows``."""
-    return run_query(spark, sql, params, max_rows).toPandas()
+    """Run a query once and bring its rows to the driver, unless there are more than ``max_rows``; nothing stays stored."""
+    rows, path = spooled(run_query(spark, sql, params), max_rows)
+    try:
+        return rows.toPandas()
+    finally:
+        storage.delete(spark, path)
 
 
 def preview(
@@ -168,8 +198,10 @@ def write_table_csv(
 
     ``one_part`` is for small report tables that end in a sort: one file keeps their order.
     """
-    _guard(result, max_rows)
     target = f"{directory.rstrip('/')}/{name}"
-    parts = result.coalesce(1) if one_part else result
+    kept, path = (result, None) if max_rows is None else spooled(result, max_rows)
+    parts = kept.coalesce(1) if one_part else kept
     parts.write.mode("overwrite").option("header", True).csv(target)
+    if path:
+        storage.delete(result.sparkSession, path)
     return target

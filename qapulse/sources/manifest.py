@@ -1,38 +1,99 @@
-"""Listing of data files with a digest of their rows."""
+"""Listings of data files: a digest of their bytes, or of their rows.
+
+:func:`dataset_manifest` is what a mirror is compared with: SHA-256 of each file as it lies there. :func:`row_manifest` tells
+whether the same rows are stored, however files are cut, ordered or compressed.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
+
+from qapulse.sources.file_digest import FileDigests, readable
 
 # Hexadecimal digits of each row's md5 that are summed: the sum of 10^20 rows fits in DECIMAL(38).
 _DIGITS = 15
+_MONTHS = "((?:/[^/=]+=[^/]*)*)$"  # ``key=value`` folders at the end of a path
 
 
-def dataset_manifest(spark: SparkSession, path: str, pattern: str = "*.parquet", source: str = "parquet") -> DataFrame:
-    """``name, size_bytes, modified_at, row_count, digest`` per file below ``path``, sorted by name.
+def dataset_manifest(spark: SparkSession, path: str, pattern: str = "*", chunk_bytes: int = 1 << 20) -> DataFrame:
+    """``name, size_bytes, modified_at, sha256, path`` per file below ``path``, empty ones included, sorted by name.
 
-    ``digest`` is the sum of 60 bits of the md5 of every row, so it does not depend on the order in which rows are
-    read, has no size limit, and a file of any size is split over tasks. A row is hashed as its columns in
-    alphabetical order; with ``source="text"`` (dumps, CSV) a row is a line. Files without rows are not listed.
+    A file is one task's, which reads it in chunks, so its size does not matter; small files share tasks. Where only
+    Spark can open the path (a scheme that Arrow's file systems do not know), Spark reads files as binary values, at most 2 GB each.
     """
-    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
-    rows = reader.format(source).load(path)
-    if not rows.inputFiles():
+    if not readable(path):
+        files = _files(spark, path, pattern).select("*", F.sha2("content", 256).alias("sha256"))
+    else:
+        spark.dataSource.register(FileDigests)
+        reader = spark.read.format(FileDigests.name()).option("glob", pattern).option("chunkBytes", str(chunk_bytes))
+        files = reader.load(path)
+    return files.select("name", "size_bytes", "modified_at", "sha256", "path").orderBy("name", "path")
+
+
+def write_manifest(manifest: DataFrame, target: str) -> None:
+    """Export a manifest as JSON lines, each with the time of the export."""
+    manifest.withColumn("manifest_generated_at", F.current_timestamp()).write.mode("overwrite").json(target)
+
+
+def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    files, meta = reader.load(path), F.col("_metadata")
+    if files.isEmpty():
         raise RuntimeError(f"No files found in {path}")
-    meta = F.col("_metadata")
-    listed = rows.select(
+    return files.select(
         meta["file_path"].alias("path"), meta["file_name"].alias("name"), meta["file_size"].alias("size_bytes"),
-        meta["file_modification_time"].alias("modified_at"), row_hash(rows).alias("hash"),
-    )
-    return (
-        listed.groupBy("path", "name", "size_bytes", "modified_at")
-        .agg(F.count(F.lit(1)).alias("row_count"), F.sum("hash").cast("string").alias("digest"))
-        .drop("path").orderBy("name")
+        meta["file_modification_time"].alias("modified_at"), "content",
     )
 
 
-def row_hash(rows: DataFrame):
-    """60 bits of the md5 of a row's columns as text; NULL and its name differ by their marks."""
-    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in sorted(rows.columns)]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, _DIGITS), 16, 10).cast("decimal(38,0)")
+def row_manifest(
+    spark: SparkSession, path: str, pattern: str = "*.parquet", source: str = "parquet", columns: list[str] | None = None
+) -> DataFrame:
+    """``name, size_bytes, modified_at, row_count, digest, path`` per file below ``path``, sorted by name.
+
+    ``digest`` is the sum of 60 bits of the md5 of every row, so it does not depend on the order in which rows are
+    read, has no size limit, and a file of any size is split over tasks. See :func:`row_hash`; with ``source="text"``
+    (dumps, CSV) a row is a line. Files of one folder, ``key=value`` folders below it included, are read with the columns
+    any of them has; other folders with their own. A file without rows has 0 rows and digest 0. ``columns`` restricts the
+    hash to some columns; a file has those of them that it has.
+    """
+    listed = _files(spark, path, pattern).drop("content")
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    months = F.regexp_extract(folder, _MONTHS, 1)
+    homes = listed.select(F.regexp_replace(folder, _MONTHS, "").alias("home"), F.regexp_count(months, F.lit("/")).alias("depth")).distinct()
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").option("mergeSchema", "true")
+    hashed = []
+    for home, levels in homes.collect():  # table folders: few, whatever the number of files and months
+        rows = reader.format(source).load(f"{unquote(home)}{'/*=*' * levels}/{pattern}")
+        kept = [c for c in rows.columns if columns is None or c in columns]
+        hashed.append(rows.select(F.col("_metadata.file_path").alias("path"), row_hash(rows.select(*kept)).alias("hash")))
+    counted = reduce(DataFrame.unionAll, hashed).groupBy("path").agg(F.count(F.lit(1)).alias("row_count"), F.sum("hash").alias("digest"))
+    none = F.lit(0).cast("decimal(38,0)")
+    return listed.join(counted, "path", "left").select(
+        "name", "size_bytes", "modified_at", F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        F.coalesce("digest", none).cast("string").alias("digest"), "path",
+    ).orderBy("name", "path")
+
+
+def row_hash(rows: DataFrame) -> Column:
+    """60 bits of the md5 of a row: of each column that is not NULL, in order of names, name and value with their lengths.
+
+    Lengths make it unambiguous where a value ends. A NULL is the same as a column the file does not have. Bytes are
+    hashed as hexadecimal text, nested values as JSON.
+    """
+    parts = []
+    for field in sorted(rows.schema.fields, key=lambda f: f.name):
+        own = F.col("`" + field.name.replace("`", "``") + "`")
+        if isinstance(field.dataType, BinaryType):
+            text = F.hex(own)
+        elif isinstance(field.dataType, ArrayType | MapType | StructType):
+            text = F.when(own.isNotNull(), F.to_json(F.struct(own.alias("v")), {"ignoreNullFields": "false"}))
+        else:
+            text = own.cast("string")
+        parts.append(F.coalesce(F.concat(F.lit(f"{len(field.name)}:{field.name}"), F.length(text), F.lit(":"), text), F.lit("")))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(""), *parts)), 1, _DIGITS), 16, 10).cast("decimal(38,0)")

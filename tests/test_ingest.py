@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import tracemalloc
 import os
 import time
 from datetime import datetime
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from qapulse.session import shared_dir
 from qapulse.schemas import INGEST_ORDER, SCHEMAS
-from qapulse.sources import lake, manifest, xml_dump
+from qapulse.sources import file_digest, lake, manifest, xml_dump
 
 TAGS = """<?xml version="1.0" encoding="utf-8"?>
 <tags>
@@ -233,13 +234,45 @@ def test_views_and_parameterised_queries(spark, tags_lake):
     assert lake.preview(spark, "SELECT t.* FROM tags t, range(100)").count() == 20
 
 
-def test_row_guard(spark, tags_lake):
+def test_row_guard(spark, tags_lake, tmp_path, monkeypatch):
     lake.register_tables(spark, tags_lake)
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(lake, "shared_dir", lambda spark, label: f"{shared}/{label}-{len(stored())}")
+
+    def stored():
+        return list(shared.glob("*")) if shared.exists() else []
+
     for guarded in (lake.run_query, lake.fetch):
-        with pytest.raises(RuntimeError, match="(?i)would return"):
+        with pytest.raises(RuntimeError, match="(?i)would return 3 rows"):
             guarded(spark, "SELECT * FROM tags", max_rows=2)
+    with pytest.raises(Exception, match="(?i)divi"):
+        lake.run_query(spark, "SELECT 1 / (Count - Count) FROM tags", max_rows=9)
+    assert not stored(), "a refused or failed query leaves nothing behind"
     assert len(lake.fetch(spark, "SELECT * FROM tags", max_rows=3)) == 3
+    with pytest.raises(RuntimeError, match="(?i)would return"):
+        lake.write_table_csv(spark.table("tags"), str(tmp_path), "t", max_rows=2)
+    lake.write_table_csv(spark.table("tags"), str(tmp_path), "t", max_rows=3)
+    assert spark.read.option("header", True).csv(f"{tmp_path}/t").count() == 3
+    assert not stored()
     assert lake.run_query(spark, "SELECT * FROM tags", max_rows=3).count() == 3
+    assert len(stored()) == 1
+
+
+def test_a_guarded_query_runs_once(spark, tags_lake):
+    lake.register_tables(spark, tags_lake)
+    text = "SELECT TagName AS x, Count AS x, NULL AS nothing, array(Id) AS many FROM tags ORDER BY TagName DESC"
+    spark.sparkContext.setJobGroup("guarded", "one execution")
+    try:
+        ran = spark.range(1000).where("id % 2 = 0")
+        rows, _ = lake.spooled(ran, 500)
+        tracker = spark.sparkContext.statusTracker()
+        (job,) = tracker.getJobIdsForGroup("guarded")
+        assert len(tracker.getJobInfo(job).stageIds) == 1
+        expected, got = spark.sql(text), lake.run_query(spark, text, max_rows=3)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [r.id for r in rows.collect()] == list(range(0, 1000, 2))
+    assert got.schema == expected.schema and got.collect() == expected.collect()
 
 
 def test_files_with_other_columns_merge_by_name(spark, tmp_path):
@@ -249,23 +282,115 @@ def test_files_with_other_columns_merge_by_name(spark, tmp_path):
     assert [(r["TagName"], r["Extra"]) for r in merged] == [("a", None), (None, 5)]
 
 
-def test_manifest_digests(spark, tmp_path):
+def test_row_digests(spark, tmp_path):
     frame = spark.range(500).withColumn("name", F.concat(F.lit("n"), F.col("id")))
     frame.coalesce(1).write.parquet(f"{tmp_path}/one")
     frame.orderBy(F.desc("id")).coalesce(1).write.parquet(f"{tmp_path}/two")
     frame.withColumn("name", F.when(F.col("id") != 9, F.col("name"))).coalesce(1).write.parquet(f"{tmp_path}/three")
-    got = {p: manifest.dataset_manifest(spark, f"{tmp_path}/{p}").first() for p in ("one", "two", "three")}
+    got = {p: manifest.row_manifest(spark, f"{tmp_path}/{p}").first() for p in ("one", "two", "three")}
     assert {r["row_count"] for r in got.values()} == {500}
     assert got["one"]["digest"] == got["two"]["digest"] != got["three"]["digest"]
     assert all(r["modified_at"] and r["size_bytes"] > 0 for r in got.values())
-    total = sum(int(hashlib.md5(f"={i}|=n{i}".encode()).hexdigest()[:15], 16) for i in range(500))
+    total = sum(int(hashlib.md5(f"2:id{len(str(i))}:{i}4:name{len(str(i)) + 1}:n{i}".encode()).hexdigest()[:15], 16) for i in range(500))
     assert got["one"]["digest"] == str(total)
     (tmp_path / "dump.xml").write_text("<a>\n<b/>\n")
-    (line,) = manifest.dataset_manifest(spark, f"{tmp_path}/dump.xml", "*.xml", "text").collect()
+    (line,) = manifest.row_manifest(spark, f"{tmp_path}/dump.xml", "*.xml", "text").collect()
     assert (line["name"], line["row_count"], line["size_bytes"]) == ("dump.xml", 2, 9)
     (tmp_path / "empty").mkdir()
     with pytest.raises(RuntimeError, match="No files"):
-        manifest.dataset_manifest(spark, str(tmp_path / "empty"), source="text").collect()
+        manifest.row_manifest(spark, str(tmp_path / "empty"), source="text").collect()
+
+
+def one_digest(spark, path, frame):
+    frame.coalesce(1).write.mode("overwrite").parquet(path)
+    return manifest.row_manifest(spark, path).first()["digest"]
+
+
+def test_different_rows_have_different_row_digests(spark, tmp_path):
+    rows = [
+        "SELECT 'x|=y' AS a, 'z' AS b", "SELECT 'x' AS a, 'y|=z' AS b", "SELECT 'x' AS a, 'y|=z' AS c", "SELECT 'z' AS a, 'x|=y' AS b",
+        "SELECT '' AS a, 'z' AS b", "SELECT CAST(NULL AS STRING) AS a, 'z' AS b", "SELECT '1:b' AS a", "SELECT array('p, q') AS a", "SELECT array('p', 'q') AS a",
+        "SELECT X'FF' AS a", "SELECT X'FE' AS a", "SELECT array(CAST(NULL AS STRING)) AS a", "SELECT array('null') AS a",
+    ]
+    digests = [one_digest(spark, f"{tmp_path}/t", spark.sql(text)) for text in rows]
+    assert len(set(digests)) == len(rows)
+    wider = one_digest(spark, f"{tmp_path}/t", spark.sql("SELECT 'z' AS b, CAST(NULL AS INT) AS more"))
+    assert wider == digests[5], "a column without values is no difference"
+
+
+def test_each_table_of_a_lake_has_its_own_columns(spark, tmp_path):
+    spark.sql("SELECT id AS Id, 'a' AS Name FROM range(5)").write.parquet(f"{tmp_path}/tags/year_month=2024-01")
+    spark.sql("SELECT id AS Id, 'b' AS Name, 7 AS Count FROM range(6)").write.parquet(f"{tmp_path}/tags/year_month=2024-02")
+    spark.sql("SELECT id AS Other, X'00' AS Body FROM range(7)").write.parquet(f"{tmp_path}/posts")
+    spark.range(0).coalesce(1).write.parquet(f"{tmp_path}/none")
+
+    def taken():
+        rows = manifest.row_manifest(spark, str(tmp_path)).collect()
+        return {r.path.removeprefix(f"file://{tmp_path}/").rsplit("/", 1)[0]: (r.row_count, r.digest) for r in rows if r.row_count or "/none/" in r.path}
+
+    before = taken()
+    assert {p: n for p, (n, _) in before.items()} == {"tags/year_month=2024-01": 5, "tags/year_month=2024-02": 6, "posts": 7, "none": 0}
+    spark.sql("SELECT id AS Id, 'b' AS Name, 8 AS Count FROM range(6)").write.mode("overwrite").parquet(f"{tmp_path}/tags/year_month=2024-02")
+    spark.sql("SELECT id AS Other, X'01' AS Body FROM range(7)").write.mode("overwrite").parquet(f"{tmp_path}/posts")
+    after = taken()
+    changed = {p for p in before if before[p] != after[p]}
+    assert changed == {"tags/year_month=2024-02", "posts"} and before["none"] == (0, "0")
+
+
+def test_file_digests(spark, tmp_path):
+    root = tmp_path / "dump"
+    (root / "sub").mkdir(parents=True)
+    (root / "hello.bin").write_bytes(b"hello world")
+    (root / "sub" / "nothing.bin").write_bytes(b"")
+    (root / "_SUCCESS").write_bytes(b"hidden")
+    (root / "other.txt").write_bytes(b"another ending")
+    rows = {r.name: r for r in manifest.dataset_manifest(spark, str(root), "*.bin").collect()}
+    assert list(rows) == ["hello.bin", "nothing.bin"]
+    assert rows["hello.bin"].sha256 == "b94d27b9934d3e08a52e52d7da7dabfac484efe37a5380ee9088f7ace2efcde9"
+    assert rows["nothing.bin"].sha256 == hashlib.sha256(b"").hexdigest()
+    assert (rows["hello.bin"].size_bytes, rows["nothing.bin"].size_bytes) == (11, 0) and rows["hello.bin"].modified_at
+    assert manifest.dataset_manifest(spark, f"file:{root}").count() == 3
+    assert manifest.dataset_manifest(spark, f"file://{root}/hello.bin").first().sha256 == rows["hello.bin"].sha256
+    manifest.write_manifest(manifest.dataset_manifest(spark, str(root)), str(tmp_path / "manifest"))
+    exported = spark.read.json(str(tmp_path / "manifest"))
+    assert exported.count() == 3 and {"manifest_generated_at", "sha256"} <= set(exported.columns)
+    for absent in ("*.none", "*"):
+        with pytest.raises(Exception, match="No files"):
+            manifest.dataset_manifest(spark, str(root if absent == "*.none" else tmp_path / "not there"), absent).collect()
+
+
+def test_a_scheme_only_spark_knows_is_read_by_spark(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"hello world")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.m.link./d", f"file:{tmp_path}")
+    assert not file_digest.readable("viewfs://m/d")
+    (row,) = manifest.dataset_manifest(spark, "viewfs://m/d", "*.bin").collect()
+    assert row.sha256 == hashlib.sha256(b"hello world").hexdigest()
+
+
+def test_a_large_file_is_digested_in_bounded_memory(tmp_path):
+    path, size = tmp_path / "sparse.bin", 3 << 30  # beyond what a single binary value can hold
+    with path.open("wb") as file:
+        file.truncate(size)
+    reader = file_digest.FileDigests({"path": str(tmp_path)}).reader(None)
+    (part,) = reader.partitions()
+    tracemalloc.start()
+    ((_, name, found, _, digest),) = reader.read(part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = hashlib.sha256()
+    for _ in range(size >> 20):
+        whole.update(bytes(1 << 20))
+    assert (name, found, digest) == ("sparse.bin", size, whole.hexdigest())
+    assert peak < 8 << 20
+
+
+def test_small_files_share_tasks_and_large_ones_do_not(tmp_path):
+    for i in range(50):
+        (tmp_path / f"{i}.bin").write_bytes(b"x")
+    with (tmp_path / "large.bin").open("wb") as file:
+        file.truncate(file_digest.SHARED_BYTES + 1)
+    sizes = sorted(len(p.files) for p in file_digest.FileDigests({"path": str(tmp_path)}).reader(None).partitions())
+    assert sizes == [1, 50]
 
 
 def test_shared_dir_needs_a_shared_folder_on_a_cluster():

@@ -1,4 +1,5 @@
 import html as stdlib_html
+import random
 import re
 from html.parser import HTMLParser
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from qapulse.functions import intents
 from qapulse.functions.html import body_prose, code_blocks, decode_entities, link_count
 from qapulse.functions.intents import INTENT_PATTERNS, with_intent
 from qapulse.functions.tags import DOMAIN_TAGS, tag_domain
@@ -154,3 +156,31 @@ def test_every_listed_tag_finds_its_domain(spark):
     pairs = [(f"<zz><{t}>", d) for d, tags in DOMAIN_TAGS.items() for t in tags]
     rows = spark.createDataFrame(pairs, "t string, d string")
     assert rows.where(tag_domain(F.col("t")) != F.col("d")).count() == 0
+
+
+def test_quick_patterns_find_the_same_texts_as_the_given_ones():
+    """Texts made of the alternatives themselves, whole, cut and joined, so that most near misses occur."""
+    chance = random.Random(1)
+    parts = ["a", " ", "\n", "ai ", "v3.1", "gpt4", "why ", "what's the difference", "doesn’t work", "new to x", "code", "I "]
+    for pattern in intents.INTENT_PATTERNS.values():
+        for text in intents._alternatives(pattern):
+            plain = re.sub(r"[()?\[\]]", "", text.split("|")[0])
+            for mark, sample in ((r"\s+", " "), (r"\s*", ""), (r"\s", " "), (r"\w+", "ab"), (r"\w", "x"), (r"\d+", "12"), (r"\d", "3"), (r"\b", "")):
+                plain = plain.replace(mark, sample)
+            parts.append(plain.replace("\\", ""))
+    hits = 0
+    for _ in range(4000):
+        text = "".join(chance.choice(parts)[: chance.choice([99, 99, 4, 6])] + chance.choice(["", " ", "  ", "-"]) for _ in range(3))
+        for intent, pattern in intents.INTENT_PATTERNS.items():
+            found = bool(re.search(pattern, text))
+            assert bool(re.search(intents.searchable(pattern), text)) == found, (intent, text)
+            hits += found
+    assert hits > 1000
+
+
+def test_bodies_without_blocks_are_spared_the_work_on_blocks(spark):
+    bodies = ["<p>a < pre b</p>", "<PRE>x</PRE>y", "<pRe\n>z</prE>", "<prefix>w</prefix>", "<pre", "", None, "</pre>q"]
+    rows = spark.createDataFrame([(b,) for b in bodies], "b string").select(body_prose(F.col("b")), code_blocks(F.col("b"))).collect()
+    assert [tuple(r) for r in rows] == [
+        ("a < pre b", []), ("y", ["x"]), ("", ["z"]), ("w", []), ("<pre", []), ("", []), ("", []), ("q", []),
+    ]
