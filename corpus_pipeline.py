@@ -29,7 +29,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled ones teach."""
     samples = language.learn(docs.where(~language.held_out()))
     renamed, names = _aside(docs, "lang_pred", "score", "bits", "n_letters")
-    found = language.identify(renamed, samples).where(language.accepted())
+    found = language.identify(renamed, samples).where(language.accepted(samples))
     return found.select(*_columns(docs, names, lang=F.col("lang_pred")))
 
 

@@ -14,8 +14,8 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,16 +86,19 @@ def pack(docs: DataFrame, size: int = SIZE, end: int = END, vocabulary: str | No
     parts = pieces.where(F.col("length") < size)
     groups = max(1, -(-parts.count() // group))
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
+    def fit(rows: pa.Table) -> pa.Table:
+        # Arrow keeps ids as they are: a pandas column of integers with a null among them would be rounded to doubles.
+        order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order, null_placement="at_end"))
         bins, offsets = first_fit(rows["length"].to_numpy(), size)
-        return rows.assign(sequence_id=2 * (bins * groups + rows["pack_group"]), offset=offsets).drop(columns="pack_group")
+        sequences = 2 * (bins * groups + rows["pack_group"].to_numpy())
+        return rows.drop_columns("pack_group").append_column("sequence_id", pa.array(sequences)).append_column("offset", pa.array(offsets))
 
     names = "doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset".split(", ")
     fields = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     # Copies of one document differ in their row number, so they are dealt out too.
-    dealt = parts.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
-    packed = dealt.groupBy("pack_group").applyInPandas(fit, fields)
+    dealt = parts.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups).cast("bigint")))
+    packed = dealt.groupBy("pack_group").applyInArrow(fit, fields)
     # A full piece is a sequence by itself; odd numbers are theirs.
     alone = whole.withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("bigint"))
     return packed.select(*names).unionByName(alone.select(*names))

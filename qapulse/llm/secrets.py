@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,13 +119,26 @@ def random_parts(run: str, path: str, ratio: float = RATIO) -> list[tuple[int, i
     return parts
 
 
-def _outside(start: int, end: int, covered: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """What of [start, end) no sorted span covers."""
-    left = []
-    for a, b in covered:
-        if b > start and a < end:
-            left.append((start, a))
-            start = max(start, b)
+def _joined(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that (start, kind, end) cover, in order."""
+    starts, ends = [], []
+    for start, _, end in sorted(spans):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _outside(start: int, end: int, covered: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """What of [start, end) no covered stretch holds; only stretches that meet it are looked at."""
+    left, (starts, ends) = [], covered
+    for at in range(bisect_right(ends, start), len(starts)):
+        if starts[at] >= end:
+            break
+        left.append((start, starts[at]))
+        start = max(start, ends[at])
     return [(a, b) for a, b in [*left, (start, end)] if b - a >= LEAST]
 
 
@@ -155,12 +169,12 @@ def scan_batch(column: pa.Array, path: str) -> list[list[tuple[int, int, int]]]:
             row = int(rows[begin])
             part = buffer[offsets[row] : offsets[row + 1]]
             s, e = starts[begin:end] - offsets[row], ends[begin:end] - offsets[row]
-            own = sorted(found[row])
+            covered = _joined(found[row]) if kind == 3 else None
             for a, b, x, y in zip(_character(part, s).tolist(), _character(part, e).tolist(), s.tolist(), e.tolist()):
                 if kind == 2:
                     found[row].append((a, 2, b))
                 else:
-                    run, covered = part[x:y].tobytes().decode(), [(p, q) for p, _, q in own]
+                    run = part[x:y].tobytes().decode()
                     for p, q in _outside(a, b, covered):
                         found[row] += [(p + u, 3, p + v) for u, v in random_parts(run[p - a : q - a], path)]
     return [sorted(own) for own in found]

@@ -26,11 +26,16 @@ def phrases(text, sample):
     return count
 
 
-def test_tables_parse_as_the_longest_matches_do():
+@pytest.mark.parametrize("dense", [1 << 25, 0])
+def test_tables_parse_as_the_longest_matches_do(dense, monkeypatch):
+    """Short texts, and texts of many blocks, in both forms of the table."""
+    monkeypatch.setattr(language, "DENSE", dense)
     chance = random.Random(2)
     samples = tuple((name, "".join(chance.choice(letters) for _ in range(400))) for name, letters in (("x", "abcd "), ("y", "abxyz ")))
     model = language.Model(samples)
-    texts = ["".join(chance.choice("abcdxyz  .,!") for _ in range(chance.randint(0, 300))) for _ in range(80)] + ["q" * 40, "a"]
+    assert (model.dense is None) == (dense == 0)
+    texts = ["".join(chance.choice("abcdxyz  .,!") for _ in range(chance.choice([2, 90, 300, 1024, 1025, 5000]))) for _ in range(60)]
+    texts += ["q" * 40, "a", "abcd" * 1500, samples[0][1] * 8]
     best, score, bits, letters = model.predict(pa.array(texts))
     for t, b, s, h in zip(texts, best, score, bits):
         squeezed = re.sub("[^a-z]+", " ", t)
@@ -42,6 +47,38 @@ def test_tables_parse_as_the_longest_matches_do():
             assert h == pytest.approx(min(costs)) and b == int(np.argmin(costs)) and s == pytest.approx(1 - min(costs) / max(costs))
 
 
+def test_six_scripts_are_told_apart(spark):
+    """Languages of one script each, texts of the same invented words: no script shares symbols with another."""
+    chance = random.Random(12)
+    scripts = {"la": (0x61, 26), "ru": (0x430, 32), "el": (0x3B1, 24), "ka": (0x10D0, 33), "hy": (0x561, 38), "he": (0x5D0, 27)}
+    words = {
+        f"{name}{n}": ["".join(chr(first + chance.randrange(size)) for _ in range(chance.randint(2, 8))) for _ in range(400)]
+        for name, (first, size) in scripts.items() for n in range(2)
+    }
+
+    def text(lang, n):
+        return " ".join(chance.choice(words[lang]) for _ in range(n))
+
+    learned = [(lang, text(lang, 100)) for lang in words for _ in range(30)]
+    samples = language.learn(spark.createDataFrame(learned, "lang string, text string"))
+    asked = [(i, lang, text(lang, chance.choice([30, 300]))) for i, lang in enumerate(list(words) * 20)]
+    found = language.identify(spark.createDataFrame(asked, "doc_id bigint, given string, text string"), samples)
+    rows = found.withColumn("kept", language.accepted(samples)).collect()
+    for lang in words:
+        own = [r for r in rows if r.given == lang]
+        assert sum(r.lang_pred == lang for r in own) >= 0.95 * len(own) and all(r.kept for r in own)
+    assert {(r.lang_pred, r.rejected) for r in language.verdicts(found, samples).collect()} == {(r.lang_pred, 0) for r in rows}
+
+
+def test_the_sample_is_no_head_of_texts(spark):
+    """All texts of both languages begin with one header, longer than the sampled stretch."""
+    header = "terms of use apply to this page and to all pages of the site " * 10
+    rows = [(lang, header + " ".join(random.Random(i).choice(words) for _ in range(2000))) for i, (lang, words) in enumerate([("a", ["uno", "dos", "tres"]), ("b", ["eins", "zwei", "drei"])] * 20)]
+    samples = language.learn(spark.createDataFrame(rows, "lang string, text string"))
+    asked = spark.createDataFrame([(1, "dos tres uno dos"), (2, "zwei drei eins")], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_pred for r in language.identify(asked, samples).collect()} == {1: "a", 2: "b"}
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     rows = op2_language(spark, SF).join(docs, "doc_id").collect()
@@ -53,7 +90,7 @@ def test_held_out_accuracy(spark):
 
 def test_messy_documents(messy, messy_rows, nothing):
     samples = language.learn(messy)
-    assert {name for name, _ in samples} == {"en", "fr"}
+    assert {name for name, *_ in samples} == {"en", "fr"}
     found = language.identify(messy, samples)
     assert found.columns == [*(c for c in messy.columns if c not in ("score",)), "lang_pred", "score", "bits", "n_letters"]
     for r in found.collect():
@@ -72,8 +109,8 @@ def test_texts_of_no_learned_language_are_not_accepted(spark):
     noise = "".join(chance.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(900))
     odd = spark.createDataFrame([(1, noise), (2, "中文" * 300), (3, "12 34"), (4, None)], "doc_id bigint, text string")
     samples = language.learn(docs)
-    assert language.identify(odd, samples).where(language.accepted()).count() == 0
-    assert language.identify(docs, samples).where(~language.accepted()).count() == 0
+    assert language.identify(odd, samples).where(language.accepted(samples)).count() == 0
+    assert language.identify(docs, samples).where(~language.accepted(samples)).count() == 0
 
 
 @pytest.mark.parametrize("url, name", [

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import signal
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -207,6 +208,64 @@ def test_packing(messy, messy_rows, nothing, library, size):
     assert packing.pack(nothing).collect() == []
 
 
+def stripe_streams(spark, file):
+    """Kinds of the streams that the stripe footers of an ORC file list."""
+    jvm = spark._jvm
+    options = jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), options)
+    rows = reader.rows()
+    footers = [rows.readStripeFooter(stripe) for stripe in reader.getStripes()]
+    kinds = [f.getStreams(i).getKind().toString() for f in footers for i in range(f.getStreamsCount())]
+    rows.close()
+    return kinds
+
+
+def rows_read(df):
+    """Rows that a query got out of its scan."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    while plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+        if plan.nodeName().endswith("QueryStage"):
+            plan = plan.plan()
+    return plan.metrics().apply("numOutputRows").value()
+
+
+def test_orc_lookups_skip_stripes_and_row_groups(spark, documents_of, tmp_path):
+    path = str(tmp_path / "many")
+    tokens_orc.write_tokens(documents_of([(i, f"text number {i}") for i in range(0, 24_000, 2)]).coalesce(1), path)
+    stored = spark.read.orc(path)
+    assert rows_read(stored.select("doc_id", "n_tokens")) == 12_000
+    assert 1 <= rows_read(stored.where("doc_id = 5000").select("doc_id", "n_tokens")) <= tokens_orc.STRIDE
+    # An id between two stored ones is inside the range of a row group: only its Bloom filter can rule it out.
+    assert rows_read(stored.where("doc_id = 5001").select("doc_id", "n_tokens")) == 0
+
+
+def test_packing_keeps_wide_ids_beside_a_null(spark):
+    ids = [2**53 + 1, 2**53 + 3, 2**60 + 1, -(2**55) - 1, None, 7]
+    docs = spark.createDataFrame([(i, "some words") for i in ids], "doc_id bigint, text string").coalesce(1)
+    got = packing.pack(docs).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids)
+
+
+def test_long_logs_of_secrets_are_scanned_in_linear_time():
+    """Many base spans and many runs in one text."""
+    line = "0123456789abcdef01234567 path/to/some/thing/with/words k9Q2xZ7vLp4TtW8sYb3RdN6f password: hunter2hunter2 "
+    path = secrets._path(None)
+    seconds = []
+    for copies in (500, 4000, 32_000):
+        begun = time.perf_counter()
+        (found,) = secrets.scan_batch(pa.array([line * copies]), path)
+        seconds.append(time.perf_counter() - begun)
+        assert len(found) >= 3 * copies and found[:3] == [tuple(x) for x in found[:3]]
+        assert {(s - len(line), k, e - len(line)) for s, k, e in found if len(line) <= s and e <= 2 * len(line)} == {
+            (s, k, e) for s, k, e in found if e <= len(line)
+        }
+    assert seconds[2] < 20 * max(seconds[1], 0.2)  # eight times the text
+
+
 def test_orc_round_trip(spark, messy, messy_rows, nothing, library, tmp_path):
     path = str(tmp_path / "tokens")
     tokens_orc.write_tokens(messy, path)
@@ -221,7 +280,8 @@ def test_orc_round_trip(spark, messy, messy_rows, nothing, library, tmp_path):
 
     files = [orc.ORCFile(f) for f in (tmp_path / "tokens").glob("*.orc")]
     assert all(f.row_index_stride == tokens_orc.STRIDE and f.compression == "ZLIB" for f in files)
-    assert any(b"doc_id" in f.read_bytes() for f in (tmp_path / "tokens").glob("*.orc"))
+    kinds = {kind for f in (tmp_path / "tokens").glob("*.orc") for kind in stripe_streams(spark, f)}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
     assert spark.read.orc(path).where("doc_id = 20").select(F.size("ids")).count() == 1
     tokens_orc.write_tokens(nothing, str(tmp_path / "none"))
     assert spark.read.orc(str(tmp_path / "none")).count() == 0
