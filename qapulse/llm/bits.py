@@ -16,6 +16,7 @@ stay different entries only if their codes differ. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from qapulse.llm.shared import stash
 
 K, BITS = 10, 16
+#: Segment values a task looks up, about.
+PROBES = 500_000
 
 
 def sign_code(vector: Column, segments: int) -> Column:
@@ -72,11 +75,14 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     active = asked.select("code").distinct().withColumn("query", F.monotonically_increasing_id())
     active = stash(active.withColumn("bound", F.lit(segments * BITS)), "query-codes")
     named = active.drop("bound")
-    best, done = None, []
+    best, done, waiting = None, [], active.count()
     for radius in range(BITS + 1):
         # Merged, as Spark cannot know how many values a radius makes and might broadcast them.
         apart = F.transform(F.arrays_zip("code", "found"), lambda x: F.bit_count(x["code"].bitwiseXOR(x["found"])))
-        seen = active.select("query", "code", "bound", F.posexplode("code").alias("segment", "value")).mapInArrow(
+        # A query's segments are some rows that become many: they are dealt out by what they will make.
+        tasks = -(-waiting * segments * comb(BITS, radius) // PROBES)
+        asking = active.select("query", "code", "bound", F.posexplode("code").alias("segment", "value"))
+        seen = asking.repartition(max(1, tasks), "query", "segment").mapInArrow(
             _probes(radius), "query bigint, code array<int>, bound int, segment int, value int"
         ).join(index.hint("merge"), ["segment", "value"]).withColumn("apart", apart)
         first = (F.array_min("apart") == radius) & (F.array_position("apart", radius) == F.col("segment") + 1)
@@ -96,7 +102,7 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         done.append(best.join(ended, "query"))
         active = active.join(kth, "query", "left").where(F.coalesce("kth", "bound") > covered)
         active = stash(active.select("query", "code", F.coalesce("kth", "bound").alias("bound")), "query-codes")
-        if active.isEmpty():
+        if not (waiting := active.count()):
             break
     found = done[0]
     for more in done[1:]:

@@ -8,7 +8,7 @@ Signature (ProbMinHash): each run is a Poisson process whose rate is its weight;
 keep the earliest; a run stops once its next arrival is later than every register's. Two texts agree in a register with the
 probability Jaccard. Registers are banded into buckets. Bands come in ``TURNS``: in a turn, every text of a bucket that
 still holds several classes meets the bucket's first and, from the second turn, its neighbours. That merges most classes in
-proportion to the texts, and the few bands of the first turn spare the many of the last one. Then, in buckets of any band that keep several classes,
+proportion to the texts. Then, in buckets of any band that keep several classes,
 all pairs of different classes meet inside tasks, block by block of texts (:func:`_remaining`), so no pair that shares a
 bucket goes untested unless it already is in one class. Pairs whose signatures agree in too few registers are dropped (a pair
 at the threshold lies six deviations above that), the rest is verified on the texts.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ RUN, ALIKE = 5, 0.8
 BANDS, ROWS = 24, 4
 SIZE = BANDS * ROWS
 #: Bands of each turn in which the texts of a bucket meet, the texts each meets before it besides the first, and the size of a dealt part.
-TURNS, NEIGHBOURS, PART = ((0, 2), (2, 8), (8, BANDS)), 3, 4000
+TURNS, NEIGHBOURS, PART = ((0, 2), (2, 8)), 3, 4000
+#: Rounds of labelling after a turn: enough for stars. A class with several labels yet costs tests that would be spared, no links.
+ROUNDS = 2
 #: Bytes of text in a part of a bucket whose remaining pairs meet, about; a longer text is a part with others of its hash.
 PART_BYTES = 8_000_000
 #: Registers two signatures must share to be verified: 0.55 of them. At similarity 0.8 fewer come once in 10**8 pairs.
@@ -314,14 +317,15 @@ def _links(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stash(pairs.mapInArrow(_verified, "a bigint, b bigint, alike double"), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, label) of every node with a link (a, b): label is the smallest node it is connected with.
 
-    Labels spread along links and then jump to the label of the label, so rounds grow with the logarithm of a path.
+    Labels spread along links and then jump to the label of the label, so rounds grow with the logarithm of a path. After ``rounds``, if
+    given, a label is some node of the same class: classes may still have several.
     """
     both = stash(links.select("a", "b").union(links.select("b", "a")).distinct(), "both-ways")
     labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
+    for done in count(1):
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
@@ -329,7 +333,7 @@ def components(links: DataFrame) -> DataFrame:
             lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels"
         )
         labels = step.select("node", "label")
-        if step.where("label != old").isEmpty():
+        if done == rounds or step.where("label != old").isEmpty():
             return labels
 
 
@@ -385,7 +389,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for turn, (low, high) in enumerate(TURNS):
         found = _links(_meetings(members.where(F.col("band").between(low, high - 1)), labels, turn), wanted)
         links = found if links is None else stash(links.union(found).distinct(), "all-links")
-        labels = components(links)
+        labels = components(links, ROUNDS)
     links = stash(links.union(_remaining(members, labels, nodes, wanted)).distinct(), "all-links")
     labels = components(links)
 

@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qapulse.session import shared_dir
+from qapulse.sources import storage
+
+
+#: Tables that :func:`stash` wrote in this process and :func:`release` has not deleted.
+_stashed: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far, once the results that read them are stored elsewhere; how many."""
+    gone = 0
+    while _stashed:
+        storage.delete(spark, _stashed.pop())
+        gone += 1
+    return gone
 
 
 def stash(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
@@ -16,6 +30,7 @@ def stash(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     It cuts lineage with files all executors see: a lost executor costs the rows it was making, not these.
     """
     path = shared_dir(df.sparkSession, label)
+    _stashed.append(path)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from qapulse.llm import divergence, lexical, urls
+from qapulse.llm import divergence, lexical, shared, urls
 
 LETTERS = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 TERMS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -249,3 +249,11 @@ def test_url_query_and_empty_tables(spark, web):
         assert (r.host, r.path) == split_url(read[r.page_id])
         rule, verdict = fixed_rule(r.host, r.path)
         assert r.rule == rule and r.verdict == (verdict or ("block" if r.reason else "allow"))
+
+
+def test_intermediate_tables_can_be_released(spark):
+    kept = shared.stash(spark.range(5), "some")
+    (path,) = {f.rsplit("/", 1)[0] for f in kept.inputFiles()}
+    assert kept.count() == 5 and shared.release(spark) >= 1 and shared.release(spark) == 0
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        spark.read.parquet(path).count()
