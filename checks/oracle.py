@@ -1,4 +1,8 @@
-"""The same results in plain SQL, written independently of the operators."""
+"""The same results in plain SQL, written independently of the operators.
+
+Fixed values (intent patterns, domain tags) and the SQL of the test archive are shared with the library and the adapter, so a wrong one would pass
+on both sides: ``tests/test_text.py`` pins them.
+"""
 
 from __future__ import annotations
 
@@ -427,6 +431,7 @@ ORACLE = {
     "partition_count": sql(f"SELECT COUNT(DISTINCT {_YM}) AS partitions FROM posts", "posts"),
     "questions_per_month": sql(_PER_MONTH.format("q"), *POSTS),
     "validation_summary": _ALL_SUMMARIES,
+    "stored_summary": _ALL_SUMMARIES,
     "validation_gaps": sql(
         f"SELECT COUNT(*) AS months, COUNT(*) FILTER (is_gap) AS gaps FROM ({_GAPS})", "posts", "early"
     ),
@@ -537,9 +542,10 @@ ORACLE = {
         },
         *INTENTS, "distribution", "wide", "prepost",
     ),
-    "metric_series": sql(
-        "SELECT metric, strftime(month, '%Y-%m') AS year_month, ROUND(value, 3) AS value FROM series", *SERIES
-    ),
+    **{
+        name: sql("SELECT metric, strftime(month, '%Y-%m') AS year_month, ROUND(value, 3) AS value FROM series", *SERIES)
+        for name in ("metric_series", "stored_series")
+    },
     "breakpoint_index": sql("SELECT metric, n, bp AS breakpoint_index, breakpoint_month FROM series_fits", *BREAKS),
     "chow_test": sql(
         f"SELECT {_CHOW}, df_numerator, df_denominator, breakpoint_month, metric FROM series_chow", *BREAKS, "series_chow"

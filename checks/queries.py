@@ -205,6 +205,13 @@ def validation_summary(spark, sf):
     return _text_times(validate.validation_summary(_tables(spark, sf)))
 
 
+def stored_summary(spark, sf):
+    root = shared_dir(spark, "lake")
+    for table in INGEST_ORDER:
+        lake.write_partitioned(declared(star_table(spark, sf, table), table), table, root)
+    return _text_times(validate.stored_summary(spark, root))
+
+
 def validation_gaps(spark, sf):
     # A window opening years before the first question makes gaps.
     return validate.gap_summary(validate.questions_per_month(star_posts(spark, sf), EARLY))
@@ -436,13 +443,22 @@ def _order_series(spark, sf) -> DataFrame:
     return orders.groupBy(metric, month).agg(F.avg("o_totalprice").alias("value"))
 
 
-def metric_series(spark, sf):
-    series = _series(spark, sf)
+def _labelled_series(series: DataFrame) -> DataFrame:
     return series.select(
         "metric", month_label(F.col("month")).alias("year_month"), F.round("value", QUANTILE_DIGITS).alias("value")
     )
 
 
+def metric_series(spark, sf):
+    return _labelled_series(_series(spark, sf))
+
+
+def stored_series(spark, sf):
+    folder = shared_dir(spark, "report")
+    reports.metrics_report(spark, star_posts(spark, sf), folder, START)
+    return _labelled_series(breaks.stored_series(spark, folder))
+
+
 def breakpoint_index(spark, sf):
     return breaks.breakpoint_index(_series(spark, sf), RELEASE)
 
@@ -571,7 +587,7 @@ NAMES = [
     "scan_dump_xml", "coerce_rows", "with_year_month", "write_partitioned", "ingest_table", "ingest_all",
     "verify_source", "dataset_manifest", "register_tables", "run_query", "questions_slice", "answers_slice",
     "preview", "write_table_csv",
-    "summarize_table", "partition_count", "questions_per_month", "validation_summary", "validation_gaps",
+    "summarize_table", "partition_count", "questions_per_month", "validation_summary", "stored_summary", "validation_gaps",
     "validation_report",
     "monthly_volume", "monthly_active_askers", "monthly_accepted_rate", "monthly_answer_coverage",
     "monthly_time_to_first_answer", "monthly_time_to_acceptance", "monthly_engagement", "monthly_counters",
@@ -585,7 +601,7 @@ NAMES = [
     "features_report",
     "classify_intent", "per_post_intents", "monthly_intent_distribution", "monthly_intent_wide",
     "prepost_intent_summary", "topics_report",
-    "metric_series", "breakpoint_index", "chow_test", "chow_test_many", "cusum_test", "its_regression",
+    "metric_series", "stored_series", "breakpoint_index", "chow_test", "chow_test_many", "cusum_test", "its_regression",
     "its_regression_many", "structural_break_report",
     "quality_band", "response_hours", "domain_response_hours", "complexity_prepost_change", "intent_stack",
     "intent_prepost_compare", "intent_trends", "ai_category_trends", "domain_volume_index",

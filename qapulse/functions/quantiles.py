@@ -20,9 +20,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIGIT = 12
-#: Bits of a span of microseconds of 285 years, sign included.
-MICROS_BITS = 54
+DIGIT = 13
+#: Bits of a span of microseconds of 142 years, sign included.
+MICROS_BITS = 53
 
 
 def shifts_of(bits: int) -> list[int]:

@@ -7,10 +7,11 @@ aggregates, so no series is gathered into a Python task.
 
 from __future__ import annotations
 
+import logging
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qapulse.constants import RELEASE, START
@@ -21,6 +22,9 @@ from qapulse.operators.metrics import (
     monthly_time_to_acceptance,
     monthly_time_to_first_answer,
 )
+from qapulse.sources import storage
+
+log = logging.getLogger(__name__)
 
 # The published label of each tested column.
 COUNTER_SERIES = {
@@ -63,6 +67,40 @@ def metric_series(posts: DataFrame, start: date = START) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: The stored monthly tables and which of their columns are tested.
+STORED_SERIES = {
+    "monthly_volume": {c: COUNTER_SERIES[c] for c in ("question_count", "answer_count")},
+    "active_askers": {"distinct_askers": COUNTER_SERIES["distinct_askers"]},
+    "accepted_rate": {"accepted_rate": COUNTER_SERIES["accepted_rate"]},
+    "answer_coverage": {"coverage_rate": COUNTER_SERIES["coverage_rate"]},
+    "time_to_first_answer": FIRST_ANSWER_SERIES,
+    "time_to_acceptance": ACCEPTANCE_SERIES,
+    "engagement": {c: COUNTER_SERIES[c] for c in ("mean_score", "mean_comments")},
+}
+
+
+def stored_series(spark: SparkSession, directory: str) -> DataFrame:
+    """The published series from monthly tables stored before, so that tests can be redone without the posts.
+
+    A table is ``name.csv`` (a file, or a folder of parts, with headers) or ``name.parquet``; absent ones are skipped with a warning. None at all
+    is an error. Columns are read by name; one that a table lacks fails the query.
+    """
+    parts = []
+    for name, labels in STORED_SERIES.items():
+        stored = f"{directory.rstrip('/')}/{name}"
+        if storage.exists(spark, f"{stored}.csv"):
+            monthly = spark.read.option("header", True).csv(f"{stored}.csv")
+        elif storage.exists(spark, f"{stored}.parquet"):
+            monthly = spark.read.parquet(f"{stored}.parquet")
+        else:
+            log.warning("Skipping %s: no such table in %s", ", ".join(labels.values()), directory)
+            continue
+        parts.append(to_series(monthly, labels))
+    if not parts:
+        raise RuntimeError(f"No monthly tables in {directory}")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _whole():
     return Window.partitionBy("metric")
 

@@ -6,11 +6,13 @@ from collections.abc import Mapping
 from datetime import date, timedelta
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from qapulse.constants import START
 from qapulse.functions.calendar import month_label, month_of, ordered_by, questions
+from qapulse.schemas import INGEST_ORDER
+from qapulse.sources import footers, lake
 
 DATED_TABLES = ["posts", "users", "comments", "postlinks"]
 FLAT_TABLES = ["tags"]
@@ -30,6 +32,28 @@ def summarize_table(rows: DataFrame, table: str, has_dates: bool = True) -> Data
     ).select(F.lit(table).alias("table"), "row_count", "partitions", "first_date", "last_date")
 
 
+def summarize_stored(spark: SparkSession, root: str, table: str, has_dates: bool = True) -> DataFrame:
+    """:func:`summarize_table` of a table of the lake. Rows and months come from file footers, the first and last date from
+    the first and last month alone, as a month holds only its own dates."""
+    months = {r["year_month"]: r["n"] for r in footers.partition_rows(spark, lake.table_path(root, table)).collect() if r["n"]}
+    dated = sorted(set(months) - {"all", "unknown"})
+    rows = lake.read_table(spark, root, table).select("CreationDate", "year_month") if has_dates else None
+    if rows is None:
+        bounds = spark.range(1).agg(*(F.first(F.lit(None).cast("timestamp_ntz")).alias(c) for c in ("first_date", "last_date")))
+    else:
+        if all(len(m) == 7 for m in dated):  # labels of four-digit years sort as their dates do
+            rows = rows.where(F.col("year_month").isin(dated[:1] + dated[-1:]))
+        bounds = rows.agg(F.min("CreationDate").alias("first_date"), F.max("CreationDate").alias("last_date"))
+    counts = F.lit(sum(months.values())).cast("bigint").alias("row_count"), F.lit(len(months)).cast("bigint").alias("partitions")
+    return bounds.select(F.lit(table.lower()).alias("table"), *counts, "first_date", "last_date")
+
+
+def stored_summary(spark: SparkSession, root: str) -> DataFrame:
+    """:func:`validation_summary` of a lake, almost without reading it."""
+    parts = [summarize_stored(spark, root, t, t.lower() in DATED_TABLES) for t in INGEST_ORDER]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def partition_count(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_distinct("year_month").alias("partitions"))
 

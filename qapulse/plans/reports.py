@@ -155,6 +155,15 @@ def breaks_report(
     start: date = START,
     release: date = RELEASE,
 ) -> dict[str, str]:
-    series = _stored(breaks.metric_series(posts, start), "series")
+    return _breaks_of(breaks.metric_series(posts, start), out, release)
+
+
+def stored_breaks_report(spark: SparkSession, directory: str, out: str, release: date = RELEASE) -> dict[str, str]:
+    """The same from the monthly tables of an earlier :func:`metrics_report`."""
+    return _breaks_of(breaks.stored_series(spark, directory), out, release)
+
+
+def _breaks_of(series: DataFrame, out: str, release: date) -> dict[str, str]:
+    series = _stored(series, "series")
     tables = breaks.structural_break_report(series, release)
     return _write_all({f"{name}.csv": table for name, table in tables.items()}, out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 from collections.abc import Mapping, Sequence
 
@@ -13,7 +14,7 @@ from pyspark.sql.types import LongType, NullType, StringType, StructField, Struc
 
 from qapulse.schemas import INGEST_ORDER, schema_of
 from qapulse.session import shared_dir
-from qapulse.sources import storage
+from qapulse.sources import footers, storage
 from qapulse.sources.xml_dump import (
     count_rows,
     partition_column,
@@ -55,41 +56,77 @@ def write_partitioned(
     return counted.get["rows"]
 
 
+def _staging(root: str) -> str:
+    # Readers of the lake skip names that begin with an underscore.
+    return f"{root.rstrip('/')}/_staging"
+
+
 def ingest_table(
     spark: SparkSession, raw: str, root: str, table: str, keep_source: bool = True
 ) -> int | None:
-    """Load one dump table; ``None`` if it was loaded before. Refuses to build on a partial load.
+    """Load one dump table; ``None`` if it was loaded before.
+
+    The table is written to a staging folder, verified there, and its months are listed with their rows in a plan. Then month
+    folders are moved to their place one by one, so readers see whole, verified months only. A load that was
+    killed while writing starts anew; one killed while moving goes on with the months that are left, without reading the dump. Partitions
+    of unknown origin (no marker and no plan) are refused.
 
     Unlike the dump's own files, sources are kept unless ``keep_source=False``.
     """
     schema_of(table)
     source, target = f"{raw.rstrip('/')}/{table}.xml", table_path(root, table)
-    marker = f"{target}/_SUCCESS"
+    staged = table_path(_staging(root), table)
+    marker, plan = f"{target}/_SUCCESS", f"{staged}/_PLAN"
     if storage.exists(spark, marker):
         log.info("[%s] _SUCCESS marker present, skipping", table)
+        storage.delete(spark, staged)
         return None
-    if storage.matches(spark, f"{target}/year_month=*"):
-        raise RuntimeError(
-            f"[{table}] Output has partitions but no _SUCCESS marker (partial run?): {target}"
-        )
-    verify_source(spark, source)
-    # Nothing but what a killed first run left uncommitted can be there by now.
-    written = write_partitioned(scan_dump_xml(spark, source, table), table, root, mode="append")
-    stored = read_table(spark, root, table).count()
-    if stored != written:
-        # Only the source itself can tell a lost row from a counter disturbed by a lost executor.
-        expected = count_rows(spark, source)
-        if stored != expected:
+    if not storage.exists(spark, plan):
+        if storage.matches(spark, f"{target}/year_month=*"):
             raise RuntimeError(
-                f"[{table}] Verification failed: source has {expected} rows, Parquet has {stored}"
+                f"[{table}] Output has partitions but no _SUCCESS marker (partial run?): {target}"
             )
+        verify_source(spark, source)
+        storage.delete(spark, staged)
+        storage.write_text(spark, plan, json.dumps(_stage(spark, source, root, table)))
+    rows = json.loads(storage.read_text(spark, plan))
+    _publish(spark, staged, target, rows)
+    stored = footers.stored_rows(spark, target)
+    if stored != sum(rows.values()):
+        raise RuntimeError(f"[{table}] Verification failed: {sum(rows.values())} rows were staged, {stored} are stored")
     storage.touch(spark, marker)
+    storage.delete(spark, staged)
     if not keep_source:
         storage.delete(spark, source)
     log.info("[%s] verified %d rows", table, stored)
     return stored
 
 
+def _stage(spark: SparkSession, source: str, root: str, table: str) -> dict[str, int]:
+    """Write a table to the staging folder and verify it; rows by month."""
+    written = write_partitioned(scan_dump_xml(spark, source, table), table, _staging(root))
+    rows = {r["year_month"]: r["n"] for r in footers.partition_rows(spark, table_path(_staging(root), table)).collect()}
+    stored = sum(rows.values())
+    if stored != written:
+        # Only the source itself can tell a lost row from a counter disturbed by a lost executor.
+        expected = count_rows(spark, source)
+        if stored != expected:
+            raise RuntimeError(
+                f"[{table}] Verification failed: source has {expected} rows, Parquet has {stored}"
+            )
+    return rows
+
+
+def _publish(spark: SparkSession, staged: str, target: str, months: Mapping[str, int]) -> None:
+    """Move the staged months; what is staged still replaces what a broken move left in its place."""
+    waiting = set(storage.subfolders(spark, staged))
+    for month in sorted(months):
+        folder = f"year_month={month}"
+        if folder in waiting:
+            storage.delete(spark, f"{target}/{folder}")
+            storage.rename(spark, f"{staged}/{folder}", f"{target}/{folder}")
+
+
 def ingest_all(
     spark: SparkSession, raw: str, root: str, keep_source: bool = True
 ) -> dict[str, int | None]:
@@ -167,7 +204,8 @@ def spooled(result: DataFrame, max_rows: int) -> tuple[DataFrame, str]:
         raise
     columns = [StructField(f"c{i}", StringType() if f"c{i}" in untyped else f.dataType) for i, f in enumerate(fields)]
     rows = spark.read.schema(StructType([*columns, StructField(place, LongType())])).parquet(path).orderBy(place)
-    return rows.select(*(F.col(f"c{i}").cast(f.dataType).alias(n) for i, (n, f) in enumerate(zip(names, fields)))), path
+    out = (F.lit(None) if f"c{i}" in untyped else F.col(f"c{i}") for i in range(len(names)))
+    return rows.select(*(c.alias(n) for c, n in zip(out, names))), path
 
 
 def fetch(

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from qapulse.functions.student import f_tail_two, t_two_sided
+from qapulse.plans import reports
 from qapulse.operators import breaks, domains, figures
 
 # Three published monthly series, 2020-01 to 2026-03.
@@ -205,3 +206,22 @@ def test_complexity_change_handles_a_zero_base(spark):
     df = spark.createDataFrame(rows, f"year_month string, {columns}")
     got = {r["feature"]: r["pct_change"] for r in figures.complexity_prepost_change(df).collect()}
     assert got["title_length"] == 0.0 and got["body_prose_length"] == -50.0 and got["code_block_total_length"] == 50.0
+
+
+def test_published_tables_give_the_published_statistics(spark, published, tmp_path):
+    """Stored monthly tables, some as a CSV file, one as Parquet; absent ones are skipped."""
+    months = [f"{2020 + i // 12}-{i % 12 + 1:02d}" for i in range(len(QUESTIONS))]
+    volume = "\n".join(["year_month,question_count,answer_count", *(f"{m},{q}," for m, q in zip(months, QUESTIONS))])
+    (tmp_path / "monthly_volume.csv").write_text(volume + "\n")
+    askers = spark.createDataFrame(list(zip(months, ASKERS)), "year_month string, distinct_askers bigint")
+    askers.write.option("header", True).csv(f"{tmp_path}/active_askers.csv")
+    rates = spark.createDataFrame(list(zip(months, LONG["Accepted Rate"])), "year_month string, accepted_rate double")
+    rates.write.parquet(f"{tmp_path}/accepted_rate.parquet")
+    series = breaks.stored_series(spark, str(tmp_path))
+    assert {r[0] for r in series.select("metric").distinct().collect()} == set(LONG)
+    for test in (breaks.chow_test, breaks.cusum_test, breaks.its_regression):
+        assert by_metric(test(series)) == by_metric(test(published))
+    files = reports.stored_breaks_report(spark, str(tmp_path), str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(next(iter(files.values()))).count() == len(LONG)
+    with pytest.raises(RuntimeError, match="No monthly tables"):
+        breaks.stored_series(spark, str(tmp_path / "out"))

@@ -1,3 +1,4 @@
+import hashlib
 import html as stdlib_html
 import random
 import re
@@ -13,6 +14,24 @@ from qapulse.functions.intents import INTENT_PATTERNS, with_intent
 from qapulse.functions.tags import DOMAIN_TAGS, tag_domain
 from qapulse.operators.features import FEATURES, feature_distributions, with_features
 
+# Digests of the fixed values, joined by blanks (tags) or as they are (patterns).
+PINNED_TAGS = {
+    "Legacy Stable": "00e32edd",
+    "Fast-Moving Web": "b60c92fb",
+    "AI / ML": "4147860b",
+}
+PINNED_PATTERNS = {
+    "Machine-Authored Discrepancy": "5516d936",
+    "Architectural Consensus": "c8f75c4f",
+    "Errors": "163f9383",
+    "Discrepancy": "303223ba",
+    "API Change": "73bbe3c2",
+    "Review": "621408d5",
+    "API Usage": "33fb8e02",
+    "Conceptual": "40d23b37",
+    "Learning": "c0217a58",
+}
+
 
 def split(spark, *bodies):
     rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
@@ -184,3 +203,15 @@ def test_bodies_without_blocks_are_spared_the_work_on_blocks(spark):
     assert [tuple(r) for r in rows] == [
         ("a < pre b", []), ("y", ["x"]), ("", ["z"]), ("w", []), ("<pre", []), ("", []), ("", []), ("q", []),
     ]
+
+
+def test_fixed_values_are_pinned():
+    """The SQL of the checks uses these values too, so a changed one must fail here."""
+    assert {d: len(tags) for d, tags in DOMAIN_TAGS.items()} == {"Legacy Stable": 22, "Fast-Moving Web": 25, "AI / ML": 26}
+    assert list(DOMAIN_TAGS) == ["Legacy Stable", "Fast-Moving Web", "AI / ML"]
+    joined = {d: hashlib.md5(" ".join(tags).encode()).hexdigest()[:8] for d, tags in DOMAIN_TAGS.items()}
+    patterns = {i: hashlib.md5(p.encode()).hexdigest()[:8] for i, p in INTENT_PATTERNS.items()}
+    assert (joined, patterns) == (PINNED_TAGS, PINNED_PATTERNS)
+    assert list(INTENT_PATTERNS) == [
+        "Machine-Authored Discrepancy", "Architectural Consensus", "Errors", "Discrepancy", "API Change", "Review", "API Usage", "Conceptual", "Learning",
+    ]
