@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.params import EARLY, MANIFEST_TABLES, ODD_BODY, PER_POST, RELEASE, START, report_columns, report_digits
@@ -354,9 +354,17 @@ def stratified_monthly_sample(spark, sf):
     return metrics.labelled(sample)
 
 
+def _odd(key: Column, found) -> Column:
+    # NULL for a row without a key, as in SQL: the operators take a NULL body for an empty one. A condition around
+    # them would have Spark evaluate their common parts again and again.
+    body = F.replace(F.lit(ODD_BODY), F.lit("{}"), key.cast("string"))
+    return F.concat(found(body), F.left(key.cast("string"), F.lit(0)))
+
+
 def body_prose(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    return pages.select("page_id", html.body_prose(F.col("html")).alias("prose"))
+    odd = _odd(F.col("page_id"), html.body_prose)
+    return pages.select("page_id", html.body_prose(F.col("html")).alias("prose"), odd.alias("odd_prose"))
 
 
 def code_blocks(spark, sf):

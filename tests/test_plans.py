@@ -163,3 +163,21 @@ def test_query_matches_sql(spark, database, name):
     assert sorted(names) == sorted(result.columns)
     expected = sorted((str(row) for row in cursor.fetchall()))
     assert sorted(str(tuple(row[c] for c in names)) for row in result.collect()) == expected
+
+
+@pytest.mark.parametrize("name, column", [("body_prose", "odd_prose")])
+def test_every_row_has_its_odd_body_worked_on(spark, tmp_path, name, column):
+    spark.sql("SELECT * FROM VALUES (1L, '<p>a</p>'), (2L, NULL), (NULL, '<p>b</p>') AS t(page_id, html)").write.parquet(f"{tmp_path}/pages.parquet")
+    for table in ("orders", "lineitem"):
+        rows = spark.read.parquet(f"{SF}/{table}.parquet").limit(40)
+        key = F.col(f"{table[0]}_orderkey")
+        rows.withColumn(f"{table[0]}_orderkey", F.when(key % 5 != 0, key)).write.parquet(f"{tmp_path}/{table}.parquet")
+    result = entry_file.queries()[name](spark, str(tmp_path))
+    connection = duckdb.connect()
+    for table in ("pages", "orders", "lineitem"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    cursor = connection.execute(entry_file.oracle_sql()[name])
+    names = [c[0] for c in cursor.description]
+    assert column in names and sorted(names) == sorted(result.columns)
+    expected = sorted(str(row) for row in cursor.fetchall())
+    assert sorted(str(tuple(row[c] for c in names)) for row in result.collect()) == expected
