@@ -369,7 +369,10 @@ def body_prose(spark, sf):
 
 def code_blocks(spark, sf):
     blocks = html.code_blocks(F.col("Body"))
-    return star_posts(spark, sf).select("Id", F.array_join(blocks, "|").alias("blocks"), F.size(blocks).alias("n"))
+    odd = _odd(F.col("Id"), lambda body: F.array_join(html.code_blocks(body), "|"))
+    return star_posts(spark, sf).select(
+        "Id", F.array_join(blocks, "|").alias("blocks"), F.size(blocks).alias("n"), odd.alias("odd_blocks")
+    )
 
 
 def odd_bodies(spark, sf):
