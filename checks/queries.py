@@ -415,7 +415,13 @@ def features_report(spark, sf):
 
 def classify_intent(spark, sf):
     asked = questions(star_posts(spark, sf), START)
-    return intents.with_intent(asked, F.col("Title"), html.body_prose(F.col("Body"))).select("Id", "intent")
+    found = intents.with_intent(asked, F.col("Title"), html.body_prose(F.col("Body"))).select("Id", "intent")
+    # A body whose intent hangs on a reference.
+    key = F.coalesce(F.col("Id").cast("string"), F.lit(""))
+    odd = F.concat(F.lit("<p>Order "), key, F.lit(" doesn&apos;t work</p>"))
+    return intents.with_intent(found.withColumnRenamed("intent", "own"), F.lit(None).cast("string"), html.body_prose(odd)).select(
+        "Id", F.col("own").alias("intent"), F.col("intent").alias("odd_intent")
+    )
 
 
 def per_post_intents(spark, sf):

@@ -165,7 +165,7 @@ def test_query_matches_sql(spark, database, name):
     assert sorted(str(tuple(row[c] for c in names)) for row in result.collect()) == expected
 
 
-@pytest.mark.parametrize("name, column", [("body_prose", "odd_prose"), ("code_blocks", "odd_blocks")])
+@pytest.mark.parametrize("name, column", [("body_prose", "odd_prose"), ("code_blocks", "odd_blocks"), ("classify_intent", "odd_intent")])
 def test_every_row_has_its_odd_body_worked_on(spark, tmp_path, name, column):
     spark.sql("SELECT * FROM VALUES (1L, '<p>a</p>'), (2L, NULL), (NULL, '<p>b</p>') AS t(page_id, html)").write.parquet(f"{tmp_path}/pages.parquet")
     for table in ("orders", "lineitem"):
