@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from qapulse.schemas import schema_of
 
+#: Lines in a file of a written dump: some 100 MB of text.
+RECORDS = 500_000
+
 # One text for Spark and for the SQL oracle.
 POSTS_SQL = """
 SELECT o_orderkey * 10 AS Id,
@@ -101,15 +104,20 @@ def declared(rows: DataFrame, table: str) -> DataFrame:
 
 
 def write_xml(rows: DataFrame, path: str) -> None:
-    """Rows as ``<row Attr="..."/>`` lines; NULLs are left out."""
+    """Rows as ``<row Attr="..."/>`` lines; NULLs are left out.
+
+    Ten times as long as the tables they come from, the lines are compressed. A compressed file is read by one task, so it holds
+    at most ``RECORDS`` of them.
+    """
 
-    def attribute(name: str):
+    def attribute(name: str, kind: str):
         text = F.col(name).cast("string")
-        if dict(rows.dtypes)[name].startswith("timestamp"):
+        if kind.startswith("timestamp"):
             text = F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-        for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#xA;")):
-            text = F.replace(text, F.lit(raw), F.lit(escaped))
+        if kind == "string":  # numbers and times have nothing to escape
+            for raw, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#xA;")):
+                text = F.replace(text, F.lit(raw), F.lit(escaped))
         return F.concat(F.lit(f'{name}="'), text, F.lit('"'))
 
-    line = F.concat(F.lit("  <row "), F.concat_ws(" ", *[attribute(c) for c in rows.columns]), F.lit(" />"))
-    rows.select(line.alias("value")).write.text(path)
+    line = F.concat(F.lit("  <row "), F.concat_ws(" ", *[attribute(*c) for c in rows.dtypes]), F.lit(" />"))
+    rows.select(line.alias("value")).write.option("compression", "lz4").option("maxRecordsPerFile", RECORDS).text(path)

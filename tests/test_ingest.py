@@ -475,3 +475,17 @@ def test_shared_dir_needs_a_shared_folder_on_a_cluster():
         shared_dir(Cluster, "x")
     Cluster.conf = {"spark.checkpoint.dir": "hdfs:///scratch"}
     assert shared_dir(Cluster, "x").startswith("hdfs:///scratch/qapulse/x-")
+
+
+def test_a_written_dump_is_compressed_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from checks import star_posts
+
+    monkeypatch.setattr(star_posts, "RECORDS", 100)
+    rows = spark.range(1000).coalesce(1).select(
+        F.col("id").alias("Id"), F.concat(F.lit('a < "b" & <c>\n'), "id").alias("TagName"), F.lit(None).cast("int").alias("Count")
+    )
+    star_posts.write_xml(rows, f"{tmp_path}/Tags.xml")
+    parts = [p for p in (tmp_path / "Tags.xml").iterdir() if p.name.startswith("part-")]
+    assert len(parts) == 10 and sum(p.stat().st_size for p in parts) < 30_000  # some 60 KB of text
+    got = xml_dump.scan_dump_xml(spark, f"{tmp_path}/Tags.xml", "Tags").select("Id", "TagName", "Count").collect()
+    assert sorted(map(tuple, got)) == [(i, f'a < "b" & <c>\n{i}', None) for i in range(1000)]
