@@ -6,9 +6,9 @@ combinations of tokens that come with the label *block*. Rules below ``SUPPORT``
 a rule that adds tokens to another one without being surer. Rules are indexed by their rarest token: a URL looks
 up its own tokens, and the rules found there are tested whole. A URL that a rule fits is blocked, all others are allowed.
 
-Mining reads all labelled URLs. A URL enters it with its ``TOKENS`` most telling frequent tokens (by chi-square with the label), as
-the combinations of one URL grow with two to the power of its tokens; frequent tokens are at most ``VOCABULARY``. Both bound the
-fitting only: matching uses every token of every URL.
+Mining reads all labelled URLs with all their tokens. FP-growth gets, for each URL and each of its tokens as a rule's rarest, the
+commoner tokens that do not always come with it (a host has its suffixes and labels): the rules it leaves out would go anyway, and
+combinations grow with the tokens that are independent of each other.
 
 A fixed rule (host, path, verdict) goes before: it fits its host and all subdomains where the URL's path starts with its own;
 the longest wins (of equal ones that of the longer host). Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lowered; path: then
@@ -19,6 +19,8 @@ Repeated rows get the same verdict each; no pages give no rows, no labels no min
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +30,11 @@ from qapulse.llm.shared import stash
 #: Host, path and verdict of the fixed rules of the query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 SUPPORT, LEAST, CONFIDENCE = 0.001, 10, 0.5
-TOKENS, VOCABULARY = 8, 1000
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(.*)$"
 _BLOCK = "verdict=block"
+_MARK = "\n"  # between key and token of an item
 
 
 def parts(url: Column) -> tuple[Column, Column, Column]:
@@ -77,26 +79,53 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return pages.select("tokens", number.try_cast(kind).alias("doc_id")).join(known, "doc_id").select("tokens", "block")
 
 
+def conditional(examples: DataFrame, counts: DataFrame) -> DataFrame:
+    """key, block, items: the part of each example that FP-growth mines for rules with this rarest token.
+
+    ``items`` are the example's commoner tokens of ``counts``, each marked by the key, but for those that every example with the key
+    has: with them a rule is as sure as without, so it would go.
+    """
+    rows = examples.withColumn("row", F.monotonically_increasing_id()).select("row", "block", F.explode("tokens").alias("token"))
+    rows = rows.join(counts.select("token", "n"), "token").groupBy("row", "block")
+    rows = rows.agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"))
+    rows = rows.select("block", F.posexplode("held").alias("at", "own"), "held")
+    rows = rows.select("block", F.col("own.token").alias("key"), F.col("own.n").alias("n"), F.expr("slice(held, at + 2, size(held)).token").alias("rest"))
+    rows = stash(rows, "conditional")
+    always = rows.select("key", "n", F.explode("rest").alias("token")).groupBy("key", "n", "token").agg(F.count("*").alias("both"))
+    always = always.where("both = n").groupBy("key").agg(F.collect_set("token").alias("always"))
+    left = F.array_except("rest", F.coalesce("always", F.array().cast("array<string>")))
+    items = F.transform(left, lambda token: F.concat("key", F.lit(_MARK), token))
+    return rows.join(always, "key", "left").select("key", "block", items.alias("items"))
+
+
 def mine(
-    examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, most: int = TOKENS, vocabulary: int = VOCABULARY
+    examples: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST, most: int | None = None
 ) -> DataFrame:
-    """rule, antecedent (sorted tokens), key (its rarest token), confidence and support of what FP-growth finds in (tokens, block)."""
+    """rule, antecedent (sorted tokens), key (its rarest token), confidence and support of what FP-growth finds in (tokens, block).
+
+    All tokens of all examples are mined; ``most`` is a limit of earlier versions and has no effect.
+    """
     examples = stash(examples, "labelled-urls")
-    total = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("block").cast("bigint")), F.lit(0)).alias("blocked")).first()
-    support = min(1.0, max(support, least / max(1, total["n"])))
+    total = examples.count()
+    # As FP-growth counts: a rule needs so many blocked examples, so each of its tokens does.
+    enough = max(1, math.ceil(min(1.0, max(support, least / max(1, total))) * total))
     counts = examples.select("block", F.explode("tokens").alias("token")).groupBy("token")
-    counts = counts.agg(F.count("*").cast("double").alias("n"), F.sum(F.col("block").cast("double")).alias("blocked"))
-    counts = stash(counts.where(F.col("n") >= support * total["n"]), "tokens")
-    n, blocked = F.lit(float(total["n"])), F.lit(float(total["blocked"]))
-    apart = n * F.col("blocked") - blocked * F.col("n")
-    square = F.try_divide(n * apart * apart, F.col("n") * (n - F.col("n")) * blocked * (n - blocked))
-    telling = counts.orderBy(F.coalesce(square, F.lit(0.0)).desc(), "token").limit(vocabulary)
-    ranked = F.array(*(F.lit(r["token"]) for r in telling.select("token").collect())).cast("array<string>")
-    chosen = F.slice(F.array_intersect(ranked, "tokens"), 1, most)
-    items = F.concat(chosen, F.when(F.col("block"), F.array(F.lit(_BLOCK))).otherwise(F.array().cast("array<string>")))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(examples.select(items.alias("items")))
+    counts = counts.agg(F.count("*").alias("n"), F.sum(F.col("block").cast("bigint")).alias("blocked"))
+    counts = stash(counts.where(F.col("blocked") >= enough), "tokens")
+    sure = F.col("blocked").cast("double") / F.col("n")
+    alone = counts.where(sure >= confidence).select(F.array("token").alias("antecedent"), sure.alias("confidence"), F.col("blocked").alias("times"))
+    # A token that is sure by itself makes no other rule surer.
+    baskets = conditional(examples, counts.where(F.col("blocked") < F.col("n"))).where(F.size("items") > 0)
+    baskets = stash(baskets.select(F.concat("items", F.when(F.col("block"), F.array(F.lit(_BLOCK))).otherwise(F.array().cast("array<string>"))).alias("items")), "baskets")
+    n = max(1, baskets.count())
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (enough - 0.5) / n), minConfidence=confidence).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == _BLOCK))
-    found = found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    marked = F.concat(
+        F.array(F.split_part(F.col("antecedent")[0], F.lit(_MARK), F.lit(1))),
+        F.transform("antecedent", lambda item: F.split_part(item, F.lit(_MARK), F.lit(2))),
+    )
+    found = found.select(marked.alias("antecedent"), "confidence", F.round(F.col("support") * n).cast("bigint").alias("times")).unionByName(alone)
+    found = found.select(F.array_sort("antecedent").alias("antecedent"), "confidence", (F.col("times") / F.lit(float(max(1, total)))).alias("support"))
     found = stash(found.withColumn("rule", F.array_join("antecedent", " & ")), "mined")
     rarest = found.select("rule", F.explode("antecedent").alias("token")).join(counts.select("token", "n"), "token")
     rarest = rarest.groupBy("rule").agg(F.min(F.struct("n", "token"))["token"].alias("key"))

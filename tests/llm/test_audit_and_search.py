@@ -257,3 +257,20 @@ def test_intermediate_tables_can_be_released(spark):
     assert kept.count() == 5 and shared.release(spark) >= 1 and shared.release(spark) == 0
     with pytest.raises(Exception, match="(?i)path|exist"):
         spark.read.parquet(path).count()
+
+
+def test_a_rule_on_tokens_beyond_the_most_telling_ones_is_mined(spark):
+    random_ = random.Random(12)
+    examples = []
+    for _ in range(600):
+        # Ten tokens that tell a little each, with their twins, and two that are sure together but tell nothing alone.
+        some = [f"t{i:02}" for i in range(10) if random_.random() < 0.3]
+        x, y = random_.random() < 0.3, random_.random() < 0.3
+        tokens = some + [t + "-twin" for t in some[:2]] + ["x"] * x + ["y"] * y
+        examples.append((sorted(tokens), (x and y) or (random_.random() < 0.02 + 0.05 * len(some) and not (x or y))))
+    expected = mined_rules(examples, 10, 0.6)
+    assert ("x", "y") in expected
+    mined = urls.mine(spark.createDataFrame(examples, "tokens array<string>, block boolean"), 0.0001, 0.6, 10).collect()
+    assert {tuple(r.antecedent): (round(r.confidence, 9), round(r.support * 600)) for r in mined} == {
+        p: (round(c[0], 9), c[1]) for p, c in expected.items()
+    }
