@@ -263,11 +263,11 @@ def test_a_rule_on_tokens_beyond_the_most_telling_ones_is_mined(spark):
     random_ = random.Random(12)
     examples = []
     for _ in range(600):
-        # Ten tokens that tell a little each, with their twins, and two that are sure together but tell nothing alone.
-        some = [f"t{i:02}" for i in range(10) if random_.random() < 0.3]
-        x, y = random_.random() < 0.3, random_.random() < 0.3
-        tokens = some + [t + "-twin" for t in some[:2]] + ["x"] * x + ["y"] * y
-        examples.append((sorted(tokens), (x and y) or (random_.random() < 0.02 + 0.05 * len(some) and not (x or y))))
+        # Ten tokens that tell a little each, one with its twin, and two that tell nothing alone and all together.
+        x, y = random_.random() < 0.5, random_.random() < 0.5
+        some = [f"t{i:02}" for i in range(10) if random_.random() < (0.45 if x == y else 0.2)]
+        tokens = some + [t + "-twin" for t in some[:1]] + ["x"] * x + ["y"] * y
+        examples.append((sorted(tokens), x == y))
     expected = mined_rules(examples, 10, 0.6)
     assert ("x", "y") in expected
     mined = urls.mine(spark.createDataFrame(examples, "tokens array<string>, block boolean"), 0.0001, 0.6, 10).collect()
