@@ -356,9 +356,10 @@ def stratified_monthly_sample(spark, sf):
 
 def _odd(key: Column, found) -> Column:
     # NULL for a row without a key, as in SQL: the operators take a NULL body for an empty one. A condition around
-    # them would have Spark evaluate their common parts again and again.
-    body = F.replace(F.lit(ODD_BODY), F.lit("{}"), key.cast("string"))
-    return F.concat(found(body), F.left(key.cast("string"), F.lit(0)))
+    # them would have Spark evaluate their common parts again and again, the body itself if it were not bound.
+    first, *others = [F.lit(part) for part in ODD_BODY.split("{}")]
+    body = F.concat(first, *[part for other in others for part in (key.cast("string"), other)])
+    return F.concat(F.transform(F.array(body), found)[0], F.left(key.cast("string"), F.lit(0)))
 
 
 def body_prose(spark, sf):

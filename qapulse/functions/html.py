@@ -8,6 +8,8 @@ leading zeros; 128 to 159 are control characters, not their Windows meaning.
 
 from __future__ import annotations
 
+import json
+import zlib
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -24,6 +26,14 @@ _HIDDEN = r"(?is)<!--.*?(?:-->|\z)" + "".join(
 )
 _PRE = rf"(?is)<pre{_END}{_REST}(.*?)(?:</pre\s*>|\z)"
 _PRE_TAG = rf"(?is)<(?:(/)pre\s*>|pre{_END}{_REST})"
+# Blocks nested up to four deep are found by one pattern, without counting depths: a level is text, up to the next tag of a
+# block, and whole blocks of the next level. The deepest level takes what opens in it for text.
+_DEEP = 4
+_OPEN, _CLOSE = rf"<pre{_END}{_REST}", r"</pre\s*>"
+_INSIDE = r"[^<]*+(?:<(?!/pre\s*>)[^<]*+)*+"
+for _ in range(_DEEP - 1):
+    _INSIDE = rf"[^<]*+(?:(?:{_OPEN}{_INSIDE}(?:{_CLOSE}|\z)|<(?!/pre\s*>))[^<]*+)*+"
+_BLOCKS = rf"(?is){_OPEN}({_INSIDE})(?:{_CLOSE}|\z)"
 # A tag starts with a letter, '/', '!' or '?', so a bare "a < b" stays text.
 _TAG = rf"<[A-Za-z/!?]{_REST}"
 # A cut region must still separate the text on both sides of it.
@@ -40,26 +50,43 @@ WHITESPACE = (
 
 # Decoded by plain replacement; "amp" must come last, as its result may look like a reference.
 _COMMON = {"lt": "<", "gt": ">", "quot": '"', "nbsp": "\xa0", "amp": "&"}
+# Maps that the names of references are dealt into.
+_MAPS = 1024
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _code_point(number: Column) -> Column:
     """The character of a code point; NULL for 0, surrogates and numbers beyond Unicode."""
-    known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-    return F.decode(F.unhex(F.lpad(F.hex(F.when(known, number)), 8, "0")), "UTF-32")
+    known = number.between(256, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    wide = F.decode(F.unhex(F.lpad(F.hex(F.when(known, number)), 8, "0")), "UTF-32")
+    return F.when(number.between(1, 255), F.char(number)).otherwise(wide)
+
+
+def _named(name: Column) -> Column:
+    """The characters of a named reference; names are dealt into small maps, as Spark looks through a map entry by entry."""
+    maps = [{} for _ in range(_MAPS)]
+    for key, chars in html5.items():
+        if key.endswith(";"):
+            maps[zlib.crc32(key[:-1].encode()) % _MAPS][key[:-1]] = chars
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>")[(F.crc32(name) % _MAPS).cast("int")][name]
 
 
 def _decode_any(text: Column) -> Column:
     """One pass over the references of a text: named, decimal and hexadecimal."""
-    names = "\x1e".join(f"{name[:-1]}\x1f{chars}" for name, chars in html5.items() if name.endswith(";"))
-    named = F.str_to_map(F.lit(names), F.lit("\x1e"), F.lit("\x1f"))
 
     def piece(part: Column, index: Column) -> Column:
         name = F.regexp_extract(part, r"^(#0*[0-9]{1,7}|#[xX]0*[0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        digits = F.regexp_extract(name, r"^#[xX]?0*(.+)$", 1)
-        number = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits)
-        char = F.when(name.startswith("#"), _code_point(F.nullif(number, F.lit("")).cast("bigint"))).otherwise(named[name])
-        decoded = F.concat(char, F.substr(part, F.length(name) + 2))
-        return F.when(index == 0, part).otherwise(F.coalesce(decoded, F.concat(F.lit("&"), part)))
+        return F.when(index == 0, part).otherwise(_once(name, lambda found: decoded(part, found)))
+
+    def decoded(part: Column, name: Column) -> Column:
+        digits = F.ltrim(F.substr(name, F.lit(3)), F.lit("0"))
+        number = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(digits, 16, 10)).otherwise(F.substr(name, F.lit(2)))
+        char = F.when(name.startswith("#"), _once(number.cast("bigint"), _code_point)).otherwise(_named(name))
+        return F.coalesce(F.concat(char, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part))
 
     return F.array_join(F.transform(F.split(text, "&"), piece), "")
 
@@ -73,7 +100,7 @@ def decode_entities(text: Column) -> Column:
     for name, char in _COMMON.items():
         cheap = F.replace(cheap, F.lit(f"&{name};"), F.lit(char))
     rare = text.rlike(f"&(?!(?:{'|'.join(_COMMON)});)[#A-Za-z]")
-    return F.when(rare, _decode_any(text)).otherwise(cheap)
+    return F.when(~text.contains("&"), text).when(rare, _decode_any(text)).otherwise(cheap)
 
 
 def _decoded(texts: Column, source: Column) -> Column:
@@ -83,9 +110,9 @@ def _decoded(texts: Column, source: Column) -> Column:
 
 def _visible(html: Column) -> Column:
     html = F.coalesce(html, F.lit(""))
-    # Most bodies have no hidden region: a plain substring test spares them the regex copy.
-    return F.when(html.contains("<!--") | html.rlike(f"(?i)<(?:script|style|template){_END}"),
-                  F.regexp_replace(html, _HIDDEN, _SEPARATOR)).otherwise(html)
+    # Most bodies have no hidden region: a search spares them the regex copy.
+    named = html.rlike(f"<(?=[sStT])(?i:script|style|template){_END}")
+    return F.when(html.contains("<!--") | named, F.regexp_replace(html, _HIDDEN, _SEPARATOR)).otherwise(html)
 
 
 def _has_pre(html: Column) -> Column:
@@ -122,20 +149,49 @@ def body_prose(html: Column) -> Column:
     return F.array_join(F.filter(nodes, lambda node: node != ""), " ")
 
 
-def code_blocks(html: Column) -> Column:
-    """Ordered texts of the ``<pre>`` regions, inner tags removed."""
-    shown = _visible(html)
+def _balanced(shown: Column) -> Column:
+    """The blocks of a text, at any depth, without the tags of nested ones."""
     # A piece outside all blocks ends the block before it, if there is one.
     marked = F.transform(
         _by_depth(shown), lambda x: F.when(x["depth"] > 0, x["text"]).when(x["before"] > 0, _BLOCK).otherwise("")
     )
-    parts = F.split(F.array_join(marked, ""), _BLOCK)
-    ended = F.element_at(parts, -1) == ""
-    balanced = F.slice(parts, 2, F.size(parts) - 1 - F.when(ended, 1).otherwise(0))
-    none = F.array().cast("array<string>")
-    blocks = F.when(~_has_pre(shown), none).when(_nested(shown), balanced).otherwise(F.regexp_extract_all(shown, F.lit(_PRE), F.lit(1)))
-    plain = F.transform(blocks, lambda block: F.regexp_replace(block, _TAG, ""))
-    return _decoded(plain, shown)
+
+    def ordered(parts: Column) -> Column:
+        ended = F.element_at(parts, -1) == ""
+        return F.slice(parts, 2, F.size(parts) - 1 - F.when(ended, 1).otherwise(0))
+
+    return _once(F.split(F.array_join(marked, ""), _BLOCK), ordered)
+
+
+def code_blocks(html: Column) -> Column:
+    """Ordered texts of the ``<pre>`` regions, inner tags removed."""
+    shown = _visible(html)
+
+    def untagged(block: Column) -> Column:
+        return F.when(block.contains("<"), F.regexp_replace(block, _TAG, "")).otherwise(block)
+
+    def flat(region: Column) -> Column:
+        whole = F.when(_has_pre(region), F.regexp_replace(region, _PRE_TAG, "")).otherwise(region)
+        return F.when(region.contains("<"), F.regexp_replace(whole, _TAG, "")).otherwise(region)
+
+    def deep(region: Column) -> Column:
+        opened = F.regexp_count(region, F.lit(f"(?is){_OPEN}"))
+        return region.contains("<") & (F.size(F.split(region, "<")) > _DEEP) & (opened >= _DEEP)
+
+    def at_any_depth(shown: Column) -> Column:
+        blocks = F.when(_nested(shown), _balanced(shown)).otherwise(F.regexp_extract_all(shown, F.lit(_PRE), F.lit(1)))
+        return F.transform(blocks, untagged)
+
+    def texts(regions: Column) -> Column:
+        last = F.get(regions, F.size(regions) - 1)
+        # Regions may be deeper than the pattern goes, or the last one may be an empty block left open.
+        unsure = F.exists(regions, deep) | (last == "") | (last.startswith("<") & _has_pre(F.left(last, F.lit(5))))
+        return F.when(unsure, _once(shown, at_any_depth)).otherwise(F.transform(regions, flat))
+
+    plain = _once(F.regexp_extract_all(shown, F.lit(_BLOCKS), F.lit(1)), texts)
+    # Cutting hidden regions makes no block, so bodies without one, most of them, need no more than this test.
+    some = html.contains("<pre") | _has_pre(html)
+    return F.when(some, F.transform(plain, decode_entities)).otherwise(F.array().cast("array<string>"))
 
 
 def link_count(html: Column) -> Column:

@@ -181,3 +181,11 @@ def test_every_row_has_its_odd_body_worked_on(spark, tmp_path, name, column):
     assert column in names and sorted(names) == sorted(result.columns)
     expected = sorted(str(row) for row in cursor.fetchall())
     assert sorted(str(tuple(row[c] for c in names)) for row in result.collect()) == expected
+
+
+def test_a_body_is_worked_on_once(spark):
+    """Repeated parts of a plan cost hundreds of microseconds a row: bodies, their searches and the names of references."""
+    plan = entry_file.queries()["code_blocks"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("<p>it isn") <= 2  # posts are a union of two
+    assert 1 <= plan.count("regexp_extract(") <= 4
+    assert "str_to_map" not in plan and "from_json" not in plan

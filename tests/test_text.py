@@ -205,6 +205,60 @@ def test_bodies_without_blocks_are_spared_the_work_on_blocks(spark):
     ]
 
 
+class _Blocks(HTMLParser):
+    """Brute force: the texts of outermost pre elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.depth = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "pre":
+            if not self.depth:
+                self.blocks.append("")
+            self.depth += 1
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "pre" and self.depth > 0
+
+    def handle_data(self, data):
+        if self.depth:
+            self.blocks[-1] += data
+
+
+def test_blocks_nested_at_any_depth_match_an_html_parser(spark):
+    """Up to seven deep, so that both ways of finding blocks are taken."""
+    chance = random.Random(5)
+
+    def markup(depth):
+        out = ""
+        for _ in range(chance.randrange(4)):
+            out += chance.choice(["t ", "&lt;x", "<i>u</i>", "&ngE;", "&#39;", "\n", ""])
+            if depth and chance.random() < 0.7:
+                out += chance.choice(["<pre>", "<PRE a='1>2'>"]) + markup(depth - 1) + chance.choice(["</pre>", "</Pre >"])
+        return out
+
+    bodies = [markup(chance.randrange(8)) for _ in range(600)]
+    bodies += ["<pre>" * n + "x" + "</pre>" * n + "y<pre>z</pre>" for n in range(1, 9)]
+    bodies += ["<pre>a" + "<pre>b</pre>" * n + "c</pre>d</pre><pre>e" for n in range(9)]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "i int, b string")
+    got = [r["blocks"] for r in rows.select("i", code_blocks(F.col("b")).alias("blocks")).orderBy("i").collect()]
+    expected = []
+    for body in bodies:
+        parser = _Blocks()
+        parser.feed(body)
+        parser.close()
+        expected.append(parser.blocks)
+    assert got == expected
+    assert sum(map(len, got)) > 500
+
+
+def test_very_long_blocks(spark):
+    bodies = ["<p>q</p><pre>" + "<b>x</b>\n" * 100_000 + "</pre>t", "<pre>" + "a<pre>b</pre>" * 2 + "c" * 500_000, "<div>" * 100_000 + "<PRE>x"]
+    rows = spark.createDataFrame([(b,) for b in bodies], "b string").select(code_blocks(F.col("b")).alias("blocks")).collect()
+    assert [r["blocks"] for r in rows] == [["x\n" * 100_000], ["abab" + "c" * 500_000], ["x"]]
+
+
 def test_fixed_values_are_pinned():
     """The SQL of the checks uses these values too, so a changed one must fail here."""
     assert {d: len(tags) for d, tags in DOMAIN_TAGS.items()} == {"Legacy Stable": 22, "Fast-Moving Web": 25, "AI / ML": 26}
